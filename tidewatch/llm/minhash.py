@@ -7,9 +7,10 @@
 2. Texts with equal sets form a class, known by a 128-bit hash of the set; only classes are compared.
 3. Coordinates are banded. Classes that share a band are candidates; each bucket's smallest class is its first pivot.
 4. Candidates are verified on the full sets of shingles of their texts, as strings.
-5. Links form components. In a bucket that still holds several components, members that have met their pivot without
-   sharing its component get new pivots, twice as many each round, until the bucket is one component or every member
-   has been a pivot: no pair of a bucket is lost, yet a group of copies costs one link a member.
+5. Links form components. Buckets that still hold several components, though not all their pairs have met, make up
+   families of classes. A family is cut into blocks, those of a large component holding nothing else, and every two
+   blocks meet in a task, but for two of one component: the task counts all common shingles by matrix products and
+   returns only links that join components. So no pair of a bucket is lost, and no list of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -163,6 +164,72 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def common(sets: list[set[bytes]]) -> np.ndarray:
+    """How many shingles each two sets share. Shingles of many sets go through a matrix product, the others through
+    counts of the pairs they make, of which a shingle of 16 sets makes 120."""
+    ids: dict[bytes, int] = {}
+    held = [np.fromiter((ids.setdefault(x, len(ids)) for x in s), np.int64, len(s)) for s in sets]
+    n, shingle, row = len(sets), np.concatenate(held), np.repeat(np.arange(len(sets)), [len(x) for x in held])
+    order = np.argsort(shingle, kind="stable")
+    row, df = row[order], np.bincount(shingle, minlength=len(ids))
+    first = np.cumsum(df) - df
+    out = np.zeros((n, n))
+    for d in range(2, 17):
+        at = first[df == d]
+        if len(at):
+            together = row[at[:, None] + np.arange(d)]
+            i, j = np.triu_indices(d, 1)
+            out += np.bincount((together[:, i] * n + together[:, j]).ravel(), minlength=n * n).reshape(n, n)
+    out += out.T
+    often = np.flatnonzero(df > 16)
+    for start in range(0, len(often), 2048):
+        part = often[start : start + 2048]
+        x = np.zeros((n, len(part)), np.float32)
+        for k, s in enumerate(part):
+            x[row[first[s] : first[s] + df[s]], k] = 1
+        out += x @ x.T
+    out[np.arange(n), np.arange(n)] = [len(s) for s in sets]
+    return out
+
+
+def _met(members: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 384) -> DataFrame:
+    """Links (a, b) that join components of a family. members: key, root, family, all distinct."""
+    sizes = members.groupBy("family", "root").agg(F.count("*").alias("n"))
+    pools = sizes.filter(F.col("n") < block).groupBy("family").agg(F.sum("n").alias("pool"))
+    sizes = sizes.join(pools, "family", "left")
+    pooled = F.pmod(F.xxhash64("root"), F.ceil(F.col("pool") / block))
+    own = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / block))
+    placed = members.join(sizes, ["family", "root"]).withColumn("pure", F.when(F.col("n") >= block, F.col("root")))
+    placed = written(placed.select("key", "root", "family", "pure", F.when(F.col("n") >= block, own).otherwise(pooled).alias("i")), "placed")
+    blocks = placed.select("family", "pure", "i").distinct().withColumn("x", F.struct("pure", "i"))
+    one, two = blocks.select("family", F.col("x").alias("x")), blocks.select("family", F.col("x").alias("y"))
+    meetings = one.join(two, "family").filter("x <= y AND (x.pure IS NULL OR y.pure IS NULL OR x.pure <> y.pure)")
+    sides = meetings.select("family", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("z"))
+    rows = sides.join(placed.withColumn("z", F.struct("pure", "i")), ["family", "z"]).join(texts, "key").select("family", "x", "y", "key", "root", "text")
+
+    def meet(group: pa.Table) -> pa.Table:
+        keys, above = group.column("key").to_pylist(), {r: r for r in group.column("root").to_pylist()}
+        roots = group.column("root").to_pylist()
+
+        def top(r: bytes) -> bytes:
+            while above[r] != r:
+                above[r] = r = above[above[r]]
+            return r
+
+        shared = common([shingles(shingle_words(x), width) for x in group.column("text").to_pylist()])
+        own_size = np.diag(shared)
+        near = 100 * shared >= percent * (own_size[:, None] + own_size[None, :] - shared)
+        out = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))), strict=True):
+            p, q = top(roots[i]), top(roots[j])
+            if p != q:
+                above[max(p, q)] = min(p, q)
+                out.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+    return rows.groupBy("family", "x", "y").applyInArrow(meet, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs with n_shingles, component_id and kept.
 
@@ -192,25 +259,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     links = linked(members.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")))
     roots = components(links)
-    held = members.select("band", "key", (F.col("key") == F.col("pivot")).alias("done"))
-    drawn = 2
-    while True:
-        named = held.join(roots, F.col("key") == F.col("node"), "left").select("band", "key", "done", F.coalesce("root", "key").alias("root"))
-        # A member that was a pivot has met all others; what is left must meet only across components.
-        waiting = named.filter("NOT done")
-        spread = waiting.groupBy("band").agg(F.count("*").alias("m"), F.min("root").alias("r"), F.max("root").alias("q"), F.min("key").alias("p")).filter("r <> q")
-        waiting = written(waiting.join(spread.select("band", "m", "p"), "band"), "waiting")
-        if waiting.isEmpty():
-            break
-        pivots = waiting.filter((F.col("key") == F.col("p")) | (F.pmod(F.xxhash64("key", "band"), F.col("m")) < drawn)).select("band", F.col("key").alias("pivot"), F.col("root").alias("of"))
-        pivots = written(pivots, "pivots")
-        more = linked(waiting.join(pivots, "band").filter("root <> of").select(F.col("pivot").alias("a"), F.col("key").alias("b")))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
-        was = pivots.select("band", F.col("pivot").alias("key"), F.lit(True).alias("now"))
-        held = waiting.select("band", "key").join(was, ["band", "key"], "left").select("band", "key", F.coalesce("now", F.lit(False)).alias("done"))
-        drawn *= 2
+    # A pivot has met its bucket. The others must still meet across components.
+    waiting = members.filter("key <> pivot").join(roots, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    spread = waiting.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("q"), F.min("key").alias("first")).filter("r <> q")
+    waiting = written(waiting.join(spread.select("band", "first"), "band").select("key", "root", "first").distinct(), "waiting")
+    if not waiting.isEmpty():
+        families = components(waiting.select(F.col("first").alias("a"), F.col("key").alias("b"))).select(F.col("node").alias("key"), F.col("root").alias("family"))
+        links = links.unionByName(written(_met(waiting.select("key", "root").distinct().join(families, "key"), texts, width, percent), "links"))
+        roots = components(links)
     named = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = named.join(smallest, "root").select(F.col("key").alias("set_key"), "component_id")
@@ -226,7 +282,8 @@ def op3_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFrame
 
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w
   FROM documents),
 s AS (
   SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM w),
