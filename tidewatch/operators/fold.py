@@ -44,7 +44,7 @@ def leave_one_out_snr(depths: DataFrame, key: str = "target_id") -> DataFrame:
     """(key, snr): the least signal-to-noise of the mean depth with one event left out; null with fewer than two."""
     w = 1 / (F.col("error") * F.col("error"))
     total = depths.groupBy(key).agg(F.sum(w).alias("__w"), F.sum(w * F.col("depth")).alias("__d"), F.count("*").alias("__n"))
-    rest = depths.join(total, key).select(key, "__n", ((F.col("__d") - w * F.col("depth")) / F.sqrt(F.col("__w") - w)).alias("__s"), (F.col("__w") - w).alias("__r"))
+    rest = depths.join(total, key).select(key, "__n", F.try_divide(F.col("__d") - w * F.col("depth"), F.sqrt(F.greatest(F.col("__w") - w, F.lit(0.0)))).alias("__s"), (F.col("__w") - w).alias("__r"))
     return rest.groupBy(key).agg(F.min(F.when((F.col("__n") > 1) & (F.col("__r") > 0), F.col("__s"))).alias("snr"))
 
 

@@ -92,8 +92,8 @@ def stitched(series: DataFrame, key: str = "target_id", part: str = "sector") ->
 
 def densest_window(series: DataFrame, length: float, key: str = "target_id") -> DataFrame:
     """(key, start, n): the stretch of `length`, beginning at a sample, that holds most samples; the first on ties."""
-    w = Window.partitionBy(key).orderBy("time").rangeBetween(0, length)
-    counted = series.select(key, "time", F.count("*").over(w).alias("n"))
+    within = f"count(*) OVER (PARTITION BY {key} ORDER BY time RANGE BETWEEN CURRENT ROW AND {float(length)}D FOLLOWING)"
+    counted = series.select(key, "time", F.expr(within).alias("n"))
     return counted.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("m"), "time")).alias("b")).select(key, F.col("b.time").alias("start"), (-F.col("b.m")).alias("n"))
 
 
