@@ -29,6 +29,7 @@ def rows(found, columns):
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
 def test_agrees(spark, duck, name):
     ours = QUERIES[name].run(spark, SF)
-    theirs = duck.execute(QUERIES[name].sql).fetch_arrow_table()
-    assert sorted(ours.columns) == sorted(theirs.column_names)
-    assert rows(ours.collect(), theirs.column_names) == rows(theirs.to_pylist(), theirs.column_names)
+    theirs = duck.execute(QUERIES[name].sql)
+    columns = [c[0] for c in theirs.description]
+    assert sorted(ours.columns) == sorted(columns)
+    assert rows(ours.collect(), columns) == rows((dict(zip(columns, r)) for r in theirs.fetchall()), columns)
