@@ -85,7 +85,7 @@ y AS (SELECT x.*, (al - s) / (an - n) - s / n AS depth, ((al - s) / (an - n) - s
 w AS (SELECT *, row_number() OVER (PARTITION BY target_id, period ORDER BY round(power, 9) DESC, k, start) AS r FROM y WHERE depth > 0), best AS (SELECT * FROM w WHERE r = 1)"""
 
 
-@query(f"WITH {POWERS} SELECT target_id, period, round(power, 6) AS power, round(depth, 6) AS depth, k * {W} AS duration, start * {W} AS phase0 FROM best")
+@query(f"WITH {POWERS} SELECT target_id, period, round(power, 6) AS power, round(depth, 6) AS depth, (k * {W})::DOUBLE AS duration, (start * {W})::DOUBLE AS phase0 FROM best")
 def box_search_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fold.box_search(_series(spark, sf_dir), PERIODS, DURATIONS), "power", "depth")
 
