@@ -31,8 +31,8 @@ def trained_scores(rows: DataFrame, features: list[str], label: str = "label", t
     ready = VectorAssembler(inputCols=filled, outputCol="__x", handleInvalid="keep").transform(Imputer(strategy="median", inputCols=features, outputCols=filled).fit(rows).transform(rows)).drop(*filled)
     out = None
     for k in range(folds):
-        model = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", maxIter=trees, maxDepth=depth, seed=seed, rawPredictionCol="__r", probabilityCol="__p", predictionCol="__q").fit(ready.filter(F.col("fold") != k))
-        part = model.transform(ready.filter(F.col("fold") == k)).withColumn("raw", vector_to_array("__r")[1]).drop("__r", "__p", "__q")
+        model = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", maxIter=trees, maxDepth=depth, seed=seed, predictionCol="__q").fit(ready.filter(F.col("fold") != k))
+        part = model.transform(ready.filter(F.col("fold") == k)).withColumn("raw", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "__q")
         out = part if out is None else out.unionByName(part)
     scaled = VectorAssembler(inputCols=["raw"], outputCol="__z").transform(out)
     curve = LogisticRegression(featuresCol="__z", labelCol=label, rawPredictionCol="__r", probabilityCol="__p", predictionCol="__q").fit(scaled)
