@@ -21,9 +21,10 @@ SCAN = M + ", x AS (" + " UNION ALL ".join(
 ) + "), z AS (SELECT x.target_id, kind, time, duration, n, c - m AS depth, (c - m) * sqrt(n) / s AS snr FROM x JOIN s ON s.target_id = x.target_id WHERE s > 0 AND n >= 2)"
 
 
-@query(f"WITH {SCAN} SELECT target_id, round(time, 6) AS time, duration, n::BIGINT AS n, round(depth, 6) AS depth, round(snr, 6) AS snr FROM z")
+@query(f"WITH {SCAN} SELECT target_id, round(time, 6) AS time, duration, n::BIGINT AS n, round(depth, 6) + 0.0 AS depth, round(snr, 6) + 0.0 AS snr FROM z")
 def single_box_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(single.box_scan(_series(spark, sf_dir), DURATIONS), "time", "depth", "snr")
+    out = _rounded(single.box_scan(_series(spark, sf_dir), DURATIONS), "time", "depth", "snr")
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("depth", "snr")})  # no negative zero
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
