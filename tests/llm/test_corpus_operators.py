@@ -27,6 +27,14 @@ def test_bpe_round_trip(docs):
     assert bpe.encode(e, long) == e.encode_ordinary(long)
 
 
+def test_bpe_round_trip_in_one_pass(docs):
+    one = sorted(bpe.bpe_round_trip(docs.withColumn("n_tokens", F.lit("x"))).select("doc_id", "token_ids", "n_tokens", "round_trip").collect(), key=str)
+    two = bpe.bpe_decode(bpe.bpe_encode(docs))
+    two = sorted(two.select("doc_id", "token_ids", "n_tokens", (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip")).collect(), key=str)
+    assert one == two and all(r.round_trip for r in one)
+    assert "text" not in bpe.bpe_round_trip(docs).columns and bpe.bpe_round_trip(docs.filter("false")).count() == 0
+
+
 def test_near_duplicates(docs):
     got = {(r.doc_id, r.text): (r.component_id, r.kept) for r in minhash.near_duplicates(docs, width=2).collect()}
     assert got[3, TEXT + " indeed"] == (1, False) and got[2, TEXT] == (1, False) and got[1, TEXT] == (1, True)

@@ -96,6 +96,24 @@ def bpe_decode(tokens: DataFrame, ids: str = "token_ids", rank_file: str = RANKS
     return tokens.select(*columns).mapInArrow(_mapped(columns, ids, rank_file, made), schema)
 
 
+def bpe_round_trip(docs: DataFrame, text: str = "text", rank_file: str = RANKS) -> DataFrame:
+    """docs with the text replaced by token_ids, n_tokens and round_trip: whether the ids decode to the text's bytes.
+
+    Both ways are gone in one Python worker, and the decoded bytes never leave it. Null and empty texts have no tokens
+    and come back as no bytes; every row stays. Input columns named as those made are replaced.
+    """
+    columns = [c for c in without(docs, "token_ids", "n_tokens", "round_trip") if c.lower() != text.lower()]
+
+    def made(encoder, texts):
+        ids = [encode(encoder, t) for t in texts]
+        same = [encoder.decode_bytes(x) == (t or "").encode() for x, t in zip(ids, texts)]
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_()), ["token_ids", "n_tokens", "round_trip"]]
+
+    new = {"token_ids": F.lit(None).cast("array<int>"), "n_tokens": F.lit(None).cast("long"), "round_trip": F.lit(None).cast("boolean")}
+    rows = docs.select(*columns, F.col(text).alias("__text"))
+    return rows.mapInArrow(_mapped(columns, "__text", rank_file, made), docs.select(*columns).withColumns(new).schema)
+
+
 def bpe_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rank_file: str = RANKS) -> DataFrame:
     """One row a document: doc_id, n_tokens, digests of its ids and of the bytes they decode to.
 
