@@ -34,8 +34,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, token_ids, n_tokens, and whether the ids decode to the text's bytes."""
-    out = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "source", "text")))
-    return out.select("doc_id", "source", "token_ids", "n_tokens", (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip"))
+    return bpe.bpe_round_trip(docs.select("doc_id", "source", "text"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", one_of_each_group), ("personal_data", without_personal_data), ("mix", mixed), ("tokens", tokens)]
