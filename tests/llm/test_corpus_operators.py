@@ -131,3 +131,30 @@ def test_calls_link_and_late_dependencies_are_ordered(spark):
 def test_digests(spark):
     r = bpe.bpe_digests(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
     assert r.ids_sha256 == r.decoded_sha256 == hashlib.sha256(b"").hexdigest() and r.n_tokens == 0
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_recall_of_learned_partitions(spark, monkeypatch, clustered):
+    learned = []
+    learn = ann.learn
+    monkeypatch.setattr(ann, "learn", lambda v, parts, **kw: learned.append(parts) or learn(v, parts, **kw))
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((1000, 16))
+    if clustered:
+        v = rng.standard_normal((20, 16))[rng.integers(0, 20, 1000)] + 0.3 * v
+    got = ann.nearest(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0).collect()
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    near = {q: set(np.argsort(-s[q])[:5].tolist()) for q in range(0, 1000, 5)}
+    found = sum(r.vec_id in near[r.query_id] for r in got)
+    print(f"recall@5 {found / 1000:.3f}, {learned[0]} partitions, clustered {clustered}")
+    assert learned[0] >= 8 and len(got) == 1000 and found / 1000 >= 0.95
+
+
+def test_a_query_is_routed_until_k_others_are_covered(spark, monkeypatch):
+    v = np.random.default_rng(6).standard_normal((200, 4))
+    monkeypatch.setattr(ann, "learn", lambda vectors, parts, **kw: (np.random.default_rng(0).standard_normal((5, parts)) * 40, 0.0))
+    monkeypatch.setattr(ann, "PARTITION_ROWS", 16)
+    got = ann.nearest(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>"), F.col("vec_id") < 40, k=50).collect()
+    assert len(got) == 40 * 50

@@ -3,8 +3,8 @@
 A bounded sample of distinct vectors gives a neighbour graph, which recursive bisection cuts into partitions of equal
 size with few edges between them. A softmax classifier learns, for each sampled vector, in which partitions its
 neighbours lie. It then assigns every vector of the table to its most probable partition and routes a query to its most
-probable partitions until their probability reaches a level set on sampled vectors kept out of the fit. Partitions are
-scored in blocks of bounded size by matrix products, and the best are scored again, exactly.
+probable partitions until their probability reaches a level set on sampled vectors kept out of the fit and they hold
+enough ids for a whole answer. Partitions are scored in blocks of bounded size by matrix products, and the best are scored again, exactly.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm._common import table, written
 
 #: Distinct vectors that the partitions are learned from, at most; rows a partition is meant to have; rows of a block.
-SAMPLE, PARTITION_ROWS, BLOCK_ROWS = 8_192, 2_048, 4_096
+SAMPLE, PARTITION_ROWS, BLOCK_ROWS = 8_192, 64, 4_096
 
 
 def neighbour_graph(u: np.ndarray, k: int) -> np.ndarray:
@@ -118,8 +118,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _routes(rows: DataFrame, keep: list[str], weights: np.ndarray, level: float | None) -> DataFrame:
-    """rows with part: the most probable one, or (level) a row for each part until those before reach the level."""
+def _routes(rows: DataFrame, keep: list[str], weights: np.ndarray, level: float | None, held: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """rows with part: the most probable one, or (level) a row for each part until those before reach the level and hold,
+    with held ids in each part, at least `least` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +134,8 @@ def _routes(rows: DataFrame, keep: list[str], weights: np.ndarray, level: float
             else:
                 order = np.argsort(-p, axis=1, kind="stable")
                 sorted_ = np.take_along_axis(p, order, axis=1)
-                row, place = np.nonzero(np.cumsum(sorted_, axis=1) - sorted_ <= level)
+                inside = held[order]
+                row, place = np.nonzero((np.cumsum(sorted_, axis=1) - sorted_ <= level) | (np.cumsum(inside, axis=1) - inside < least))
                 part = order[row, place]
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row)) for c in keep], pa.array(part, pa.int32())], [*keep, "part"])
 
@@ -151,7 +153,7 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
 
     Vectors without a direction, rows without an id and vectors of another length than most of the sample take no part.
     Repeated rows count once; equal vectors share one place in the index, with the k + 1 smallest of their ids, which
-    are all that a top k can show. Ties go to the smaller id. With fewer than k others, all that were routed to.
+    are all that a top k can show. Ties go to the smaller id. With fewer than k others, all of them.
     """
     rows = vectors.filter(usable(F.col(vector)) & F.col(vec_id).isNotNull())
     rows = written(rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("asks")).distinct(), "vectors")
@@ -168,9 +170,12 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
     blocks = max(1, math.ceil(total / parts / BLOCK_ROWS))
     groups = max(1, math.ceil(asked.count() / BLOCK_ROWS))
     fits = F.size("v") == width
-    index = _routes(distinct.filter(fits), ["ids", "v"], weights, None)
+    index = written(_routes(distinct.filter(fits), ["ids", "v"], weights, None), "index")
+    held = np.zeros(parts, np.int64)
+    for r in index.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).collect():
+        held[r.part] = r.n
     index = index.withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(blocks)).cast("int")).withColumn("q_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    routed = _routes(asked.filter(fits), ["q", "v"], weights, level).withColumn("q_group", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int"))
+    routed = _routes(asked.filter(fits), ["q", "v"], weights, level, held, k + 1).withColumn("q_group", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int"))
     routed = routed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     most = k + 1
 
