@@ -158,3 +158,17 @@ def test_a_query_is_routed_until_k_others_are_covered(spark, monkeypatch):
     monkeypatch.setattr(ann, "PARTITION_ROWS", 16)
     got = ann.nearest(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>"), F.col("vec_id") < 40, k=50).collect()
     assert len(got) == 40 * 50
+
+
+def _terms_found(spark, texts):
+    found = pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("size(pii_spans) > 0").collect()
+    return {r.doc_id: {s.value: s.kind for s in r.pii_spans if s.k == 4} for r in found}
+
+
+def test_a_term_of_one_document_is_weighed_with_or_without_copies(spark):
+    texts = [f"please write to us about item number {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}" for i in range(1000)]
+    texts[5] = "please write to Zbigniew at zb@ex.org about item"
+    alone = _terms_found(spark, texts)
+    assert alone[5] == {"zbigniew": "term_general"}
+    copied = _terms_found(spark, [*texts, texts[5]])
+    assert copied[5] == copied[1000] == alone[5]

@@ -1,9 +1,11 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
 Patterns find e-mail and IP addresses, card and phone numbers. What stands beside them on a line is then weighed by what
-the corpus says: with N documents, df(e) of them holding entity e, IC(e) = log2(N / df(e)) bits identify e; a term t
-found beside e in c(e, t) documents, and in df(t) documents at all, gives away log2(c(e, t) / df(t)) + IC(e) of them. Terms
-whose share of IC(e) reaches a threshold are generalised or, above a higher one, removed wherever they stand beside e.
+the corpus says: with N distinct texts, df(e) of them holding entity e, IC(e) = log2(N / df(e)) bits identify e; a term t
+found beside e in c(e, t) texts, and in df(t) texts at all, gives away log2(P(e | t)) + IC(e) of them. P(e | t) is smoothed
+by A prior texts that hold t, and hold e as often as any text does: (c(e, t) + A df(e) / N) / (df(t) + A), so what one text
+says counts, but less. Terms whose share of IC(e) reaches a threshold are generalised or, above a higher one, removed
+wherever they stand beside e.
 """
 
 from __future__ import annotations
@@ -91,13 +93,13 @@ def document_frequency(docs: DataFrame, wanted: DataFrame, text: str = "text", s
     return each.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
 
 
-def sanitise(docs: DataFrame, text: str = "text", generalise: float = 0.75, remove: float = 0.9, support: int = 2) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", generalise: float = 0.75, remove: float = 0.9, prior: float = 4.0) -> DataFrame:
     """docs with pii_spans (array of start, k, end, kind, value; patterns and terms) and sanitised (the text without them).
 
     Pattern spans become [EMAIL] and so on, terms are removed (kind term_removed) or become [TERM] (term_general);
-    spans that overlap are replaced once, by the first. A pair of entity and term counts from `support` documents on:
-    fewer say nothing. Null and empty texts have no spans and come out empty; repeated rows are each a document, and
-    get the same spans. Input columns named as the new ones are replaced.
+    spans that overlap are replaced once, by the first. `prior` texts are added to those that hold a term, so that pairs of
+    entity and term seen in one text are weighed too. Null and empty texts have no spans and come out empty; equal texts
+    count once and get the same spans. Input columns named as the new ones are replaced.
     """
     columns = without(docs, "pii_spans", "sanitised")
     base = docs.select(F.struct(*[F.col(c) for c in columns]).alias("__row"), text_or_empty(text).alias("t")).withColumn("s", F.expr(base_spans()))
@@ -105,13 +107,18 @@ def sanitise(docs: DataFrame, text: str = "text", generalise: float = 0.75, remo
     # What holds a pattern span is few and small; it is kept, as three readers follow.
     marked = base.filter(F.size("s") > 0).withColumn("c", F.expr(_terms())).withColumns({"__a": F.xxhash64("t"), "__b": F.xxhash64(F.reverse("t"), F.lit(1))})
     marked = written(marked, "pii-marked")
-    n = docs.count()
-    beside = marked.select(F.explode(F.array_distinct(F.transform("c", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-    pairs = written(beside.groupBy("x.entity", "x.term").agg(F.count("*").alias("c")).filter(F.col("c") >= support), "pii-pairs")
-    entities = marked.select(F.explode(F.array_distinct(F.transform("s", lambda x: F.lower(x["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    df = document_frequency(docs, pairs.select("term").distinct(), text)
-    ic = F.log2(F.lit(float(max(n, 2))) / F.col("n_e"))
-    share = F.when(ic > 0, 1 + F.log2(F.col("c") / F.greatest("df", "c")) / ic).otherwise(0.0)
+    # Equal texts count once.
+    hashes = docs.select(text_or_empty(text).alias("t")).select("t", F.xxhash64("t").alias("__a"), F.xxhash64(F.reverse("t"), F.lit(1)).alias("__b"))
+    texts = hashes.groupBy("__a", "__b").agg(F.first("t").alias("t"))
+    n = hashes.select("__a", "__b").distinct().count()
+    once = marked.groupBy("__a", "__b").agg(F.first("s").alias("s"), F.first("c").alias("c"))
+    beside = once.select(F.explode(F.array_distinct(F.transform("c", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
+    pairs = written(beside.groupBy("x.entity", "x.term").agg(F.count("*").alias("c")), "pii-pairs")
+    entities = once.select(F.explode(F.array_distinct(F.transform("s", lambda x: F.lower(x["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    df = document_frequency(texts, pairs.select("term").distinct(), "t")
+    total = F.lit(float(max(n, 2)))
+    ic = F.log2(total / F.col("n_e"))
+    share = F.when(ic > 0, 1 + F.log2((F.col("c") + prior * F.col("n_e") / total) / (F.greatest("df", "c") + prior)) / ic).otherwise(0.0)
     telling = pairs.join(entities, "entity").join(df, "term").withColumn("share", share).filter(F.col("share") >= generalise)
     telling = written(telling.select("entity", "term", (F.col("share") >= remove).alias("gone")), "pii-telling")
     # Spans are a text's own, so equal texts share them.
