@@ -166,9 +166,22 @@ def _terms_found(spark, texts):
 
 
 def test_a_term_of_one_document_is_weighed_with_or_without_copies(spark):
-    texts = [f"please write to us about item number {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}" for i in range(1000)]
+    texts = [f"please write to us at once about item number {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}" for i in range(1000)]
     texts[5] = "please write to Zbigniew at zb@ex.org about item"
     alone = _terms_found(spark, texts)
     assert alone[5] == {"zbigniew": "term_general"}
     copied = _terms_found(spark, [*texts, texts[5]])
     assert copied[5] == copied[1000] == alone[5]
+
+
+def test_terms_are_found_in_the_whole_text_and_removed_from_every_text(spark):
+    abc = "abcdefghij"
+    texts = [f"item {abc[i % 10]}{abc[i // 10 % 10]}{abc[i // 100 % 10]}{abc[i // 1000]} in a list" for i in range(3000)]
+    far = " item in a list" * 20
+    for i in range(12):
+        texts[i] = f"Li X7k9{far}\n{far} zb@ex.org{' a' * i}"
+    texts[20] = "item li in a list without an address"
+    found = _terms_found(spark, texts)
+    assert all(found[i] == {"li": "term_removed", "x7k9": "term_removed"} for i in range(12))
+    rows = pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("doc_id = 20").collect()
+    assert [(s.start, s.end, s.kind) for s in rows[0].pii_spans] == [(5, 7, "term_removed")] and rows[0].sanitised == "item  in a list without an address"

@@ -1,16 +1,16 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
-Patterns find e-mail and IP addresses, card and phone numbers. What stands beside them on a line is then weighed by what
-the corpus says: with N distinct texts, df(e) of them holding entity e, IC(e) = log2(N / df(e)) bits identify e; a term t
-found beside e in c(e, t) texts, and in df(t) texts at all, gives away log2(P(e | t)) + IC(e) of them. P(e | t) is smoothed
+Patterns find e-mail and IP addresses, card and phone numbers. What else stands in a text that holds one is then weighed by
+what the corpus says: with N distinct texts, df(e) of them holding entity e, IC(e) = log2(N / df(e)) bits identify e; a term t
+found with e in c(e, t) texts, and in df(t) texts at all, gives away log2(P(e | t)) + IC(e) of them. P(e | t) is smoothed
 by A prior texts that hold t, and hold e as often as any text does: (c(e, t) + A df(e) / N) / (df(t) + A), so what one text
-says counts, but less. Terms whose share of IC(e) reaches a threshold are generalised or, above a higher one, removed
-wherever they stand beside e.
+says counts, but less. Terms whose share of IC(e) reaches a threshold are generalised wherever they stand in a text that holds e
+or, above a higher one, removed from every text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm._common import table, text_or_empty, without, written
@@ -25,9 +25,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GATES = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-TERM = r"\p{L}{3,}"
-#: Code points on either side of an entity that are beside it.
-BESIDE = 64
+#: Words, names and identifiers: runs of letters and digits.
+TERM = r"[\p{L}\p{M}\p{N}]+"
+#: Rows of a list that is sent to every task, at most.
+SMALL = 100_000
 
 
 def _quoted(pattern: str) -> str:
@@ -71,23 +72,35 @@ def base_spans(text: str = "t") -> str:
     return f"array_sort(concat({', '.join(found)}))"
 
 
-def _terms(text: str = "t", spans: str = "s") -> str:
-    """SQL for the terms beside each span on its line, outside all spans: array of (entity, term, start, end)."""
-    near = f"""named_struct('e', lower(b.value), 'end', b.end,
-      'left', regexp_replace(regexp_extract(substring({text}, greatest(b.start - {BESIDE - 1}, 1), least(b.start, {BESIDE})), '[^\\n]*\\\\z', 0), CASE WHEN b.start > {BESIDE} THEN '\\\\A\\\\p{{L}}+' ELSE '\\\\A\\\\z' END, ''),
-      'right', regexp_replace(regexp_extract(substring({text}, b.end + 1, {BESIDE}), '\\\\A[^\\n]*', 0), CASE WHEN length({text}) > b.end + {BESIDE} THEN '\\\\p{{L}}+\\\\z' ELSE '\\\\A\\\\z' END, ''), 'start', b.start)"""
-    left = f"transform({_spans('n.left', TERM)}, x -> named_struct('entity', n.e, 'term', lower(x.value), 'start', n.start - length(n.left) + x.start, 'end', n.start - length(n.left) + x.end))"
-    right = f"transform({_spans('n.right', TERM)}, x -> named_struct('entity', n.e, 'term', lower(x.value), 'start', n.end + x.start, 'end', n.end + x.end))"
-    return f"filter(flatten(transform(transform({spans}, b -> {near}), n -> concat({left}, {right}))), x -> NOT exists({spans}, b -> x.start < b.end AND b.start < x.end))"
+def _outside(text: str = "t", spans: str = "s") -> str:
+    """SQL for the text with its spans blanked, so that what is left stands where it stood."""
+    return f"""aggregate({spans}, named_struct('at', 0, 'out', cast(array() AS array<string>)),
+      (a, x) -> named_struct('at', greatest(a.at, x.end), 'out', array_append(a.out, concat(substring({text}, a.at + 1, greatest(x.start - a.at, 0)), repeat(' ', x.end - greatest(a.at, x.start))))),
+      a -> concat(array_join(a.out, ''), substring({text}, a.at + 1, length({text}) - a.at)))"""
 
 
-def document_frequency(docs: DataFrame, wanted: DataFrame, text: str = "text", small: int = 100_000) -> DataFrame:
-    """(term, df): in how many rows of docs each term of wanted (term, distinct) occurs, over all rows and whole texts.
+def _term_spans(text: str, kinds: str) -> str:
+    """SQL for where the terms that are keys of `kinds` (a map to their kind) stand in a text, as spans."""
+    p = _quoted(TERM)
+    pairs = f"filter(zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (m, g) -> named_struct('m', m, 'g', g)), x -> x.m IS NOT NULL)"
+    return f"""aggregate({pairs},
+      named_struct('at', 0, 'out', cast(array() AS array<struct<start: int, k: int, end: int, kind: string, value: string>>)),
+      (a, x) -> named_struct('at', a.at + length(x.g) + length(x.m), 'out', CASE WHEN map_contains_key({kinds}, lower(x.m)) THEN array_append(a.out,
+        named_struct('start', a.at + length(x.g), 'k', {len(KINDS)}, 'end', a.at + length(x.g) + length(x.m), 'kind', element_at({kinds}, lower(x.m)), 'value', lower(x.m))) ELSE a.out END),
+      a -> a.out)"""
+
+
+def _distinct_terms(text: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)), F.lower))
+
+
+def document_frequency(docs: DataFrame, wanted: DataFrame, text: str = "text", small: int = SMALL) -> DataFrame:
+    """(term, df): in how many rows of docs each term of wanted (term, distinct) occurs, over all rows and whole texts (not null).
 
     A list of at most `small` terms is sent to every task, which then passes on its own counts of those only; a longer
     one is joined after each task has counted all its terms.
     """
-    each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(TERM), F.lit(0)))).alias("term"))
+    each = docs.select(F.explode(_distinct_terms(text)).alias("term"))
     if wanted.limit(small + 1).count() <= small:
         return each.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     return each.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
@@ -96,43 +109,65 @@ def document_frequency(docs: DataFrame, wanted: DataFrame, text: str = "text", s
 def sanitise(docs: DataFrame, text: str = "text", generalise: float = 0.75, remove: float = 0.9, prior: float = 4.0) -> DataFrame:
     """docs with pii_spans (array of start, k, end, kind, value; patterns and terms) and sanitised (the text without them).
 
-    Pattern spans become [EMAIL] and so on, terms are removed (kind term_removed) or become [TERM] (term_general);
+    Pattern spans become [EMAIL] and so on; terms, wherever they stand in the text, are removed (kind term_removed) or become [TERM] (term_general);
     spans that overlap are replaced once, by the first. `prior` texts are added to those that hold a term, so that pairs of
     entity and term seen in one text are weighed too. Null and empty texts have no spans and come out empty; equal texts
     count once and get the same spans. Input columns named as the new ones are replaced.
     """
     columns = without(docs, "pii_spans", "sanitised")
-    base = docs.select(F.struct(*[F.col(c) for c in columns]).alias("__row"), text_or_empty(text).alias("t")).withColumn("s", F.expr(base_spans()))
-    clean = base.filter(F.size("s") == 0)
-    # What holds a pattern span is few and small; it is kept, as three readers follow.
-    marked = base.filter(F.size("s") > 0).withColumn("c", F.expr(_terms())).withColumns({"__a": F.xxhash64("t"), "__b": F.xxhash64(F.reverse("t"), F.lit(1))})
-    marked = written(marked, "pii-marked")
+    base = docs.select(F.struct(*[F.col(c) for c in columns]).alias("__row"), text_or_empty(text).alias("t"))
+    base = base.withColumns({"__a": F.xxhash64("t"), "__b": F.xxhash64(F.reverse("t"), F.lit(1)), "s": F.expr(base_spans())})
+    # What holds a pattern span is few and small; it is kept, as several readers follow.
+    marked = written(base.filter(F.size("s") > 0), "pii-marked")
     # Equal texts count once.
     hashes = docs.select(text_or_empty(text).alias("t")).select("t", F.xxhash64("t").alias("__a"), F.xxhash64(F.reverse("t"), F.lit(1)).alias("__b"))
     texts = hashes.groupBy("__a", "__b").agg(F.first("t").alias("t"))
     n = hashes.select("__a", "__b").distinct().count()
-    once = marked.groupBy("__a", "__b").agg(F.first("s").alias("s"), F.first("c").alias("c"))
-    beside = once.select(F.explode(F.array_distinct(F.transform("c", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-    pairs = written(beside.groupBy("x.entity", "x.term").agg(F.count("*").alias("c")), "pii-pairs")
-    entities = once.select(F.explode(F.array_distinct(F.transform("s", lambda x: F.lower(x["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    df = document_frequency(texts, pairs.select("term").distinct(), "t")
+    once = marked.groupBy("__a", "__b").agg(F.first("s").alias("s"), F.first("t").alias("t")).withColumn("t", F.expr(_outside()))
+    once = once.select("__a", "__b", F.array_distinct(F.transform("s", lambda x: F.lower(x["value"]))).alias("e"), _distinct_terms("t").alias("c"))
+    once = written(once, "pii-once")
+    pairs = once.select(F.explode("e").alias("entity"), "c").select("entity", F.explode("c").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("c"))
+    inside = once.select(F.explode("c").alias("term")).groupBy("term").agg(F.count("*").alias("n_marked"))
+    entities = once.select(F.explode("e").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    df = document_frequency(texts, inside.select("term"), "t").join(inside, "term")
     total = F.lit(float(max(n, 2)))
     ic = F.log2(total / F.col("n_e"))
     share = F.when(ic > 0, 1 + F.log2((F.col("c") + prior * F.col("n_e") / total) / (F.greatest("df", "c") + prior)) / ic).otherwise(0.0)
     telling = pairs.join(entities, "entity").join(df, "term").withColumn("share", share).filter(F.col("share") >= generalise)
-    telling = written(telling.select("entity", "term", (F.col("share") >= remove).alias("gone")), "pii-telling")
-    # Spans are a text's own, so equal texts share them.
-    own = marked.groupBy("__a", "__b").agg(F.first("c").alias("c")).select("__a", "__b", F.explode("c").alias("x")).select("__a", "__b", "x.*")
-    terms = own.join(telling, ["entity", "term"]).groupBy("__a", "__b", "start", "end").agg(F.max("gone").alias("gone"), F.min("term").alias("term"))
-    kind = F.when(F.col("gone"), "term_removed").otherwise("term_general")
-    terms = terms.groupBy("__a", "__b").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), "end", kind.alias("kind"), F.col("term").alias("value"))).alias("m"))
-    both = marked.join(terms, ["__a", "__b"], "left").select("__row", "t", F.expr("array_sort(concat(s, coalesce(m, filter(s, x -> false))))").alias("s"))
+    telling = written(telling.select("entity", "term", (F.col("share") >= remove).alias("gone"), "df", "n_marked"), "pii-telling")
+    # A removed term goes from every text; only one that more texts hold than have spans can stand in any other.
+    gone = written(telling.filter("gone").groupBy("term").agg(F.max(F.col("df") > F.col("n_marked")).alias("wide")), "pii-gone")
+    own = once.select("__a", "__b", F.explode("e").alias("entity"), "c").select("__a", "__b", "entity", F.explode("c").alias("term"))
+    general = own.join(telling.filter(~F.col("gone")).select("entity", "term"), ["entity", "term"]).select("__a", "__b", "term", F.lit(False).alias("gone"))
+    held = once.select("__a", "__b", F.explode("c").alias("term")).join(gone.select("term"), "term").select("__a", "__b", "term", F.lit(True).alias("gone"))
+    wide = gone.filter("wide").select("term")
+    parts = [general, held]
+    if not wide.isEmpty():
+        small = wide.limit(SMALL + 1).count() <= SMALL
+        others = texts.select("__a", "__b", F.explode(_distinct_terms("t")).alias("term")).join(F.broadcast(wide) if small else wide, "term")
+        parts.append(others.join(once.select("__a", "__b"), ["__a", "__b"], "left_anti").select("__a", "__b", "term", F.lit(True).alias("gone")))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    kind = F.when(F.max("gone"), "term_removed").otherwise("term_general")
+    found = found.groupBy("__a", "__b", "term").agg(kind.alias("kind")).groupBy("__a", "__b").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("m"))
+    found = written(found, "pii-found")
+    # Few texts without a pattern span hold such a term; the rest are not moved.
+    clean = base.filter(F.size("s") == 0)
+    if wide.isEmpty():
+        clean = clean.withColumn("m", F.lit(None).cast(found.schema["m"].dataType))
+    else:
+        hits = written(found.join(once.select("__a", "__b"), ["__a", "__b"], "left_anti"), "pii-hits")
+        clean = clean.join(F.broadcast(hits) if hits.limit(SMALL + 1).count() <= SMALL else hits, ["__a", "__b"], "left")
+    both = marked.join(found, ["__a", "__b"], "left").unionByName(clean)
+    terms = f"CASE WHEN m IS NULL THEN filter(s, x -> false) ELSE {_term_spans(_outside(), 'm')} END"
+    both = both.select("__row", "t", F.expr(f"CASE WHEN m IS NULL THEN s ELSE array_sort(concat(s, {terms})) END").alias("s"))
     label = "CASE x.kind WHEN 'term_removed' THEN '' WHEN 'term_general' THEN '[TERM]' ELSE concat('[', upper(x.kind), ']') END"
     merged = f"""aggregate(s, named_struct('at', 0, 'out', cast(array() AS array<string>)),
       (a, x) -> CASE WHEN x.start < a.at THEN named_struct('at', greatest(a.at, x.end), 'out', a.out)
         ELSE named_struct('at', x.end, 'out', array_append(a.out, concat(substring(t, a.at + 1, x.start - a.at), {label}))) END,
       a -> concat(array_join(a.out, ''), substring(t, a.at + 1, length(t) - a.at)))"""
-    done = both.withColumn("o", F.expr(merged)).unionByName(clean.select("__row", "t", "s", F.col("t").alias("o")))
+    done = both.withColumn("o", F.expr(f"CASE WHEN size(s) = 0 THEN t ELSE {merged} END"))
     return done.select(*[F.col("__row")[c].alias(c) for c in columns], F.col("s").alias("pii_spans"), F.col("o").alias("sanitised"))
 
 
