@@ -1,15 +1,16 @@
-"""Language-model scoring with a weighted backoff automaton, built where it is needed.
+"""Language-model scoring with an interpolated bigram, whose counts are gathered where they are needed.
 
-States are histories of words. A state has an arc for each word seen after it, and a failure arc to the empty history;
-with c the counts in training documents and m a weight, the arc of w at h has
+This stands in for a weighted backoff automaton of higher order: there are no states, failure arcs or traversal. With c
+the counts in training documents and m a weight, word w after word h has
 
-    log10((c(h w) + m p(w)) / (c(h) + m)),    the failure arc log10(m / (c(h) + m)),    p(w) = (c(w) + 1) / (N + V + 1)
+    log10((c(h w) + m p(w)) / (c(h) + m)),    p(w) = (c(w) + 1) / (N + V + 1)
 
-so that the words after a state, seen or reached by failing, have probabilities that sum to one.
+which for a pair never seen is log10(m / (c(h) + m)) + log10(p(w)), one step of failing; so the words after h have
+probabilities that sum to one.
 
-No task holds the whole automaton. Documents are dealt into batches of bounded size. A batch sends, to each shard of the
+No task holds the whole model. Documents are dealt into batches of bounded size. A batch sends, to each shard of the
 n-grams, the sorted keys it holds with its training counts; shards add them up and answer each batch with the counts of
-its own keys, in order. A batch then has just the states and arcs that its texts can reach and walks each text once.
+its own keys, in order. A batch then has just the counts that its texts ask for and scores all their words at once.
 """
 
 from __future__ import annotations
@@ -113,8 +114,7 @@ def _scores(shards: int, weight: float):
         state[batch.starts] = word[batch.starts + batch.lengths() - 1]
         unigram = (word + 1) / (n + v + 1)
         base = np.log10(unigram)
-        arc, fail = np.log10((pair + weight * unigram) / (state + weight)), np.log10(weight / (state + weight))
-        walked = np.where(pair > 0, arc, fail + base)
+        after = np.log10((pair + weight * unigram) / (state + weight))
 
         def over(x: np.ndarray) -> np.ndarray:
             return np.add.reduceat(x, batch.starts)
@@ -122,7 +122,7 @@ def _scores(shards: int, weight: float):
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(batch.lengths(), pa.int64()),
             "n_known": pa.array(over((word > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array([n] * docs.num_rows, pa.int64()),
-            "base_score": pa.array(over(base)), "score": pa.array(over(walked)),
+            "base_score": pa.array(over(base)), "score": pa.array(over(after)),
         })
 
     return run
