@@ -7,6 +7,7 @@ cut beforehand where the splitting pattern is certain to cut too, so each call t
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -15,26 +16,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import table, without
+from tidewatch.llm._common import columns_of, quoted, slices, table, without
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: An ASCII letter or digit, then a space: no match of the pattern holds both, and none looks behind.
 _CUT = re.compile(r"(?<=[A-Za-z0-9]) ")
 
 
+@functools.cache
 def encoding(rank_file: str, pattern: str | None = None):
     """The encoder of a rank file (a path, or a name the public_tokenizers package knows), kept per process."""
     import public_tokenizers
     import tiktoken
-    from tiktoken.registry import ENCODINGS
 
-    pattern = pattern or public_tokenizers.PATTERN
-    name = f"{rank_file} {pattern}"
-    if name not in ENCODINGS:
-        with open(rank_file if "/" in rank_file else public_tokenizers.path(rank_file), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        ENCODINGS[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return ENCODINGS[name]
+    with open(rank_file if "/" in rank_file else public_tokenizers.path(rank_file), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+    return tiktoken.Encoding(rank_file, pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def pieces(text: str, most: int = 65_536) -> Iterator[str]:
@@ -61,8 +58,8 @@ def _mapped(columns: list[str], text: str, rank_file: str, made: Callable[[objec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding(rank_file)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            whole = batch.schema.field(text).type != pa.string()  # lists of ids, not texts
+            for part in [batch.slice(i, 256) for i in range(0, batch.num_rows, 256)] if whole else slices(batch, text, 256):
                 new = made(encoder, part.column(text).to_pylist())
                 kept = [part.column(c) for c in columns]
                 yield pa.RecordBatch.from_arrays([*kept, *new[:-1]], [*columns, *new[-1]])
@@ -81,8 +78,8 @@ def bpe_encode(docs: DataFrame, text: str = "text", rank_file: str = RANKS) -> D
         ids = [encode(encoder, t) for t in texts]
         return [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), ["token_ids", "n_tokens"]]
 
-    schema = docs.select(*columns).withColumns({"token_ids": F.lit(None).cast("array<int>"), "n_tokens": F.lit(None).cast("long")}).schema
-    return docs.select(*columns).mapInArrow(_mapped(columns, text, rank_file, made), schema)
+    schema = docs.select(*columns_of(columns)).withColumns({"token_ids": F.lit(None).cast("array<int>"), "n_tokens": F.lit(None).cast("long")}).schema
+    return docs.select(*columns_of(columns)).mapInArrow(_mapped(columns, text, rank_file, made), schema)
 
 
 def bpe_decode(tokens: DataFrame, ids: str = "token_ids", rank_file: str = RANKS) -> DataFrame:
@@ -92,8 +89,8 @@ def bpe_decode(tokens: DataFrame, ids: str = "token_ids", rank_file: str = RANKS
     def made(encoder, lists):
         return [pa.array([encoder.decode_bytes(x or []) for x in lists], pa.binary()), ["decoded"]]
 
-    schema = tokens.select(*columns).withColumn("decoded", F.lit(None).cast("binary")).schema
-    return tokens.select(*columns).mapInArrow(_mapped(columns, ids, rank_file, made), schema)
+    schema = tokens.select(*columns_of(columns)).withColumn("decoded", F.lit(None).cast("binary")).schema
+    return tokens.select(*columns_of(columns)).mapInArrow(_mapped(columns, ids, rank_file, made), schema)
 
 
 def bpe_round_trip(docs: DataFrame, text: str = "text", rank_file: str = RANKS) -> DataFrame:
@@ -110,14 +107,15 @@ def bpe_round_trip(docs: DataFrame, text: str = "text", rank_file: str = RANKS)
         return [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_()), ["token_ids", "n_tokens", "round_trip"]]
 
     new = {"token_ids": F.lit(None).cast("array<int>"), "n_tokens": F.lit(None).cast("long"), "round_trip": F.lit(None).cast("boolean")}
-    rows = docs.select(*columns, F.col(text).alias("__text"))
-    return rows.mapInArrow(_mapped(columns, "__text", rank_file, made), docs.select(*columns).withColumns(new).schema)
+    rows = docs.select(*columns_of(columns), quoted(text).alias("__text"))
+    return rows.mapInArrow(_mapped(columns, "__text", rank_file, made), docs.select(*columns_of(columns)).withColumns(new).schema)
 
 
 def bpe_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rank_file: str = RANKS) -> DataFrame:
-    """One row a document: doc_id, n_tokens, digests of its ids and of the bytes they decode to.
+    """One row a document: doc_id (of any type), n_tokens, digests of its ids and of the bytes they decode to.
 
-    Ids and bytes are made and digested batch by batch, so that neither crosses to the JVM.
+    Ids and bytes are made and digested batch by batch, so that neither crosses to the JVM. Null and empty texts have no
+    tokens; very long ones are cut where the pattern is certain to cut. An empty table gives no rows.
     """
 
     def made(encoder, texts):
@@ -126,8 +124,9 @@ def bpe_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ran
         back = [hashlib.sha256(encoder.decode_bytes(x)).hexdigest() for x in ids]
         return [pa.array([len(x) for x in ids], pa.int64()), pa.array(coded), pa.array(back), ["n_tokens", "ids_sha256", "decoded_sha256"]]
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
+    new = {"n_tokens": F.lit(None).cast("long"), "ids_sha256": F.lit(None).cast("string"), "decoded_sha256": F.lit(None).cast("string")}
+    schema = rows.select("doc_id").withColumns(new).schema
     return rows.mapInArrow(_mapped(["doc_id"], "text", rank_file, made), schema)
 
 

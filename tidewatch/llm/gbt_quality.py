@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import table, without
+from tidewatch.llm._common import columns_of, quoted, slices, table, without
 
 FEATURES = [
     "log_words", "log_chars", "word_chars", "ascii_lower", "upper", "digit", "space", "newline", "symbol", "punctuation", "pipe", "exclaim", "high_bytes", "control",
@@ -129,42 +129,49 @@ def fit(x: np.ndarray, y: np.ndarray, n_trees: int = 80, depth: int = 4, rate: f
 def with_features(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [text_features(t) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(x, pa.list_(pa.float64()))], [*keep, "features"])
+            for part in slices(batch, text):
+                x = [text_features(t.as_py()) for t in part.column(text)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(x, pa.list_(pa.float64()))], [*keep, "features"])
 
-    rows = docs.select(*dict.fromkeys([*keep, text]))
-    return rows.mapInArrow(run, rows.select(*keep).withColumn("features", F.lit(None).cast("array<double>")).schema)
+    rows = docs.select(*columns_of(list(dict.fromkeys([*keep, text]))))
+    return rows.mapInArrow(run, rows.select(*columns_of(keep)).withColumn("features", F.lit(None).cast("array<double>")).schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 20_000, **settings) -> Forest:
     """A forest from at most `sample` labelled documents: those whose ids hash lowest, so that reruns agree.
 
-    Rows without an id, and labels that are null, are left out; a document labelled twice counts once, with the larger label.
+    Rows without an id, and labels that are null, are left out; a document labelled twice counts once, with the larger
+    label. Rows that repeat an id count as one document, with the mean of their features. Empty tables give a forest
+    without splits.
     """
-    known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("__y"))
-    chosen = known.orderBy(F.xxhash64(F.col(doc_id), F.lit(5)), doc_id).limit(sample)
-    rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id)  # at most `sample` pairs of numbers
-    found = with_features(rows, [doc_id, "__y"], text).orderBy(doc_id).limit(2 * sample).collect()
-    x = np.array([r["features"] for r in found], dtype=np.float64).reshape(len(found), len(FEATURES))
-    return fit(x, np.array([r["__y"] for r in found], dtype=np.float64), **settings)
+    known = labels.select(quoted(doc_id).alias("id"), quoted(label).alias("y")).filter("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
+    chosen = known.orderBy(F.xxhash64(F.col("id"), F.lit(5)), "id").limit(sample)
+    rows = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("t")).join(F.broadcast(chosen), "id")  # at most `sample` pairs of numbers
+    means = [F.avg(F.col("features")[i]).alias(f"f{i}") for i in range(len(FEATURES))]
+    found = with_features(rows, ["id", "y"], "t").groupBy("id").agg(F.first("y").alias("y"), *means).orderBy("id").collect()  # a row for each of `chosen` at most
+    x = np.array([r[2:] for r in found], dtype=np.float64).reshape(len(found), len(FEATURES))
+    return fit(x, np.array([r["y"] for r in found], dtype=np.float64), **settings)
 
 
 def score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
-    """docs with quality_score, from 0 to 1. Every row is scored by its whole text; null counts as empty."""
+    """docs with quality_score, from 0 to 1. Every row is scored by its whole text; null counts as empty.
+
+    Texts are read one at a time, so that a very long one costs its own length. An empty table gives no rows; repeated
+    rows are scored each, alike. An input column named quality_score is replaced; others come back."""
     columns = without(docs, "quality_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                x = np.array([text_features(t) for t in part.column(text).to_pylist()])
+            for part in slices(batch, text):
+                x = np.array([text_features(t.as_py()) for t in part.column(text)])
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(forest.score(x))], [*columns, "quality_score"])
 
-    return docs.select(*columns).mapInArrow(run, docs.select(*columns).withColumn("quality_score", F.lit(None).cast("double")).schema)
+    rows = docs.select(*columns_of(columns))
+    return rows.mapInArrow(run, rows.withColumn("quality_score", F.lit(None).cast("double")).schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0):
-    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds)) == fold, F.lit(False))
+    return F.coalesce(F.pmod(F.crc32(quoted(doc_id).cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
 def op7_histogram_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:

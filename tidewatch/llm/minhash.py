@@ -6,7 +6,8 @@
    which two sketches agree is concentrated about the Jaccard similarity.
 2. Texts with equal sets form a class, known by a 128-bit hash of the set; only classes are compared.
 3. Coordinates are banded. Classes that share a band are candidates; each bucket's smallest class is its first pivot.
-4. Candidates are verified on the full sets of shingles of their texts, as strings.
+4. Candidates are verified on the full sets of shingles of their texts, each shingle known by a 64-bit hash (two different
+   shingles of a pair share one less than once in 10^12 pairs of texts of 1,000 words).
 5. Links form components. Buckets that still hold several components, though not all their pairs have met, make up
    families of classes. A family is cut into blocks, those of a large component holding nothing else, and every two
    blocks meet in a task, but for two of one component: the task counts all common shingles by matrix products and
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import table, without, written
+from tidewatch.llm._common import columns_of, quoted, slices, table, without, written
 
 #: Sketch coordinates and rows a band. At a similarity of 0.8 a pair misses all 36 bands six times in ten million.
 COORDINATES, ROWS = 180, 5
@@ -69,22 +70,19 @@ def shingle_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def shingles(words: list[bytes], width: int) -> set[bytes]:
-    """Distinct shingles of words; fewer words than width are one shingle, no words none."""
-    if len(words) <= width:
-        return {b" ".join(words)} if words else set()
-    return set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
-
-
 class _Hashes(dict):
+    """Hashes of words. Few enough are kept that a worker's memory does not grow with the vocabulary."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 65_536:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-def _shingle_hashes(words: list[bytes], width: int, hashes: _Hashes) -> np.ndarray:
+def shingles(text: str | None, width: int, hashes: _Hashes) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles; fewer words than width are one shingle, no words none."""
+    words = shingle_words(text)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     if not len(h):
         return h
@@ -102,11 +100,10 @@ def sketches(docs: DataFrame, text: str, width: int, t: int = COORDINATES, rows:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in slices(batch, text):
                 n, keys, bands = [], [], []
                 for value in part.column(text).to_pylist():
-                    found = _shingle_hashes(shingle_words(value), width, hashes)
+                    found = shingles(value, width, hashes)
                     n.append(len(found))
                     keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                     bands.append(band_keys(sketch(found, t), rows) if len(found) else None)
@@ -122,15 +119,15 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, found = None, set()
+        last, found, hashes = None, np.zeros(0, np.uint64), _Hashes()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
                 x, y = x.as_py(), y.as_py()
                 if x != last:  # a pivot's pairs come together
-                    last, found = x, shingles(shingle_words(x), width)
-                other = shingles(shingle_words(y), width)
-                same = len(found & other)
+                    last, found = x, shingles(x, width, hashes)
+                other = shingles(y, width, hashes)
+                same = len(np.intersect1d(found, other, assume_unique=True))
                 keep.append(100 * same >= percent * (len(found) + len(other) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -170,12 +167,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def common(sets: list[set[bytes]]) -> np.ndarray:
+def common(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles each two sets share. Shingles of many sets go through a matrix product, the others through
     counts of the pairs they make, of which a shingle of 16 sets makes 120."""
-    ids: dict[bytes, int] = {}
-    held = [np.fromiter((ids.setdefault(x, len(ids)) for x in s), np.int64, len(s)) for s in sets]
-    n, shingle, row = len(sets), np.concatenate(held), np.repeat(np.arange(len(sets)), [len(x) for x in held])
+    n, row = len(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    ids, shingle = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(shingle, kind="stable")
     row, df = row[order], np.bincount(shingle, minlength=len(ids))
     first = np.cumsum(df) - df
@@ -199,8 +195,9 @@ def common(sets: list[set[bytes]]) -> np.ndarray:
 
 
 def _met(members: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 384) -> DataFrame:
-    """Links (a, b) that join components of a family. members: key, root, family, all distinct."""
-    sizes = members.groupBy("family", "root").agg(F.count("*").alias("n"))
+    """Links (a, b) that join components of a family. members: key, root, family, weight, all distinct. A block holds
+    about `block` texts, or fewer longer ones: a weight is a text's shingles in thousands, 1 at least."""
+    sizes = members.groupBy("family", "root").agg(F.sum("weight").alias("n"))
     pools = sizes.filter(F.col("n") < block).groupBy("family").agg(F.sum("n").alias("pool"))
     sizes = sizes.join(pools, "family", "left")
     pooled = F.pmod(F.xxhash64("root"), F.ceil(F.col("pool") / block))
@@ -222,7 +219,8 @@ def _met(members: DataFrame, texts: DataFrame, width: int, percent: int, block:
                 above[r] = r = above[above[r]]
             return r
 
-        shared = common([shingles(shingle_words(x), width) for x in group.column("text").to_pylist()])
+        hashes = _Hashes()
+        shared = common([shingles(x.as_py(), width, hashes) for x in group.column("text")])
         own_size = np.diag(shared)
         near = 100 * shared >= percent * (own_size[:, None] + own_size[None, :] - shared)
         out = []
@@ -243,12 +241,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest doc_id reachable over links (its own for texts without words, which are linked with nothing; null if no
     document there has an id), and kept says that it is the row's own: rows that repeat an id agree, and a null id is kept
     only where component_id is null too. Null texts have no words. An empty table gives no rows. Equal sets are one class
-    and cost no links. Input columns named as the new ones (and set_key, bands) are replaced.
+    (by a 128-bit hash) and cost no links. Very long texts are hashed one at a time, and verified with fewer others at once.
+    Input columns named as the new ones (and set_key, bands) are replaced; others come back.
     """
     columns = without(docs, "n_shingles", "component_id", "kept", "set_key", "bands")
-    prepared = written(sketches(docs.select(*columns), text, width), "sketches")
-    some = prepared.filter("set_key IS NOT NULL").select(F.col("set_key").alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"), "bands")
-    classes = written(some.groupBy("key").agg(F.first("bands").alias("bands"), F.min("id").alias("least")), "classes")
+    prepared = written(sketches(docs.select(*columns_of(columns)), text, width), "sketches")
+    some = prepared.filter("set_key IS NOT NULL").select(F.col("set_key").alias("key"), quoted(doc_id).alias("id"), quoted(text).alias("text"), "n_shingles", "bands")
+    weight = F.greatest(F.lit(1.0), F.first("n_shingles") / 1000).alias("weight")
+    classes = written(some.groupBy("key").agg(F.first("bands").alias("bands"), F.min("id").alias("least"), weight), "classes")
     banded = classes.select("key", F.explode("bands").alias("band"))
     # Buckets of several classes; of buckets with the same members one is enough.
     buckets = banded.groupBy("band").agg(
@@ -271,14 +271,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     waiting = written(waiting.join(spread.select("band", "first"), "band").select("key", "root", "first").distinct(), "waiting")
     if not waiting.isEmpty():
         families = components(waiting.select(F.col("first").alias("a"), F.col("key").alias("b"))).select(F.col("node").alias("key"), F.col("root").alias("family"))
-        links = links.unionByName(written(_met(waiting.select("key", "root").distinct().join(families, "key"), texts, width, percent), "links"))
+        links = links.unionByName(written(_met(waiting.select("key", "root").distinct().join(families, "key").join(classes.select("key", "weight"), "key"), texts, width, percent), "links"))
         roots = components(links)
     named = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = named.join(smallest, "root").select(F.col("key").alias("set_key"), "component_id")
     out = prepared.filter("set_key IS NOT NULL").drop("bands").join(found, "set_key", "left")
-    out = out.unionByName(prepared.filter("set_key IS NULL").drop("bands").withColumn("component_id", F.col(doc_id)))
-    return out.select(*columns, "n_shingles", "component_id", F.col(doc_id).eqNullSafe(F.col("component_id")).alias("kept"))
+    out = out.unionByName(prepared.filter("set_key IS NULL").drop("bands").withColumn("component_id", quoted(doc_id)))
+    return out.select(*columns_of(columns), "n_shingles", "component_id", quoted(doc_id).eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op3_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFrame:
