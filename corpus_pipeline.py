@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, gbt_quality, minhash, mixing, pii
-from tidewatch.llm._common import table, words, written
+from tidewatch.llm._common import scratch, shared_dir, table, words
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    out = mixing.mix(docs, F.size(words(F.col("text"))))
+    out = mixing.mix(docs, F.size(words(F.col("text"))))  # only sizes and hashes go through the duels
     return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
@@ -43,7 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's output is stored; what it wrote on the way is deleted then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
