@@ -53,7 +53,8 @@ def test_every_coordinate_of_a_sketch_fills_and_agreement_estimates_similarity()
 
 def test_common_counts():
     sets = [{bytes([i, j]) for i in range(40) if (i * k) % 3} for k in range(30) for j in (0, k % 2)]
-    assert (minhash.common(sets) == np.array([[len(a & b) for b in sets] for a in sets])).all()
+    arrays = [np.unique(np.array([int.from_bytes(x) for x in s], np.uint64)) for s in sets]
+    assert (minhash.common(arrays) == np.array([[len(a & b) for b in sets] for a in sets])).all()
 
 
 def test_shards_are_gapless_and_grow_into_the_new_one(docs):
@@ -79,10 +80,57 @@ def test_pii_spans_and_text(docs):
     assert "@" not in got[0].sanitised and "[PHONE]" in got[0].sanitised
 
 
-def test_language_model_sums_to_one_and_counts(docs):
+def test_language_model_counts_every_row(docs):
     got = ngram_lm.score(docs).collect()
     assert len(got) == len(ROWS) and {r.n_tokens for r in got if r.doc_id in (4, 5)} == {1}
     assert all(r.score < 0 and r.base_score < 0 for r in got)
+    assert ngram_lm.score(docs.filter("false")).count() == 0
+
+
+def _model(texts):
+    """Counts of n-grams, and p(word after history) by brute force; histories are tuples of up to two words."""
+    grams = {}
+    for t in texts:
+        seen = [" start", *t.lower().split(), " end"]
+        for i in range(len(seen)):
+            for k in range(min(i, 2) + 1):
+                g = tuple(seen[i - k : i + 1])
+                grams[g] = grams.get(g, 0) + 1
+    own = [c for g, c in grams.items() if len(g) == 1 and g != (" start",)]
+
+    def p(word, history):
+        if not history:
+            return (grams.get((word,), 0) + 1) / (sum(own) + len(own) + 1)
+        return (grams.get((*history, word), 0) + 8 * p(word, history[1:])) / (grams.get(history, 0) + 8)
+
+    return grams, p
+
+
+def test_the_walk_agrees_with_brute_force_and_sums_to_one(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "PIECE", 4)  # in this process; tasks keep theirs
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcdEF"), rng.integers(0, 30))) for _ in range(60)] + ["a b c d e f " * 120]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_lm.score(docs, batch_bytes=100).collect()}
+    grams, p = _model([t for i, t in enumerate(texts) if not got[i].held_out])
+    wanted = []
+    for i, t in enumerate(texts):
+        seen = [" start", *t.lower().split(), " end"]
+        wanted.append(sum(np.log10(p(seen[j], tuple(seen[max(0, j - 2) : j]))) for j in range(1, len(seen))))
+        assert abs(got[i].score - wanted[i]) < 1e-9
+    words = [g[0] for g in grams if len(g) == 1 and g != (" start",)] + ["never seen"]
+    for history in [(), ("a",), ("a", "b"), (" start",), (" start", "c"), ("zz", "a")]:
+        assert abs(sum(p(w, history) for w in words) - 1) < 1e-9
+    g, held_out = ngram_lm.Grams(texts), np.array([got[i].held_out for i in range(len(texts))])
+    one, two, three = g.trained(held_out)
+    n, v = int(one.sum()), int((one > 0).sum())
+    assert np.abs(ngram_lm.walk(g, (one, two, three), int((~held_out).sum()), n, v, 8.0) - wanted).max() < 1e-9 and held_out.any()
+
+
+def test_packed_keys_come_back():
+    for keys in ([5], [0, 1, 2**64 - 1], sorted(np.random.default_rng(0).integers(0, 2**63, 500).tolist())):
+        keys = np.array(keys, np.uint64)
+        assert (ngram_lm._unpacked(ngram_lm._packed(keys)) == keys).all()
 
 
 def test_repeated_windows(spark):
@@ -124,10 +172,28 @@ def test_calls_link_and_late_dependencies_are_ordered(spark):
     r = spark.createDataFrame([(1, "a", 3, "yes"), (1, "z", 4, "?")], "conv_id long, call_id string, position long, content string")
     got = {x.call_id: x for x in chat_tools.link_tool_calls(c, r).collect()}
     assert got["a"].status == "linked" and got["a"].arguments_json == '{"text":"x","turn":1}' and got["a"].errors == []
-    assert got["z"].status == "orphan" and (got["b"].topo_key, got["a"].topo_key, got["c"].topo_key) == (0, 1, None)
+    assert got["z"].status == "orphan" and (got["b"].topo_key, got["a"].topo_key, got["c"].topo_key, got["d"].topo_key) == ([2], [2, 1], None, None)
     assert got["b"].errors == ["type:text", "missing:turn"] and got["c"].errors == ["not_json"] and got["d"].errors == ["not_object"]
 
 
+def test_repeated_identifiers_link_one_by_one_and_any_order_is_topological(spark):
+    schema = "conv_id long, call_id string, position long, tool string, arguments string, depends_on array<string>"
+    c = spark.createDataFrame([(1, "a", 1, "user", "{}", []), (1, "a", 2, "user", "{}", ["a", "gone"]), (1, None, 3, None, None, None), (None, None, 3, "user", "{}", [])], schema)
+    r = spark.createDataFrame([(1, "a", 5, "x"), (1, None, 6, None), (1, None, 7, "y"), (None, None, None, None)], "conv_id long, call_id string, position long, content string")
+    got = {(x.conv_id, x.call_id, x.repeat): (x.status, x.n_calls, x.n_results, x.result, x.missing, x.topo_key) for x in chat_tools.link_tool_calls(c, r).collect()}
+    assert got == {
+        (1, "a", 1): ("linked", 2, 1, "x", 0, [1]), (1, "a", 2): ("unanswered", 2, 0, None, 1, [2]), (1, None, 1): ("linked", 1, 2, None, 0, [3]), (1, None, 2): ("orphan", 0, 2, "y", None, None),
+        (None, None, 1): ("linked", 1, 1, None, 0, [3]),
+    }
+    assert chat_tools.link_tool_calls(c.filter("false"), r.filter("false")).count() == 0
+    rng = np.random.default_rng(4)
+    order = rng.permutation(40).tolist()
+    rows = [(1, f"c{x}", x, "user", "{}", [f"c{order[j]}" for j in rng.integers(0, i, min(i, 3))] if i else []) for i, x in enumerate(order)]
+    got = {x.call_id: x for x in chat_tools.link_tool_calls(spark.createDataFrame(rows, schema), r.filter("false")).collect()}
+    for _, name, _, _, _, needs in rows:
+        assert all(got[n].topo_key < got[name].topo_key for n in needs)
+
+
 def test_digests(spark):
     r = bpe.bpe_digests(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
     assert r.ids_sha256 == r.decoded_sha256 == hashlib.sha256(b"").hexdigest() and r.n_tokens == 0

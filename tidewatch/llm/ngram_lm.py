@@ -168,7 +168,7 @@ def _messages(batch: int, keys: np.ndarray, counts: np.ndarray, shards: int) ->
     """A row for each shard that has some of the (sorted) keys: shards are ranges of keys."""
     shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     has, first = np.unique(shard, return_index=True)
-    cut = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+    cut = list(zip(first.tolist(), np.append(first, len(keys))[1:].tolist(), strict=True))
     return pa.table({
         "shard": pa.array(has, pa.int32()), "batch": pa.array([batch] * len(has), pa.int32()),
         "keys": pa.array([_packed(keys[a:b]) for a, b in cut], pa.binary()), "counts": pa.array([_planes(counts[a:b]) for a, b in cut], pa.binary()),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import table, text_or_empty, without, written
+from tidewatch.llm._common import SMALL, columns_of, table, text_or_empty, without, written
 
 KINDS = ["email", "ip", "card", "phone"]
 # The patterns asked for, so written that a search never goes over a run of characters twice: \G is where the last match
@@ -27,8 +27,8 @@ PATTERNS = {
 GATES = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: Words, names and identifiers: runs of letters and digits.
 TERM = r"[\p{L}\p{M}\p{N}]+"
-#: Rows of a list that is sent to every task, at most.
-SMALL = 100_000
+#: What a generalised term becomes: the first of these that its text matches.
+SHAPES = [("NUMBER", r"^\p{N}+$"), ("ID", r"\p{N}"), ("NAME", r"^\p{Lu}"), ("WORD", r"")]
 
 
 def _quoted(pattern: str) -> str:
@@ -94,28 +94,26 @@ def _distinct_terms(text: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)), F.lower))
 
 
-def document_frequency(docs: DataFrame, wanted: DataFrame, text: str = "text", small: int = SMALL) -> DataFrame:
+def document_frequency(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
     """(term, df): in how many rows of docs each term of wanted (term, distinct) occurs, over all rows and whole texts (not null).
 
-    A list of at most `small` terms is sent to every task, which then passes on its own counts of those only; a longer
-    one is joined after each task has counted all its terms.
+    Each task counts its terms first, so that a common one is a row a task.
     """
     each = docs.select(F.explode(_distinct_terms(text)).alias("term"))
-    if wanted.limit(small + 1).count() <= small:
-        return each.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     return each.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
 
 
 def sanitise(docs: DataFrame, text: str = "text", generalise: float = 0.75, remove: float = 0.9, prior: float = 4.0) -> DataFrame:
     """docs with pii_spans (array of start, k, end, kind, value; patterns and terms) and sanitised (the text without them).
 
-    Pattern spans become [EMAIL] and so on; terms, wherever they stand in the text, are removed (kind term_removed) or become [TERM] (term_general);
-    spans that overlap are replaced once, by the first. `prior` texts are added to those that hold a term, so that pairs of
+    Pattern spans become [EMAIL] and so on; terms, wherever they stand in the text, are removed (kind term_removed) or generalised
+    to what they look like (term_general): [NUMBER], [ID] (letters and digits), [NAME] (a capital first) or [WORD]. Spans that overlap are replaced once, by the first. `prior` texts are added to those that hold a term, so that pairs of
     entity and term seen in one text are weighed too. Null and empty texts have no spans and come out empty; equal texts
-    count once and get the same spans. Input columns named as the new ones are replaced.
+    count once and get the same spans. An empty table gives no rows. A very long text is one row: its terms are counted once
+    each. Input columns named as the new ones are replaced; others, whatever their names and types, come back.
     """
     columns = without(docs, "pii_spans", "sanitised")
-    base = docs.select(F.struct(*[F.col(c) for c in columns]).alias("__row"), text_or_empty(text).alias("t"))
+    base = docs.select(F.struct(*columns_of(columns)).alias("__row"), text_or_empty(text).alias("t"))
     base = base.withColumns({"__a": F.xxhash64("t"), "__b": F.xxhash64(F.reverse("t"), F.lit(1)), "s": F.expr(base_spans())})
     # What holds a pattern span is few and small; it is kept, as several readers follow.
     marked = written(base.filter(F.size("s") > 0), "pii-marked")
@@ -162,13 +160,15 @@ def sanitise(docs: DataFrame, text: str = "text", generalise: float = 0.75, remo
     both = marked.join(found, ["__a", "__b"], "left").unionByName(clean)
     terms = f"CASE WHEN m IS NULL THEN filter(s, x -> false) ELSE {_term_spans(_outside(), 'm')} END"
     both = both.select("__row", "t", F.expr(f"CASE WHEN m IS NULL THEN s ELSE array_sort(concat(s, {terms})) END").alias("s"))
-    label = "CASE x.kind WHEN 'term_removed' THEN '' WHEN 'term_general' THEN '[TERM]' ELSE concat('[', upper(x.kind), ']') END"
+    own = "substring(t, x.start + 1, x.end - x.start)"
+    shape = "CASE " + " ".join(f"WHEN {own} RLIKE {_quoted(p)} THEN '[{name}]'" for name, p in SHAPES) + " END"
+    label = f"CASE x.kind WHEN 'term_removed' THEN '' WHEN 'term_general' THEN {shape} ELSE concat('[', upper(x.kind), ']') END"
     merged = f"""aggregate(s, named_struct('at', 0, 'out', cast(array() AS array<string>)),
       (a, x) -> CASE WHEN x.start < a.at THEN named_struct('at', greatest(a.at, x.end), 'out', a.out)
         ELSE named_struct('at', x.end, 'out', array_append(a.out, concat(substring(t, a.at + 1, x.start - a.at), {label}))) END,
       a -> concat(array_join(a.out, ''), substring(t, a.at + 1, length(t) - a.at)))"""
     done = both.withColumn("o", F.expr(f"CASE WHEN size(s) = 0 THEN t ELSE {merged} END"))
-    return done.select(*[F.col("__row")[c].alias(c) for c in columns], F.col("s").alias("pii_spans"), F.col("o").alias("sanitised"))
+    return done.select(*[F.col("__row").getField(c).alias(c) for c in columns], F.col("s").alias("pii_spans"), F.col("o").alias("sanitised"))
 
 
 def op8_information_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import SPACE, table, text_or_empty, written
+from tidewatch.llm._common import SPACE, quoted, table, text_or_empty, written
 
 BAD, NONE, GOOD = 0, 1, 2
 
@@ -21,9 +21,10 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """One row a document with doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and more counts.
 
     All of it stays inside the row: no exchange. Three-word windows are compared by 64-bit hashes; only texts with an
-    equal pair of windows sort them. Null texts count as empty and have zeros everywhere.
+    equal pair of windows sort them. Null texts count as empty and have zeros everywhere. A very long text costs what it is
+    long; repeated rows are counted each; an empty table gives no rows; columns of other names play no part.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t"))
+    rows = docs.select(quoted(doc_id).alias("doc_id"), text_or_empty(text).alias("t"))
     rows = rows.select(
         "doc_id", F.array_remove(F.split("t", SPACE), "").alias("w"),
         (F.size(F.split("t", r"[#*$%&|<>]", -1)) - 1).cast("long").alias("n_symbols"),
@@ -79,7 +80,7 @@ def label_model(votes: DataFrame, rules: list[str], rounds: int = 12, prior: flo
     def posterior() -> Column:
         logit = F.lit(math.log(prior / (1 - prior)))
         for r in rules:
-            logit += F.element_at(F.array(*[F.lit(math.log(chance[r][1][v] / chance[r][0][v])) for v in (BAD, NONE, GOOD)]), F.col(r) + 1)
+            logit += F.element_at(F.array(*[F.lit(math.log(chance[r][1][v] / chance[r][0][v])) for v in (BAD, NONE, GOOD)]), F.col(r).cast("int") + 1)
         return 1 / (1 + F.exp(-logit))
 
     for _ in range(rounds):
