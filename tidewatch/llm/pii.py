@@ -95,12 +95,13 @@ def _distinct_terms(text: str) -> Column:
 
 
 def document_frequency(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df): in how many rows of docs each term of wanted (term, distinct) occurs, over all rows and whole texts (not null).
+    """(term, df): in how many different texts of docs each term of wanted (term, distinct) occurs, over all rows and whole
+    texts (not null). A row of docs that has `times` copies counts 1 / times, so that texts need not be brought together.
 
     Each task counts its terms first, so that a common one is a row a task.
     """
-    each = docs.select(F.explode(_distinct_terms(text)).alias("term"))
-    return each.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
+    each = docs.select("times", F.explode(_distinct_terms(text)).alias("term"))
+    return each.groupBy("term").agg(F.round(F.sum(1 / F.col("times"))).cast("long").alias("df")).join(wanted, "term", "left_semi")
 
 
 def sanitise(docs: DataFrame, text: str = "text", generalise: float = 0.75, remove: float = 0.9, prior: float = 4.0) -> DataFrame:
@@ -119,8 +120,10 @@ def sanitise(docs: DataFrame, text: str = "text", generalise: float = 0.75, remo
     marked = written(base.filter(F.size("s") > 0), "pii-marked")
     # Equal texts count once.
     hashes = docs.select(text_or_empty(text).alias("t")).select("t", F.xxhash64("t").alias("__a"), F.xxhash64(F.reverse("t"), F.lit(1)).alias("__b"))
-    texts = hashes.groupBy("__a", "__b").agg(F.first("t").alias("t"))
-    n = hashes.select("__a", "__b").distinct().count()
+    copies = written(hashes.groupBy("__a", "__b").agg(F.count("*").alias("times")), "pii-copies")
+    n, again = copies.count(), copies.filter("times > 1")
+    again = F.broadcast(again) if again.limit(SMALL + 1).count() <= SMALL else again
+    texts = hashes.join(again, ["__a", "__b"], "left").withColumn("times", F.coalesce("times", F.lit(1)))
     once = marked.groupBy("__a", "__b").agg(F.first("s").alias("s"), F.first("t").alias("t")).withColumn("t", F.expr(_outside()))
     once = once.select("__a", "__b", F.array_distinct(F.transform("s", lambda x: F.lower(x["value"]))).alias("e"), _distinct_terms("t").alias("c"))
     once = written(once, "pii-once")
@@ -142,7 +145,7 @@ def sanitise(docs: DataFrame, text: str = "text", generalise: float = 0.75, remo
     parts = [general, held]
     if not wide.isEmpty():
         small = wide.limit(SMALL + 1).count() <= SMALL
-        others = texts.select("__a", "__b", F.explode(_distinct_terms("t")).alias("term")).join(F.broadcast(wide) if small else wide, "term")
+        others = hashes.select("__a", "__b", F.explode(_distinct_terms("t")).alias("term")).join(F.broadcast(wide) if small else wide, "term")
         parts.append(others.join(once.select("__a", "__b"), ["__a", "__b"], "left_anti").select("__a", "__b", "term", F.lit(True).alias("gone")))
     found = parts[0]
     for p in parts[1:]:
