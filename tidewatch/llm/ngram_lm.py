@@ -30,6 +30,8 @@ from tidewatch.llm._common import columns_of, numbered, quoted, table, text_or_e
 _GOLD, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
 #: Tokens that no text holds, as they hold white space.
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))
+#: Bits of a key: 10^8 different words meet by chance half a time; the fewer, the less is sent.
+KEY_BITS = 54
 #: Words that a walk is cut into, so that many pieces of a batch step at once.
 PIECE = 256
 
@@ -40,6 +42,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _key(x: np.ndarray) -> np.ndarray:
+    return _mix(x) >> np.uint64(64 - KEY_BITS)
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -47,7 +53,7 @@ class _Words(dict):
 
 
 class Grams:
-    """The n-grams of a batch of texts: sorted 64-bit keys of each order, and at every token the places of its n-grams among
+    """The n-grams of a batch of texts: sorted keys of each order, and at every token the places of its n-grams among
     them. Keys of words are odd, those of pairs and triples even. Of a text's first token the triple is no n-gram."""
 
     def __init__(self, texts: list[str]):
@@ -62,11 +68,12 @@ class Grams:
         self.lengths = np.diff(np.append(self.starts, at))
         before = np.roll(word, 1)
         before[self.starts] = START
-        pair = _mix(_mix(before) + _GOLD + word) & ~_ONE
+        pair = _mix(_mix(before) + _GOLD + word)
         pair_before = np.roll(pair, 1)
         pair_before[self.starts] = START
-        triple = _mix(_mix(pair_before + _GOLD) + _GOLD + word) & ~_ONE
-        (self.words, self.word), (self.pairs, self.pair), (self.triples, self.triple) = (np.unique(x, return_inverse=True) for x in (_mix(word) | _ONE, pair, triple))
+        triple = _key(_mix(pair_before + _GOLD) + _GOLD + word) & ~_ONE
+        pair = _key(pair) & ~_ONE
+        (self.words, self.word), (self.pairs, self.pair), (self.triples, self.triple) = (np.unique(x, return_inverse=True) for x in (_key(word) | _ONE, pair, triple))
         self.deep = np.ones(at, bool)
         self.deep[self.starts] = False
 
@@ -166,7 +173,7 @@ _ANSWER = "batch int, shard int, kind int, codes binary, n long, v long"
 
 def _messages(batch: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
     """A row for each shard that has some of the (sorted) keys: shards are ranges of keys."""
-    shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    shard = ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     has, first = np.unique(shard, return_index=True)
     cut = list(zip(first.tolist(), np.append(first, len(keys))[1:].tolist(), strict=True))
     return pa.table({
@@ -272,7 +279,7 @@ def _scoring(weight: float):
     return run
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weight: float = 8.0, batch_bytes: int = 6 << 20) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weight: float = 8.0, batch_bytes: int = 8 << 20) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose id's CRC-32 is 2 modulo 7 are held out and teach nothing; a null id is not held out. Null and empty
