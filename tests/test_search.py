@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import detrend, features, fold, ranking, single, store
+from tidewatch.operators import boxsearch, detrend, evaluate, features, ranking, single, store, views
 from tidewatch.operators import series as S
 from tidewatch.sources import files
 
@@ -33,52 +33,156 @@ def mad(v):
     return 1.4826 * statistics.median([abs(x - m) for x in v])
 
 
-def test_features_against_brute_force(spark, two):
-    got = {r.target_id: r for r in features.extract(two, fold.box_search(two, PERIODS, DURATIONS)).collect()}
-    assert {k: r.period for k, r in got.items()} == {1: 5.0, 2: 4.0}
+def brute_features(t, f, r, sde, contrast, clipped):
+    """All 23 features of one series, sample by sample."""
+    s, n, p, d, y = mad(f), len(f), r.period, r.duration, np.asarray(f) - 1
+    t, f = np.asarray(t), np.asarray(f)
+
+    def fold(period, epoch):
+        return (t - epoch + period / 2) % period - period / 2
+
+    def box(inside, among):
+        a, b = f[among & ~inside], f[among & inside]
+        return a.mean() - b.mean(), s * math.sqrt(1 / len(a) + 1 / len(b))
+
+    def red(keep):
+        tt, ff = t[keep], f[keep]
+        width = max(d, 3 * np.median(np.diff(t)))
+        groups = {}
+        for a, b in zip(tt, ff):
+            groups.setdefault(math.floor((a - tt[0]) / width), []).append(b)
+        full = [v for v in groups.values() if len(v) >= 2]
+        if len(full) < 4:
+            return None
+        return statistics.pstdev(map(statistics.mean, full)) / (mad(list(ff)) / math.sqrt(statistics.mean(map(len, full))))
+
+    x, h = fold(p, r.epoch), fold(p, r.epoch + p / 2)
+    inside, late = np.abs(x) < d / 2, np.abs(h) < d / 2
+    base = f[~inside & ~late].mean()
+    all_ = np.ones(n, bool)
+
+    def events(mask, epoch):
+        k = np.rint((t - epoch) / p)
+        return {e: (base - f[mask & (k == e)].mean(), (mask & (k == e)).sum() / s**2) for e in np.unique(k[mask])}
+
+    def birge(groups):
+        chi2, dof = 0.0, 0
+        for g in groups:
+            if g:
+                mean = sum(a * w for a, w in g) / sum(w for _, w in g)
+                chi2, dof = chi2 + sum(w * (a - mean) ** 2 for a, w in g), dof + len(g) - 1
+        return math.sqrt(chi2 / dof) if dof >= 2 else 1.0
+
+    ev, ev2 = events(inside, r.epoch), events(late, r.epoch + p / 2)
+    odd, even = [v for e, v in ev.items() if e % 2 == 1], [v for e, v in ev.items() if e % 2 == 0]
+    gain = {e: sum(((a - 1) ** 2 - (a - 1 + r.depth) ** 2) / (2 * s * s) for a in f[inside & (np.rint((t - r.epoch) / p) == e)]) for e in ev}
+    pair = [(sum(a * w for a, w in g) / sum(w for _, w in g), sum(w for _, w in g)) for g in (odd, even)]
+    main, second, half = box(inside, all_), box(late, ~inside), box(np.abs(fold(p / 2, r.epoch)) < d / 2, all_)
+    wide = max(1.0, red((np.abs(x) >= d) & (np.abs(h) >= d)) or 1.0)
+    angle = 2 * math.pi * x / p
+    amplitude = math.hypot(2 * (y * np.cos(angle)).mean(), 2 * (y * np.sin(angle)).mean())
+    near = np.abs(x) < 1.5 * d
+
+    def left(q):
+        shape = np.clip((d / 2 - np.abs(x[near])) / max(d / 2 * (1 - q), 1e-6), 0, 1)
+        return ((y[near] - shape * (shape * y[near]).sum() / (shape**2).sum()) ** 2).sum()
+
+    central = 10 ** (math.log10(d) - r.log_duration_ratio)  # its own test is that of the physics
+    z = f - f.mean()
+    return {
+        "bls_sde": sde, "bls_depth_snr": main[0] / main[1], "bls_depth_over_scatter": r.depth / s, "delta_loglike": sum(gain.values()), "power_contrast": contrast, "log_depth": math.log10(r.depth),
+        "bls_duration": d, "duration_over_period": d / p, "log_duration_ratio": math.log10(d / central), "log_period": math.log10(p), "n_transits": len(ev), "min_points_per_transit": min((inside & (np.rint((t - r.epoch) / p) == e)).sum() for e in ev),
+        "odd_even_sigma": abs(pair[0][0] - pair[1][0]) / math.sqrt(1 / pair[0][1] + 1 / pair[1][1]) / max(wide, birge([odd, even])),
+        "secondary_sigma": second[0] / second[1] / max(wide, birge([list(ev2.values())])), "half_period_depth_ratio": half[0] / r.depth,
+        "flat_bottom_fraction": min((round(left(round(0.95 * i / 19, 4)), 12), round(0.95 * i / 19, 4)) for i in range(20))[1], "harmonic_delta_loglike": n * amplitude**2 / 4 / s**2, "harmonic_amp_over_depth": amplitude / r.depth,
+        "red_noise_beta": red(~inside), "log_scatter": math.log10(s), "max_single_event_fraction": max(map(abs, gain.values())) / sum(map(abs, gain.values())), "flux_skew": (z**3).mean() / (z**2).mean() ** 1.5, "clipped_fraction": clipped,
+    }
+
+
+def test_all_features_against_brute_force(spark, two):
+    signals = boxsearch.signals(two, None, DURATIONS)
+    marked = two.withColumn("clipped", (F.col("target_id") == 1) & (F.col("sample_id") % 50 == 7))
+    by = {r.target_id: r for r in signals.collect()}
+    got = {r.target_id: r for r in features.extract(marked, signals).collect()}
+    assert {k: round(r.period, 1) for k, r in got.items()} == {1: 5.0, 2: 4.0}
     for k, r in got.items():
-        rows = [(t, f) for i, _, t, f in two.collect() if i == k]
-        s = mad([f for _, f in rows])
-        x = [(t - r.epoch + r.period / 2) % r.period - r.period / 2 for t, _ in rows]
-        inside = [abs(a) < r.duration / 2 for a in x]
-        fin, fout = [f for (_, f), i in zip(rows, inside) if i], [f for (_, f), i in zip(rows, inside) if not i]
-        snr = (statistics.mean(fout) - statistics.mean(fin)) / (s * math.sqrt(1 / len(fin) + 1 / len(fout)))
-        assert r.bls_depth_snr == pytest.approx(snr, rel=1e-9)
-        assert r.log_scatter == pytest.approx(math.log10(s))
-        events = {}
-        for (t, f), i in zip(rows, inside):
-            if i:
-                events.setdefault(round((t - r.epoch) / r.period), []).append(((f - 1) ** 2 - (f - 1 + r.depth) ** 2) / (2 * s * s))
-        assert (r.n_transits, r.min_points_per_transit) == (len(events), min(map(len, events.values())))
-        assert r.delta_loglike == pytest.approx(sum(map(sum, events.values())))
-        assert r.max_single_event_fraction == pytest.approx(max(abs(sum(v)) for v in events.values()) / sum(abs(sum(v)) for v in events.values()))
-        out = [(t, f) for (t, f), i in zip(rows, inside) if not i]
-        bins = {}
-        for t, f in out:
-            bins.setdefault(math.floor(t / r.duration), []).append(f)
-        full = [v for v in bins.values() if len(v) >= 2]
-        beta = statistics.pstdev(map(statistics.mean, full)) / (s / math.sqrt(statistics.mean(map(len, full))))
-        assert r.red_noise_beta == pytest.approx(beta)
-        shapes = [round(0.95 * i / 19, 4) for i in range(20)]
-
-        def left(q):
-            t = [min(1, (1 - abs(a) / (r.duration / 2)) / (1 - q)) for a, i in zip(x, inside) if i]
-            y = [1 - f for f in fin]
-            d = max(0, sum(a * b for a, b in zip(t, y)) / sum(a * a for a in t))
-            return sum((b - d * a) ** 2 for a, b in zip(t, y))
-
-        assert left(r.flat_bottom_fraction) == pytest.approx(min(map(left, shapes)))
+        rows = sorted((x.time, x.flux) for x in marked.filter("NOT clipped").collect() if x.target_id == k)
+        wanted = brute_features(*zip(*rows), r, by[k].sde, by[k].contrast, 8 / 400 if k == 1 else 0.0)
+        assert list(wanted) == features.FEATURES
+        for name, value in wanted.items():
+            assert r[name] == pytest.approx(value, rel=1e-6, abs=1e-9), name
+
+
+def test_alternating_depths_do_not_excuse_themselves(spark):
+    rows = [(k, i, t, f - 0.02 * (f < 0.99) * (round((t - 1) / 5) % 2)) for k, i, t, f in dips(1, n=600)]
+    one = spark.createDataFrame(rows, LONG)
+    got = features.extract(one, boxsearch.signals(one, [3.0, 5.0, 7.0], DURATIONS)).first()
+    assert got.period == 5.0 and got.odd_even_sigma > 10
+
+
+def test_search_off_the_grid_against_every_box(spark):
+    rng = np.random.default_rng(2)
+    t = np.sort(rng.uniform(0, 30, 150))
+    f = 1 + rng.normal(0, 0.01, 150)
+    f[np.abs((t - 2 + 1.9) % 3.8123 - 1.9) < 0.25] -= 0.05
+    w = rng.uniform(0.5, 2, 150) / 0.01**2
+    periods, durations, width = boxsearch.period_grid(30.0, count=150), [0.4, 0.6], 0.1
+    got = boxsearch.search(t, f, w, periods, durations)
+    for i, p in enumerate(periods):
+        turns, bins, best = math.ceil(p / width), np.floor((t - np.floor(t / p) * p) / width).astype(int), None
+        for k in (4, 6):
+            for start in range(turns):
+                inside = (bins - start) % turns < k
+                if k < turns and 2 <= inside.sum() < 150:
+                    depth = (w * f)[~inside].sum() / w[~inside].sum() - (w * f)[inside].sum() / w[inside].sum()
+                    power = depth / math.sqrt(1 / w[inside].sum() + 1 / w[~inside].sum())
+                    if depth > 0 and (best is None or power > best + 1e-9):
+                        best = power
+        assert (best is None and math.isnan(got["power"][i])) or got["power"][i] == pytest.approx(best, rel=1e-7)
+    assert abs(periods[np.nanargmax(got["power"])] / 3.8123 - 1) < 0.02
+    grid = boxsearch.period_grid(27.4)
+    assert len(grid) == 2000 and grid[0] == pytest.approx(0.5) and grid[-1] == pytest.approx(13.7) and len(boxsearch.period_grid(274.0)) > 20_000
+    long = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(t, f))], LONG)
+    assert abs(boxsearch.signals(long, None, durations).first().period / 3.8123 - 1) < 0.01
+
+
+def test_distinct_peaks():
+    assert boxsearch.distinct_peaks(np.array([1.0, 2.0, 4.0, 3.0, 7.0]), np.array([5.0, 9.0, 8.0, 4.0, np.nan]), 3) == [1, 3]
+
+
+def test_a_single_dip_does_not_hide_behind_its_alias(spark):
+    rows = [(1, i, i * 0.1, 1 - 0.05 * (abs(i * 0.1 - 9) < 0.4) + 0.001 * (-1) ** i) for i in range(300)]
+    s = spark.createDataFrame(rows, LONG)
+    events = single.strongest_events(single.box_scan(s, [0.8]))
+    signal = spark.createDataFrame([(1, 7.0, 2.0, 0.8)], "target_id long, period double, epoch double, duration double")
+    assert single.not_periodic(events, signal).count() < events.count() == single.not_periodic(events, signal, series=s).count()
+
+
+def test_views_fill_gaps_and_measure_in_depths(spark, two):
+    signals = boxsearch.signals(two, PERIODS, DURATIONS)
+    got = {r.target_id: r for r in views.as_arrays(views.make_views(two, signals, 51, 21)).collect()}
+    assert set(got) == {1, 2} and len(got[1]["global"]) == 51 and all(len(got[1][v]) == 21 for v in ("local", "odd", "even", "secondary"))
+    assert min(got[1]["local"]) == pytest.approx(-1) and abs(np.median(got[1]["global"])) < 0.2 and abs(got[1]["secondary"][10]) < 0.5
+
+
+def test_scores_that_are_no_numbers_come_last(spark):
+    rows = [(1, 0.9), (0, None), (1, float("nan")), (0, 0.5), (1, 0.5)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    assert evaluate.average_precision(df).first().ap == pytest.approx((1 + 2 / 3 + 3 / 5) / 3)
+    many = [(int(x), float(y)) for x, y in zip(np.random.default_rng(0).integers(0, 2, 500), np.random.default_rng(1).random(500).round(2))]
+    auc = np.mean([(a > b) + (a == b) / 2 for x, a in many if x for z, b in many if not z])
+    assert evaluate.roc_auc(spark.createDataFrame(many, "label int, score double")).first().auc == pytest.approx(auc)
 
 
 def test_features_of_nothing(spark):
     empty = spark.createDataFrame([], LONG)
-    assert features.extract(empty, fold.box_search(empty, PERIODS, DURATIONS)).collect() == []
+    assert features.extract(empty, boxsearch.signals(empty, PERIODS, DURATIONS)).collect() == []
 
 
 def test_second_signal_is_found_after_the_first_is_masked(spark):
     a, b = dips(1, n=1500, depth=0.05, noise=0.0005), dips(1, n=1500, period=6.5, epoch=2.0, depth=0.02, noise=0.0)
     both = spark.createDataFrame([(1, i, t, f + g - 1) for (_, i, t, f), (_, _, _, g) in zip(a, b)], LONG)
-    got = features.iterative_search(both, [3.3, 4.1, 5.0, 5.7, 6.5, 7.3, 8.9], DURATIONS, threshold=1.0, rounds=2).orderBy("round").collect()
+    got = features.iterative_search(both, [3.3, 4.1, 5.0, 5.7, 6.5, 7.3, 8.9], DURATIONS, threshold=1.0, rounds=2, floor=5).orderBy("round").collect()
     assert [(r.round, r.period) for r in got] == [(1, 5.0), (2, 6.5)]
 
 
@@ -145,6 +249,9 @@ def test_csv_series(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Time,FLUX\n1,2\n0,4\nx,9\n1,8\n2,\n3,4\n")
     got = files.read_csv_series(spark, str(tmp_path)).orderBy("time").collect()
     assert [(r.target_id, r.time, r.flux) for r in got] == [("a", 0.0, 1.0), ("a", 1.0, 0.5), ("a", 3.0, 1.0)]
+    (tmp_path / "c.csv").write_text("# a note\nflux_err, flux ,time\n0.5,4,0\n,6,1\n")
+    both = {(r.target_id, r.time): (r.flux, r.flux_err) for r in files.read_csv_series(spark, str(tmp_path)).collect()}
+    assert both["c", 0.0] == (0.8, 0.1) and both["c", 1.0][0] == 1.2 and {k for k in both if k[0] == "a"} == {("a", r.time) for r in got}
     (tmp_path / "b.csv").write_text("when,flux\n1,2\n")
     with pytest.raises(ValueError):
         files.read_csv_series(spark, str(tmp_path / "b.csv"))

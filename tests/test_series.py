@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import catalog as C
 from tidewatch.operators import evaluate as V
-from tidewatch.operators import fold
+from tidewatch.operators import boxsearch, fold
 from tidewatch.operators import series as S
 
 LONG = "target_id long, sample_id long, time double, flux double"
@@ -37,7 +37,7 @@ def test_constant_series_have_no_scatter_and_empty_tables_no_rows(spark):
 
 def test_a_box_is_found_at_its_period(spark):
     rows = [(1, i, i * 0.05, 0.9 if (i * 0.05) % 3.0 < 0.5 else 1.0 + 0.001 * (i % 3)) for i in range(600)]
-    found = fold.box_search(spark.createDataFrame(rows, LONG), [2.5, 3.0, 4.1], [0.5])
+    found = boxsearch.box_search(spark.createDataFrame(rows, LONG), [2.5, 3.0, 4.1], [0.5])
     assert found.orderBy(F.desc("power")).first().period == 3.0
 
 

@@ -71,9 +71,10 @@ def occultation_depth(ratio: Column, a: Column, temperature: Column, albedo: flo
 
 
 def largest_occultation(period: Column, temperature: Column, density: Column) -> Column:
-    """The deepest occultation a planet can make, as a share of its transit; at most 0.15."""
+    """The deepest occultation a planet can make, as a share of its transit; at most 0.15. Null for an unknown star."""
     a = F.greatest(axis_ratio(period, density), F.lit(1.0))
-    return F.least(occultation_depth(F.lit(1.0), a, temperature), F.lit(0.15))
+    known = temperature.isNotNull() & density.isNotNull()
+    return F.when(known, F.least(occultation_depth(F.lit(1.0), a, temperature), F.lit(0.15)))
 
 
 def period_of_duration(duration: Column, density: Column) -> Column:
@@ -105,8 +106,10 @@ def pair_sigma(a: Column, a_error: Column, b: Column, b_error: Column) -> Column
 
 
 def trapezoid(time: Column, period: Column | float, epoch: Column | float, depth: float, outer: float, inner: float) -> Column:
-    """Share of light a dip with sloping sides takes at a time; 0 outside it."""
+    """Share of light a dip with sloping sides takes at a time; 0 outside it. A box if inner is outer."""
     from tidewatch.operators.series import phase
 
-    side = (outer - inner) / 2
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (outer / 2 - F.abs(phase(time, period, epoch))) / side)) * depth
+    side, left = (outer - inner) / 2, outer / 2 - F.abs(phase(time, period, epoch))
+    if side <= 0:
+        return F.when(left > 0, F.lit(float(depth))).otherwise(F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), left / side)) * depth

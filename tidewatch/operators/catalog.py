@@ -25,16 +25,18 @@ def star_labels(rows: DataFrame, key: str, label: str, weight: str, tie: str) ->
 def nearest_ratio(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: float, tie: str) -> DataFrame:
     """left's rows with the first (by tie) of right's rows whose b is within a share `tolerance` of a.
 
-    Values are dealt into buckets of width ln(1 + tolerance) of their logarithm, and a row meets its own bucket and the
-    two beside it: an equi-join, whatever the sizes.
+    The answer depends on a alone, so different values of a are matched, once each, and both sides keep one row a value:
+    right with its first tie and its count. Values are dealt into buckets of a logarithm, and one meets its own bucket and
+    the two beside it: an equi-join. Rows of left that are alike come back each; those without a match do not.
     """
     width = F.ln(F.lit(1 + 2 * tolerance))
-    bucket = F.floor(F.ln(F.col(a)) / width)
-    l = left.filter(F.col(a) > 0).withColumn("__k", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    r = right.filter(F.col(b) > 0).withColumn("__k", F.floor(F.ln(F.col(b)) / width))
-    near = F.abs(F.col(b) / F.col(a) - 1) < tolerance
-    keys = left.columns
-    return l.join(r, "__k").filter(near).groupBy(*keys).agg(F.min(tie).alias(tie), F.count("*").alias("n_matches"))
+    bucket = F.floor(F.ln(F.col("__a")) / width)
+    l = left.filter(F.col(a) > 0).select(F.col(a).alias("__a")).distinct().withColumn("__k", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    r = right.filter(F.col(b) > 0).groupBy(F.col(b).alias("__b")).agg(F.min(tie).alias("__tie"), F.count("*").alias("__n"))
+    r = r.withColumn("__k", F.floor(F.ln(F.col("__b")) / width))
+    near = F.abs(F.col("__b") / F.col("__a") - 1) < tolerance
+    met = l.join(r, "__k").filter(near).groupBy("__a").agg(F.min("__tie").alias(tie), F.sum("__n").alias("n_matches"))
+    return left.join(met, F.col(a) == F.col("__a")).drop("__a")
 
 
 def period_recovered(found: Column, injected: Column, tolerance: float = 0.03) -> Column:

@@ -1,29 +1,104 @@
-"""Metrics of a ranking: (label 0 or 1, score). One aggregation of distinct scores, then windows over those."""
+"""Metrics of a ranking: (label 0 or 1, score). One aggregation of distinct scores, then running counts within ranges of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of scores that running counts are made in.
+RANGES = 128
 
-def _steps(scored: DataFrame) -> DataFrame:
-    """Distinct scores, best first, with running counts of positives (tp) and of all (k)."""
-    each = scored.groupBy("score").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("score"))
-    return each.select("score", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("k"))
 
+def _steps(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct scores (of each group of `by`), best first, with counts of positives (p) and of all (n) and running ones (tp, k).
 
-def average_precision(scored: DataFrame) -> DataFrame:
-    """(ap): rows of a tied score are one threshold; null without positives."""
-    s = _steps(scored)
-    return s.agg((F.sum(F.col("p").cast("double") * F.col("tp") / F.col("k")) / F.nullif(F.sum("p"), F.lit(0))).alias("ap"))
+    Scores are cut at quantiles; counts run inside a range, behind the totals of the ranges above it, so that no task
+    sees all scores. The quantiles need not be exact: the counts are. Scores that are null or no numbers come last.
+    `weight`, if scored has it, says how often a row counts.
+    """
+    n = F.col("weight") if "weight" in scored.columns else F.lit(1)
+    score = F.coalesce(F.nanvl(F.col("score").cast("double"), F.lit(float("-inf"))), F.lit(float("-inf")))
+    each = scored.select(*by, score.alias("score"), (F.col("label") * n).alias("p"), n.alias("n")).groupBy(*by, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    cuts = scored.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
+    # A range's number falls as its scores rise.
+    number = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: F.col("score") < c)) if cuts else F.lit(0)
+    each = each.withColumn("__r", number)
+    totals = each.groupBy(*by, "__r").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "__r", F.coalesce(F.sum("__p").over(before), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__k"))
+    w = Window.partitionBy(*by, "__r").orderBy(F.desc("score"))
+    out = each.join(totals, [*by, "__r"])
+    return out.select(*by, "score", "p", "n", (F.col("__tp") + F.sum("p").over(w)).alias("tp"), (F.col("__k") + F.sum("n").over(w)).alias("k"))
+
+
+def average_precision(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, ap): rows of a tied score are one threshold; null without positives."""
+    s = _steps(scored, by)
+    ap = F.sum(F.col("p").cast("double") * F.try_divide(F.col("tp"), F.col("k"))) / F.nullif(F.sum("p"), F.lit(0))
+    return (s.groupBy(*by) if by else s).agg(ap.alias("ap"))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
     """(auc): the chance that a positive outranks a negative, ties by half."""
     s = _steps(scored)
-    below = F.col("p").cast("double") * ((F.sum("n").over(Window.partitionBy()) - F.sum("p").over(Window.partitionBy())) - (F.col("k") - F.col("tp")) + (F.col("n") - F.col("p")) / 2)
-    return s.withColumn("w", below).agg((F.sum("w") / F.nullif(F.sum("p") * (F.sum("n") - F.sum("p")).cast("double"), F.lit(0.0))).alias("auc"))
+    # Of the negatives, those not above a score are below it, or share it and count half.
+    above = F.col("k") - F.col("tp") - (F.col("n") - F.col("p")) / 2
+    sums = s.agg(F.sum("p").cast("double").alias("p"), F.sum(F.col("n") - F.col("p")).cast("double").alias("q"), F.sum(F.col("p").cast("double") * above).alias("a"))
+    return sums.select(F.try_divide(F.col("p") * F.col("q") - F.col("a"), F.col("p") * F.col("q")).alias("auc"))
+
+
+def precision_recall(scored: DataFrame) -> DataFrame:
+    """(score, precision, recall) at each distinct score."""
+    s = _steps(scored)
+    positives = s.agg(F.sum("p").alias("__all"))
+    return s.join(F.broadcast(positives), F.lit(True)).select("score", F.try_divide(F.col("tp"), F.col("k")).alias("precision"), F.try_divide(F.col("tp"), F.col("__all")).alias("recall"))
+
+
+#: Cumulative probabilities of the Poisson distribution of mean 1, from 0.
+_POISSON = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975, 0.99999887]
+
+
+def resampled(scored: DataFrame, resamples: int, unit: str, seed: int = 0) -> DataFrame:
+    """scored a number of times, with resample (from 0) and weight: how often a row counts there, drawn from a Poisson
+    distribution of mean 1, as for drawing with replacement from many. Rows of one unit (a row's id, or its star) are drawn
+    together, and alike for all scores that are compared. Rows of weight 0 are left out."""
+    rows = scored.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "resample", unit)), 1, 8), 16, 10).cast("double") / 4294967296.0
+    weight = F.lit(0)
+    for c in _POISSON:
+        weight = weight + F.when(drawn >= c, 1).otherwise(0)
+    return rows.withColumn("weight", weight).filter("weight > 0")
+
+
+def bootstrap_interval(scored: DataFrame, resamples: int, unit: str, share: float = 0.68, seed: int = 0) -> DataFrame:
+    """(low, high, n): the middle `share` of average precision over resamples with two positives or more, and how many."""
+    drawn = resampled(scored, resamples, unit, seed)
+    enough = drawn.groupBy("resample").agg(F.sum(F.col("label") * F.col("weight")).alias("p")).filter("p >= 2").select("resample")
+    ap = average_precision(drawn, ("resample",)).join(enough, "resample", "left_semi")
+    return ap.agg(F.percentile("ap", (1 - share) / 2).alias("low"), F.percentile("ap", (1 + share) / 2).alias("high"), F.count("*").alias("n"))
+
+
+def win_rate(scored: DataFrame, other: str, resamples: int, unit: str, seed: int = 0) -> DataFrame:
+    """(win_rate, low, high, n): in how many resamples score has a higher average precision than the column `other`, and the
+    middle 95 % of the difference."""
+    drawn = resampled(scored, resamples, unit, seed)
+    a = average_precision(drawn, ("resample",)).withColumnRenamed("ap", "a")
+    b = average_precision(drawn.withColumn("score", F.col(other)), ("resample",)).withColumnRenamed("ap", "b")
+    d = a.join(b, "resample").withColumn("d", F.col("a") - F.col("b")).filter("d IS NOT NULL")
+    return d.agg(F.avg((F.col("d") > 0).cast("double")).alias("win_rate"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.count("*").alias("n"))
+
+
+def recall_by(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:
+    """(bin, low, high, n, recall, recovery, recall_of_recovered) of the positives whose value is in each bin [low, high): the share that is predicted,
+    the share that the search recovered, and the share predicted of those. Empty bins stay, with null shares.
+    rows: label, predicted, recovered, value."""
+    number = F.lit(-1)
+    for e in edges:
+        number = number + F.when(F.col(value) >= e, 1).otherwise(0)
+    hit, seen = (F.col("predicted") == 1).cast("double"), F.col("recovered") == 1
+    got = rows.filter("label = 1").groupBy(number.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg(hit).alias("recall"), F.avg(seen.cast("double")).alias("recovery"), F.avg(F.when(seen, hit)).alias("recall_of_recovered"))
+    every = rows.sparkSession.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin"), F.get(F.array(*map(F.lit, edges)), F.col("id").cast("int")).alias("low"), F.get(F.array(*map(F.lit, edges)), F.col("id").cast("int") + 1).alias("high"))
+    return every.join(F.broadcast(got), "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"), "recall", "recovery", "recall_of_recovered")
 
 
 def precision_at(scored: DataFrame, ks: list[int], tie: str) -> DataFrame:

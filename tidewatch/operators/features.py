@@ -1,115 +1,154 @@
-"""The feature vector of every series at the best period of its box search, and searches repeated with signals masked."""
+"""The feature vector of every series at its best signal, and searches repeated with signals masked."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import physics as X
-from tidewatch.operators import fold
-from tidewatch.operators.series import phase, robust_sigma
+from tidewatch.operators import boxsearch
+from tidewatch.operators.series import cadence, phase, robust_sigma
 
+#: The published names of the features, in the published order.
 FEATURES = [
-    "bls_sde", "bls_depth_snr", "bls_depth_over_scatter", "delta_loglike", "power_contrast", "log_depth", "bls_duration", "duration_over_period", "log_period", "log_duration_ratio", "n_transits",
-    "min_points_per_transit", "odd_even_sigma", "secondary_sigma", "half_period_depth_ratio", "harmonic_amplitude", "harmonic_delta_loglike", "flat_bottom_fraction", "red_noise_beta", "log_scatter", "flux_skew",
-    "clipped_fraction", "max_single_event_fraction",
-]
-
-
-def best_signal(powers: DataFrame, key: str = "target_id") -> DataFrame:
-    """(key, period, epoch, duration, depth, power): the strongest box of box_search(); the shorter period on ties."""
-    top = powers.groupBy(key).agg(F.min(F.struct((-F.round("power", 9)).alias("m"), "period", "phase0", "duration", "depth", "power")).alias("b"))
-    return top.select(key, F.col("b.period").alias("period"), (F.col("b.phase0") + F.col("b.duration") / 2).alias("epoch"), F.col("b.duration").alias("duration"), F.col("b.depth").alias("depth"), F.col("b.power").alias("power"))
-
-
-def box_depth(rows: DataFrame, period: Column, epoch: Column, duration: Column, name: str, key: str = "target_id") -> DataFrame:
-    """(key, name, name_error): mean outside less mean inside a box, and its error for equal samples of scatter __s."""
-    inside = F.abs(phase(F.col("time"), period, epoch)) < duration / 2
-    n, m = F.count(F.when(inside, 1)), F.count(F.when(~inside, 1))
-    depth = F.avg(F.when(~inside, F.col("flux"))) - F.avg(F.when(inside, F.col("flux")))
-    return rows.groupBy(key).agg(depth.alias(name), F.when((n > 0) & (m > 0), F.first("__s") * F.sqrt(1 / n + 1 / m)).alias(f"{name}_error"))
+    "bls_sde",
+    "bls_depth_snr",
+    "bls_depth_over_scatter",
+    "delta_loglike",
+    "power_contrast",
+    "log_depth",
+    "bls_duration",
+    "duration_over_period",
+    "log_duration_ratio",
+    "log_period",
+    "n_transits",
+    "min_points_per_transit",
+    "odd_even_sigma",
+    "secondary_sigma",
+    "half_period_depth_ratio",
+    "flat_bottom_fraction",
+    "harmonic_delta_loglike",
+    "harmonic_amp_over_depth",
+    "red_noise_beta",
+    "log_scatter",
+    "max_single_event_fraction",
+    "flux_skew",
+    "clipped_fraction",
+]
 
 
 def flat_bottom(rows: DataFrame, shapes: int = 20, key: str = "target_id") -> DataFrame:
     """(key, flat_bottom_fraction): of `shapes` trapezoids whose floor is 0 to 0.95 of the box, the one that leaves the
-    least squares about 1, at its best depth. Each sample meets a fixed list of shapes; sums then fold per series."""
-    x = F.abs("__p") / (F.col("duration") / 2)
-    near = rows.filter(F.abs("__p") < F.col("duration") / 2).withColumns({"__x": x, "__y": 1 - F.col("flux")})
+    least squares about 1 within one and a half durations, at its best depth; null with fewer than 8 samples there. Each
+    sample meets a fixed list of shapes; sums then fold per series. rows: key, __p (phase), duration, flux."""
+    half = F.col("duration") / 2
+    near = rows.filter(F.abs("__p") < 3 * half)
     q = F.explode(F.array(*[F.lit(round(0.95 * i / (shapes - 1), 4)) for i in range(shapes)])).alias("q")
-    t = near.select(key, "__x", "__y", q).withColumn("t", F.least(F.lit(1.0), (1 - F.col("__x")) / (1 - F.col("q"))))
-    sums = t.groupBy(key, "q").agg(F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("t") * F.col("__y")).alias("ty"))
-    gain = F.when((F.col("tt") > 0) & (F.col("ty") > 0), F.col("ty") * F.col("ty") / F.col("tt")).otherwise(0.0)
-    return sums.groupBy(key).agg(F.min(F.struct((-F.round(gain, 12)).alias("m"), "q")).alias("b")).select(key, F.col("b.q").alias("flat_bottom_fraction"))
+    slope = F.greatest(half * (1 - F.col("q")), F.lit(1e-6))
+    t = near.select(key, "__p", "duration", "flux", q).withColumn("t", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (half - F.abs("__p")) / slope)))
+    sums = t.groupBy(key, "q").agg(F.count("*").alias("n"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("t") * (F.col("flux") - 1)).alias("ty"))
+    gain = F.col("ty") * F.col("ty") / F.col("tt")
+    best = sums.filter("tt > 0 AND n >= 8").groupBy(key).agg(F.min(F.struct((-F.round(gain, 12)).alias("m"), "q")).alias("b"))
+    return best.select(key, F.col("b.q").alias("flat_bottom_fraction"))
+
+
+def _red_noise(rows: DataFrame, keep: Column, name: str, key: str) -> DataFrame:
+    """(key, name): population deviation of means of bins as wide as the dip (three cadences at least), over the robust sigma
+    of the samples by the root of their mean count; null with fewer than 20 samples or 4 bins. Samples: those of `keep`."""
+    kept = rows.filter(keep).select(key, "time", "flux", "duration", "__cadence")
+    scatter = robust_sigma(kept, "flux", key).select(key, F.col("sigma").alias("__s"))
+    first = kept.groupBy(key).agg(F.min("time").alias("__t0"))
+    width = F.greatest("duration", 3 * F.coalesce("__cadence", F.lit(0.0)))
+    bins = kept.join(first, key).groupBy(key, F.floor((F.col("time") - F.col("__t0")) / width).alias("b")).agg(F.avg("flux").alias("m"), F.count("*").alias("n"))
+    full = F.col("n") >= 2
+    got = bins.groupBy(key).agg(F.sum("n").alias("k"), F.count(F.when(full, 1)).alias("b"), F.stddev_pop(F.when(full, F.col("m"))).alias("v"), F.avg(F.when(full, F.col("n"))).alias("c"))
+    return got.join(scatter, key).select(key, F.when((F.col("k") >= 20) & (F.col("b") >= 4) & (F.col("__s") > 0), F.col("v") / (F.col("__s") / F.sqrt("c"))).alias(name))
 
 
-def extract(series: DataFrame, powers: DataFrame, allowance: float = 0.0, clip: float = 4.0, key: str = "target_id") -> DataFrame:
-    """One row a series with a dip: key, period, epoch, duration, depth and FEATURES.
+def _birge(depths: DataFrame, groups: list[Column], name: str, key: str) -> DataFrame:
+    """(key, name): root of chi-square over degrees of freedom of (depth, __w) about the mean of each of the groups of events; null
+    below two degrees."""
+    w, d = F.col("__w"), F.col("depth")
+    parts = []
+    for i, g in enumerate(groups):
+        sums = [F.coalesce(F.sum(F.when(g, x)), F.lit(0.0)) for x in (w * d * d, w * d, w)]
+        parts += [(sums[0] - F.coalesce(F.try_divide(sums[1] * sums[1], sums[2]), F.lit(0.0))).alias(f"c{i}"), F.greatest(F.count(F.when(g, 1)) - 1, F.lit(0)).alias(f"f{i}")]
+    got = depths.groupBy(key).agg(*parts)
+    chi2, freedom = sum((F.col(f"c{i}") for i in range(len(groups))), F.lit(0.0)), sum((F.col(f"f{i}") for i in range(len(groups))), F.lit(0))
+    return got.select(key, F.when(freedom >= 2, F.sqrt(F.greatest(chi2, F.lit(0.0)) / freedom)).alias(name))
 
-    series: normalised; powers: box_search(series, ...). Series in which no period dips have no row; what cannot be
-    measured (one event, no scatter) is null. Everything is grouped by the key, so one layout serves all the joins.
-    """
-    best = best_signal(powers, key)
-    scatter = robust_sigma(series, "flux", key).select(key, F.col("sigma").alias("__s"), F.col("median").alias("__c"))
-    rows = series.select(key, "time", "flux").join(scatter, key).join(best, key)
-    p, e, d = F.col("period"), F.col("epoch"), F.col("duration")
-    rows = rows.withColumns({"__p": phase(F.col("time"), p, e), "__e": F.rint((F.col("time") - e) / p).cast("long")})
-    inside = F.abs("__p") < d / 2
-    w = F.when(F.col("__s") > 0, 1 / (F.col("__s") * F.col("__s")))
-    gain = w * ((F.col("flux") - 1) * (F.col("flux") - 1) - (F.col("flux") - 1 + F.col("depth")) * (F.col("flux") - 1 + F.col("depth"))) / 2
-
-    events = rows.filter(inside).groupBy(key, "__e").agg(F.count("*").alias("c"), F.sum(gain).alias("g"))
-    events = events.groupBy(key).agg(F.count("*").alias("n_transits"), F.min("c").alias("min_points_per_transit"), F.sum("g").alias("delta_loglike"), F.try_divide(F.max(F.abs("g")), F.sum(F.abs("g"))).alias("max_single_event_fraction"))
-
-    depths = fold.event_depths(rows, p, e, d, w, key)
-    odd_even = fold.odd_even_sigma(depths, key).select(key, F.col("sigma").alias("__oe"))
-    birge = fold.birge_ratio(depths, [key]).select(key, F.col("birge").alias("__birge"))
-    main = box_depth(rows, p, e, d, "main", key)
-    second = box_depth(rows.filter(~inside), p, e + p / 2, d, "second", key)
-    half = box_depth(rows, p / 2, e, d, "half", key)
-
-    angle = F.col("__p") / p * (2 * math.pi)
-    y = F.col("flux") - 1
-    sine = rows.groupBy(key).agg(
-        F.sqrt(F.pow(2 * F.avg(y * F.cos(angle)), F.lit(2.0)) + F.pow(2 * F.avg(y * F.sin(angle)), F.lit(2.0))).alias("harmonic_amplitude"), F.count("*").alias("__n"),
-        F.skewness("flux").alias("flux_skew"), F.avg((F.abs(F.col("flux") - F.col("__c")) > clip * F.col("__s")).cast("int")).alias("clipped_fraction"),
-    )
-    beta = red_noise(rows.filter(~inside), key)
-    out = best
-    for part in (scatter, events, odd_even, birge, main, second, half, sine, beta, flat_bottom(rows, key=key), fold.detection_efficiency(powers, key), fold.power_contrast(powers, key)):
-        out = out.join(part, key, "left")
-    wide = F.greatest(X.inflation(F.col("red_noise_beta")), X.inflation(F.col("__birge")))
-    return out.select(
-        key, "period", "epoch", "duration", "depth", F.col("sde").alias("bls_sde"), F.try_divide(F.col("main"), "main_error").alias("bls_depth_snr"), F.try_divide(F.col("depth"), "__s").alias("bls_depth_over_scatter"),
-        "delta_loglike", F.col("contrast").alias("power_contrast"), F.log10(F.greatest("depth", F.lit(1e-8))).alias("log_depth"), d.alias("bls_duration"), (d / p).alias("duration_over_period"),
-        F.log10(p).alias("log_period"), F.log10(d / X.central_duration(p, F.lit(X.SUN_DENSITY))).alias("log_duration_ratio"), "n_transits", "min_points_per_transit", (F.col("__oe") / wide).alias("odd_even_sigma"),
-        (F.try_divide(X.beyond_allowance(F.col("second"), F.lit(allowance)), "second_error") / wide).alias("secondary_sigma"), F.try_divide(F.col("half"), "main").alias("half_period_depth_ratio"), "harmonic_amplitude",
-        F.try_divide(F.col("__n") * F.col("harmonic_amplitude") * F.col("harmonic_amplitude") / 4, F.col("__s") * F.col("__s")).alias("harmonic_delta_loglike"), "flat_bottom_fraction", "red_noise_beta",
-        F.when(F.col("__s") > 0, F.log10("__s")).alias("log_scatter"), "flux_skew", "clipped_fraction", "max_single_event_fraction",
-    )
 
+def extract(series: DataFrame, signals: DataFrame, key: str = "target_id") -> DataFrame:
+    """One row a series with a dip: key, period, epoch, duration, depth and FEATURES.
 
-def red_noise(rows: DataFrame, key: str = "target_id") -> DataFrame:
-    """(key, red_noise_beta): as fold.red_noise(), with bins as wide as each series' own duration and scatter __s."""
-    bins = rows.groupBy(key, F.floor(F.col("time") / F.col("duration")).alias("b")).agg(F.avg("flux").alias("m"), F.count("*").alias("n"), F.first("__s").alias("__s"))
-    full = F.col("n") >= 2
-    got = bins.groupBy(key).agg(F.sum("n").alias("k"), F.count(F.when(full, 1)).alias("b"), F.stddev_pop(F.when(full, F.col("m"))).alias("v"), F.avg(F.when(full, F.col("n"))).alias("c"), F.first("__s").alias("__s"))
-    return got.select(key, F.when((F.col("k") >= 20) & (F.col("b") >= 4) & (F.col("__s") > 0), F.col("v") / (F.col("__s") / F.sqrt("c"))).alias("red_noise_beta"))
+    series: normalised, perhaps with `clipped` (samples that count in clipped_fraction only), teff and density (of the star, for
+    the deepest occultation a planet could show). signals: a row a series of boxsearch.signals(). Series without a dip have
+    no row; what cannot be measured is null. Odd and even events are compared under the scatter within each parity, the dip
+    at half the period under the scatter of its own events, and both under red noise outside all of them.
 
+    The signals are read once; every grouping and join is by the key, so one exchange of the samples serves all.
+    """
+    best = signals.filter("round = 1").select(key, "period", "epoch", "duration", "depth", F.col("sde").alias("bls_sde"), F.col("contrast").alias("power_contrast"))
+    clipped = F.col("clipped").cast("int") if "clipped" in series.columns else F.lit(0)
+    star = [F.col(c).cast("double").alias(f"__{c}") if c in series.columns else F.lit(None).cast("double").alias(f"__{c}") for c in ("teff", "density")]
+    all_ = series.select(key, "time", "flux", clipped.alias("__clipped"), *star)
+    shares = all_.groupBy(key).agg(F.avg("__clipped").alias("clipped_fraction"), F.first("__teff", True).alias("__teff"), F.first("__density", True).alias("__density"))
+    samples = all_.filter("__clipped = 0").select(key, "time", "flux")
+    scatter = robust_sigma(samples, "flux", key).select(key, F.col("sigma").alias("__s"))
+    rows = samples.join(scatter, key).join(cadence(samples, key).withColumnRenamed("cadence", "__cadence"), key).join(best, key)
+    p, e, d, flux = F.col("period"), F.col("epoch"), F.col("duration"), F.col("flux")
+    rows = rows.withColumns({"__p": phase(F.col("time"), p, e), "__h": phase(F.col("time"), p, e + p / 2), "__q": phase(F.col("time"), p / 2, e)})
+    rows = rows.withColumns({"__in": F.abs("__p") < d / 2, "__at_half": F.abs("__h") < d / 2, "__w": F.when(F.col("__s") > 0, 1 / (F.col("__s") * F.col("__s")))})
+
+    def box(inside: Column, among: Column, name: str) -> list[Column]:
+        n, m = F.count(F.when(among & inside, 1)), F.count(F.when(among & ~inside, 1))
+        depth = F.avg(F.when(among & ~inside, flux)) - F.avg(F.when(among & inside, flux))
+        return [depth.alias(name), F.when((n > 0) & (m > 0), F.first("__s") * F.sqrt(1 / n + 1 / m)).alias(f"{name}_error")]
+
+    angle, y, true = F.col("__p") / p * (2 * math.pi), flux - 1, F.lit(True)
+    outside = ~F.col("__in") & ~F.col("__at_half")
+    main = rows.groupBy(key).agg(
+        *box(F.col("__in"), true, "main"), *box(F.col("__at_half"), ~F.col("__in"), "second"), *box(F.abs("__q") < d / 2, true, "half"),
+        F.sqrt(F.pow(2 * F.avg(y * F.cos(angle)), F.lit(2.0)) + F.pow(2 * F.avg(y * F.sin(angle)), F.lit(2.0))).alias("amplitude"), F.count("*").alias("__n"),
+        F.skewness("flux").alias("flux_skew"), F.avg(F.when(outside, flux)).alias("__base"),
+    )
 
-def iterative_search(series: DataFrame, periods: list[float], durations: list[float], threshold: float = 5.5, rounds: int = 3, least: int = 200, key: str = "target_id") -> DataFrame:
+    gain = F.col("__w") * ((flux - 1) * (flux - 1) - (flux - 1 + F.col("depth")) * (flux - 1 + F.col("depth"))) / 2
+    events = rows.filter("__in").groupBy(key, F.rint((F.col("time") - e) / p).cast("long").alias("__e"))
+    events = events.agg(F.count("*").alias("c"), F.sum(gain).alias("g"), F.avg("flux").alias("m"), F.sum("__w").alias("__w"))
+    whole = events.groupBy(key).agg(F.count("*").alias("n_transits"), F.min("c").alias("min_points_per_transit"), F.sum("g").alias("delta_loglike"), F.try_divide(F.max(F.abs("g")), F.sum(F.abs("g"))).alias("max_single_event_fraction"))
+    base = main.select(key, "__base")
+    odd = F.pmod(F.col("__e"), F.lit(2)) == 1
+    depths = events.join(base, key).withColumn("depth", F.col("__base") - F.col("m"))
+    sides = [x for side in (odd, ~odd) for x in (F.sum(F.when(side, F.col("__w"))), F.sum(F.when(side, F.col("__w") * F.col("depth"))))]
+    apart = depths.groupBy(key).agg((F.abs(F.try_divide(sides[1], sides[0]) - F.try_divide(sides[3], sides[2])) / F.sqrt(1 / sides[0] + 1 / sides[2])).alias("__oe"))
+    late = rows.filter("__at_half").groupBy(key, F.rint((F.col("time") - e - p / 2) / p).cast("long").alias("__e")).agg(F.avg("flux").alias("m"), F.sum("__w").alias("__w"))
+    late = late.join(base, key).withColumn("depth", F.col("__base") - F.col("m"))
+    wide = (F.abs("__p") >= d) & (F.abs("__h") >= d)
+    out = best.join(shares, key).join(scatter, key)
+    for part in (
+        whole, main, apart, _birge(depths, [odd, ~odd], "__birge", key), _birge(late, [true], "__late", key), _red_noise(rows, ~F.col("__in"), "red_noise_beta", key), _red_noise(rows, wide, "__wide", key), flat_bottom(rows, key=key),
+    ):
+        out = out.join(part, key, "left")
+    red = X.inflation(F.col("__wide"))
+    allowance = F.coalesce(X.largest_occultation(p, F.col("__teff"), F.col("__density")), F.lit(0.0)) * F.greatest("depth", F.lit(0.0))
+    values = {
+        "bls_depth_snr": F.try_divide(F.col("main"), "main_error"), "bls_depth_over_scatter": F.try_divide(F.col("depth"), "__s"), "log_depth": F.log10(F.greatest("depth", F.lit(1e-8))),
+        "bls_duration": d, "duration_over_period": d / p, "log_duration_ratio": F.log10(d / X.central_duration(p, F.lit(X.SUN_DENSITY))), "log_period": F.log10(p),
+        "odd_even_sigma": F.col("__oe") / F.greatest(red, X.inflation(F.col("__birge"))),
+        "secondary_sigma": F.try_divide(X.beyond_allowance(F.col("second"), allowance), "second_error") / F.greatest(red, X.inflation(F.col("__late"))),
+        "half_period_depth_ratio": F.try_divide(F.col("half"), "depth"), "harmonic_amp_over_depth": F.try_divide(F.col("amplitude"), "depth"),
+        "harmonic_delta_loglike": F.try_divide(F.col("__n") * F.col("amplitude") * F.col("amplitude") / 4, F.col("__s") * F.col("__s")), "log_scatter": F.when(F.col("__s") > 0, F.log10("__s")),
+    }
+    return out.select(key, "period", "epoch", "duration", "depth", *[values.get(f, F.col(f)).alias(f) for f in FEATURES])
+
+
+def iterative_search(series: DataFrame, periods: Sequence[float] | None, durations: Sequence[float], threshold: float = 5.5, rounds: int = 3, least: int = 200, floor: int = 10, key: str = "target_id") -> DataFrame:
     """(key, round, period, epoch, duration, depth, sde): search, note the signal if its efficiency reaches the threshold,
     mask one and a half durations to each side, and search what is left: at most `rounds` times, series by series, while
-    `least` samples are left. All series go through a round in one job; the plan has `rounds` searches, whatever the data."""
-    found = None
-    for k in range(rounds):
-        enough = series.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") >= least).select(key)
-        series = series.join(enough, key, "left_semi")
-        powers = fold.box_search(series, periods, durations, key=key)
-        signal = best_signal(powers, key).join(fold.detection_efficiency(powers, key), key).filter((F.col("sde") >= threshold) & (F.col("depth") > 0))
-        signal = signal.select(key, F.lit(k + 1).alias("round"), "period", "epoch", "duration", "depth", "sde")
-        found = signal if found is None else found.unionByName(signal)
-        mine = signal.select(key, F.col("period").alias("__p"), F.col("epoch").alias("__e"), F.col("duration").alias("__d"))
-        series = series.join(mine, key).filter(F.abs(phase(F.col("time"), F.col("__p"), F.col("__e"))) > 1.5 * F.col("__d")).drop("__p", "__e", "__d")
-    return found
+    `least` samples are left. All rounds of a series are one pass over it; the plan has one exchange."""
+    found = boxsearch.signals(series, periods, durations, rounds=rounds, threshold=threshold, least=least, floor=floor, key=key)
+    return found.select(key, "round", "period", "epoch", "duration", "depth", "sde")

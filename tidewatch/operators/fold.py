@@ -82,29 +82,7 @@ def binned_median_view(series: DataFrame, period: float, epoch: float, half: flo
     return every.join(got, [key, "bin"], "left").select(key, "bin", "median")
 
 
-def box_search(series: DataFrame, periods: list[float], durations: list[float], per_duration: int = 4, key: str = "target_id") -> DataFrame:
-    """(key, period, power, depth, duration, phase0): for each trial period, the box of most signal-to-noise.
-
-    Samples fold into bins of a shortest duration over per_duration; running sums over the bins, wrapped once, give each
-    box. Equal weights; only dips; ties go to the shorter duration, then the earlier bin.
-    """
-    width = min(durations) / per_duration
-    trial = F.explode(F.array(*[F.lit(p) for p in periods])).alias("period")
-    f = series.select(key, "time", "flux", trial).withColumn("bin", F.floor((F.col("time") - F.floor(F.col("time") / F.col("period")) * F.col("period")) / width))
-    bins = f.groupBy(key, "period", "bin").agg(F.count("*").alias("n"), F.sum("flux").alias("s"))
-    total = series.groupBy(key).agg(F.count("*").alias("all_n"), F.sum("flux").alias("all_s"), F.var_pop("flux").alias("v"))
-    boxes = bins.withColumn("k", F.explode(F.array(*[F.lit(round(d / width)) for d in sorted(durations)])))
-    turns = F.ceil(F.col("period") / width)  # a box from any of its bins back; bins wrap
-    starts = boxes.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("start", F.pmod(F.col("bin") - F.col("first"), turns))
-    box = starts.groupBy(key, "period", "k", "start").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(total, key).filter("n < all_n AND n >= 2 AND v > 0")
-    depth = (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")) - F.col("s") / F.col("n")
-    snr = depth / F.sqrt(F.col("v") * (1 / F.col("n") + 1 / (F.col("all_n") - F.col("n"))))
-    box = box.withColumns({"depth": depth, "power": snr}).filter("depth > 0")
-    best = box.groupBy(key, "period").agg(F.min(F.struct((-F.round("power", 9)).alias("m"), "k", "start", "depth", "power")).alias("b"))
-    return best.select(key, "period", F.col("b.power").alias("power"), F.col("b.depth").alias("depth"), (F.col("b.k") * width).alias("duration"), (F.col("b.start") * width).alias("phase0"))
-
-
-def detection_efficiency(powers: DataFrame, key: str = "target_id", least: int = 5) -> DataFrame:
+def detection_efficiency(powers: DataFrame, key: str = "target_id", least: int = 10) -> DataFrame:
     """(key, sde): the best power above the median power, in robust sigmas; null with fewer than `least` powers."""
     m = powers.groupBy(key).agg(F.median("power").alias("__m"), F.max("power").alias("__x"), F.count("*").alias("__n"))
     s = powers.join(m, key).groupBy(key).agg((F.median(F.abs(F.col("power") - F.col("__m"))) * 1.4826).alias("__s"), F.first("__m").alias("__m"), F.first("__x").alias("__x"), F.first("__n").alias("__n"))

@@ -72,8 +72,25 @@ def duo_periods(events: DataFrame, least: float = 2.0, most: int = 30, ratio: fl
     return rows.withColumn("period", F.col("__g") / F.col("k")).filter(F.col("period") >= least).drop("__g")
 
 
-def not_periodic(events: DataFrame, signals: DataFrame, key: str = "target_id") -> DataFrame:
-    """Events outside every box of the series' known signals (key, period, epoch, duration)."""
+def seen_twice(series: DataFrame, signals: DataFrame, least: float = 3.0, key: str = "target_id") -> DataFrame:
+    """Signals (key, period, epoch, duration) with two dips or more whose mean is `least` errors (robust sigma over the root
+    of the samples) below the median of the series."""
+    own = signals.select(key, "period", "epoch", "duration").distinct()
+    scatter = robust_sigma(series, "flux", key).filter("sigma > 0").select(key, "median", "sigma")
+    off = F.col("time") - F.col("epoch")
+    number = F.rint(off / F.col("period"))
+    rows = series.select(key, "time", "flux").join(scatter, key).join(own, key).filter(F.abs(off - number * F.col("period")) < F.col("duration") / 2)
+    dips = rows.groupBy(key, "period", "epoch", "duration", number.cast("long").alias("__e"))
+    dips = dips.agg(((F.first("median") - F.avg("flux")) * F.sqrt(F.count("*")) / F.first("sigma")).alias("__snr")).filter(F.col("__snr") >= least)
+    return dips.groupBy(key, "period", "epoch", "duration").agg(F.count("*").alias("n_dips")).filter("n_dips >= 2")
+
+
+def not_periodic(events: DataFrame, signals: DataFrame, key: str = "target_id", series: DataFrame | None = None, least: float = 3.0) -> DataFrame:
+    """Events outside every box of the series' known signals (key, period, epoch, duration). With the series given, a signal
+    counts only if at least two of its predicted dips are there, each `least` errors deep: a single dip does not hide behind
+    an alias of itself."""
+    if series is not None:
+        signals = signals.join(seen_twice(series, signals, least, key), [key, "period", "epoch", "duration"], "left_semi")
     s = signals.select(key, *[F.col(c).alias(f"__{c}") for c in ("period", "epoch", "duration")])
     off = F.col("time") - F.col("__epoch")
     inside = F.abs(off - F.col("__period") * F.rint(off / F.col("__period"))) < (F.col("__duration") + F.col("duration")) / 2

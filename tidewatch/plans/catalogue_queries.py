@@ -165,3 +165,52 @@ def view_block_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views clipped and averaged over blocks of 8."""
     blocks = F.expr("transform(sequence(0, 7), b -> aggregate(slice(embedding, b * 8 + 1, 8), 0D, (a, x) -> a + greatest(-0.2D, least(0.2D, cast(x AS double))), a -> a / 8))")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(blocks).alias("block", "mean")).select("vec_id", "block", F.round("mean", 6).alias("mean"))
+
+
+@query("""SELECT c_custkey, c_acctbal, min(s_suppkey) AS s_suppkey, count(*)::BIGINT AS n_matches FROM customer JOIN supplier ON c_acctbal > 0 AND s_acctbal > 0 AND abs(s_acctbal / c_acctbal - 1) < 0.01 GROUP BY 1, 2""")
+def nearest_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return C.nearest_ratio(left, table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "c_acctbal", "s_acctbal", 0.01, "s_suppkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def exclude_urgent_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+EDGES = [0.0, 10.0, 20.0, 30.0, 60.0]
+
+
+@query(f"""WITH x AS (SELECT l_quantity AS q, (l_discount >= 0.05)::INT AS predicted, l_tax >= 0.03 AS seen FROM lineitem WHERE l_returnflag = 'R'), e AS (SELECT b.b::INT AS bin, {EDGES}::DOUBLE[] AS e FROM range({len(EDGES) - 1}) b(b))
+SELECT bin, e[bin + 1] AS low, e[bin + 2] AS high, count(q)::BIGINT AS n, round(avg(predicted), 6) AS recall, round(avg(seen::INT), 6) AS recovery, round(avg(predicted) FILTER (seen), 6) AS recall_of_recovered
+FROM e LEFT JOIN x ON q >= e[bin + 1] AND q < e[bin + 2] GROUP BY 1, 2, 3""")
+def recall_by_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_discount") >= 0.05).cast("int").alias("predicted"), (F.col("l_tax") >= 0.03).cast("int").alias("recovered"), F.col("l_quantity").cast("double").alias("q"))
+    out = V.recall_by(x, "q", EDGES)
+    return out.select("bin", "low", "high", "n", *[F.round(c, 6).alias(c) for c in ("recall", "recovery", "recall_of_recovered")])
+
+
+DRAWN = f"""{R}, i AS (SELECT d.doc_id, quality AS label, floor(least(n_chars, 4999) / 50) / 100 AS score, n_chars % 97 / 97.0::DOUBLE AS other FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+h AS (SELECT i.*, b.b AS resample, ('0x' || substr(md5('0:' || b.b || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM i, range(30) b(b)),
+w AS (SELECT *, len(list_filter({V._POISSON}::DOUBLE[], lambda c: u >= c)) AS weight FROM h WHERE u >= 0.36787944)"""
+AP = "SELECT resample, sum(p::DOUBLE * tp / k) / sum(p) AS ap, sum(p) AS p FROM (SELECT resample, p, sum(p) OVER (PARTITION BY resample ORDER BY {0} DESC) AS tp, sum(n) OVER (PARTITION BY resample ORDER BY {0} DESC) AS k FROM (SELECT resample, {0}, sum(label * weight) AS p, sum(weight) AS n FROM w GROUP BY 1, 2)) GROUP BY 1"
+
+
+@query(f"WITH {DRAWN}, a AS ({AP.format('score')}) SELECT round(quantile_cont(ap, 0.16), 6) AS low, round(quantile_cont(ap, 0.84), 6) AS high, count(*)::BIGINT AS n FROM a WHERE p >= 2")
+def precision_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = V.bootstrap_interval(scored(spark, sf_dir).select("doc_id", "label", "score"), 30, "doc_id")
+    return out.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
+
+
+@query(f"""WITH {DRAWN}, a AS ({AP.format('score')}), b AS ({AP.format('other')}), d AS (SELECT a.ap - b.ap AS d FROM a JOIN b ON b.resample = a.resample)
+SELECT round(avg((d > 0)::INT), 6) AS win_rate, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, count(d)::BIGINT AS n FROM d""")
+def win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = d.join(l, "doc_id").select("doc_id", F.col("quality").alias("label"), (F.floor(F.least("n_chars", F.lit(4999)) / 50) / 100).alias("score"), (F.col("n_chars") % 97 / F.lit(97.0)).alias("other"))
+    return V.win_rate(rows, "other", 30, "doc_id").select(*[F.round(c, 6).alias(c) for c in ("win_rate", "low", "high")], "n")
+
+
+@query(f"WITH {K} SELECT score::DOUBLE AS score, round(tp / k, 6) AS precision, round(tp / sum(p) OVER (), 6) AS recall FROM s")
+def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.precision_recall(scored(spark, sf_dir)).select("score", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))

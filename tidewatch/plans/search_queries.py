@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import physics as X
-from tidewatch.operators import detrend, features, fold, ranking, store
+from tidewatch.operators import boxsearch, detrend, features, fold, ranking, store
 from tidewatch.operators import series as S
 from tidewatch.plans.catalogue import query
 from tidewatch.plans.fold_queries import DURATIONS, PERIODS, POWERS, D, P, T0, _rounded, _series
@@ -29,7 +31,7 @@ FROM sig JOIN sc ON sc.target_id = sig.target_id JOIN et ON et.target_id = sig.t
 def signal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The features that SQL can state shortly, of the best signal of every series."""
     f = _series(spark, sf_dir)
-    out = features.extract(f, fold.box_search(f, PERIODS, DURATIONS))
+    out = features.extract(f, boxsearch.signals(f, PERIODS, DURATIONS, floor=5))
     out = _rounded(out, "epoch", "depth", "bls_depth_over_scatter", "max_single_event_fraction", "log_scatter", "log_depth")
     out = _rounded(out, "bls_depth_snr", "delta_loglike", digits=5)
     return out.select("target_id", "period", "epoch", "duration", "depth", "bls_depth_snr", "bls_depth_over_scatter", "delta_loglike", "n_transits", "min_points_per_transit", "max_single_event_fraction", "log_scatter", "log_depth")
@@ -39,7 +41,7 @@ def signal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def full_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features; the test of the operator holds them against a brute-force version."""
     f = _series(spark, sf_dir)
-    return features.extract(f, fold.box_search(f, PERIODS, DURATIONS))
+    return features.extract(f, boxsearch.signals(f, PERIODS, DURATIONS, floor=5))
 
 
 @query()
@@ -55,7 +57,7 @@ def periodogram_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def signals_one_after_another(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.iterative_search(_series(spark, sf_dir), PERIODS, DURATIONS, threshold=1.5, rounds=2, least=20)
+    return features.iterative_search(_series(spark, sf_dir), PERIODS, DURATIONS, threshold=1.5, rounds=2, least=20, floor=5)
 
 
 @query()
@@ -63,8 +65,8 @@ def injected_and_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dips are put into every other series; trees that did not see a series say whether it has one."""
     has = F.col("target_id") % 2 == 0
     f = _series(spark, sf_dir).withColumn("flux", F.when(has, F.col("flux") * (1 - X.trapezoid(F.col("time"), P, T0, 0.8, D, 0.8))).otherwise(F.col("flux")))
-    rows = features.extract(f, fold.box_search(f, PERIODS, DURATIONS)).withColumn("label", (F.col("target_id") % 2 == 0).cast("int"))
-    rows.write.mode("overwrite").parquet(kept := shared_dir(spark) + "/ranked-features")
+    rows = features.extract(f, boxsearch.signals(f, PERIODS, DURATIONS, floor=5)).withColumn("label", (F.col("target_id") % 2 == 0).cast("int"))
+    rows.write.parquet(kept := f"{shared_dir(spark)}/ranked-features-{uuid.uuid4().hex}")
     rows = spark.read.schema(rows.schema).parquet(kept)
     return ranking.trained_scores(rows, features.FEATURES, trees=10).select("target_id", "label", "fold", "raw", "score")
 
@@ -88,12 +90,12 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id AS target_id, floor(epoch_us(ts) / 172800000000.0)::BIGINT AS bin, count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def streamed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = live.drained(live.binned(_stream(spark, sf_dir), "2 days", "30 days"), spark, shared_dir(spark))
+    out = live.drained(live.binned(_stream(spark, sf_dir), "2 days", "30 days"), spark, shared_dir(spark), final=True)
     return out.select("target_id", F.floor(F.unix_micros("start") / 172800000000.0).alias("bin"), "n", F.round("mean", 6).alias("mean"))
 
 
 @query(f"""WITH {E}, d AS (SELECT *, coalesce((time - lag(time) OVER (PARTITION BY target_id ORDER BY time) >= 1.0)::INT, 0) AS b FROM e), g AS (SELECT *, sum(b) OVER (PARTITION BY target_id ORDER BY time) AS g FROM d)
 SELECT target_id, round(min(time), 6) AS start, count(*)::BIGINT AS n, round(avg(flux), 6) AS mean FROM g GROUP BY target_id, g""")
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = live.drained(live.sessions(_stream(spark, sf_dir), "1 day", "30 days"), spark, shared_dir(spark))
+    out = live.drained(live.sessions(_stream(spark, sf_dir), "1 day", "30 days"), spark, shared_dir(spark), final=True)
     return out.select("target_id", F.round(F.unix_micros("start") / 86400000000.0, 6).alias("start"), "n", F.round("mean", 6).alias("mean"))

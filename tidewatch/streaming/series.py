@@ -25,14 +25,17 @@ def sessions(samples: DataFrame, gap: str, late: str, key: str = "target_id") ->
     return w.agg(F.count("*").alias("n"), F.avg("flux").alias("mean")).select(key, F.col("session_window.start").alias("start"), "n", "mean")
 
 
-def drained(stream: DataFrame, spark: SparkSession, folder: str, mode: str = "complete") -> DataFrame:
-    """What a stream's present input gives: each batch written under its number, so a batch run twice counts once."""
+def drained(stream: DataFrame, spark: SparkSession, folder: str, final: bool = False) -> DataFrame:
+    """The windows of a stream's present input that its watermark has closed: each is written once, by the batch that closes
+    it, under the batch's number, so that a batch run twice counts once; its state goes then, and later rows of it are
+    dropped. final: the input has ended, so what is still open is written too (mode "complete": for inputs at rest).
+    """
     run = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
     out = f"{run}/out"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(out if final else f"{out}/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{run}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query = stream.writeStream.outputMode("complete" if final else "append").option("checkpointLocation", f"{run}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
