@@ -54,6 +54,22 @@ def precision_recall(scored: DataFrame) -> DataFrame:
     return s.join(F.broadcast(positives), F.lit(True)).select("score", F.try_divide(F.col("tp"), F.col("k")).alias("precision"), F.try_divide(F.col("tp"), F.col("__all")).alias("recall"))
 
 
+def threshold_for_recall(scored: DataFrame, recall: float) -> DataFrame:
+    """(threshold): the highest score at or above which at least that share of the positives lies, one at least; null
+    without positives."""
+    s = _steps(scored)
+    need = s.agg(F.greatest(F.lit(1), F.ceil(F.lit(recall) * F.sum("p"))).alias("__need"))
+    return s.join(F.broadcast(need), F.col("tp") >= F.col("__need")).agg(F.max("score").alias("threshold"))
+
+
+def reweighted_precision(scored: DataFrame, counts: DataFrame, by: str, wanted: Column, threshold: float) -> DataFrame:
+    """(passing, precision): how many rows of a catalogue with `counts` (by, n) of each class would reach the threshold, by
+    the rates of the scored rows, and the share of those in the wanted classes. Classes without a scored row are left out."""
+    rates = scored.groupBy(by).agg(F.avg((F.col("score") >= threshold).cast("double")).alias("__r"))
+    passing = rates.join(counts, by).withColumn("__x", F.col("__r") * F.col("n"))
+    return passing.agg(F.sum("__x").alias("passing"), F.try_divide(F.coalesce(F.sum(F.when(wanted, F.col("__x"))), F.lit(0.0)), F.sum("__x")).alias("precision"))
+
+
 #: Cumulative probabilities of the Poisson distribution of mean 1, from 0.
 _POISSON = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975, 0.99999887]
 

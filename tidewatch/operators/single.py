@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.series import robust_sigma
@@ -96,3 +98,59 @@ def not_periodic(events: DataFrame, signals: DataFrame, key: str = "target_id",
     inside = F.abs(off - F.col("__period") * F.rint(off / F.col("__period"))) < (F.col("__duration") + F.col("duration")) / 2
     return events.join(s, (events[key] == s[key]) & inside, "left_anti")
 
+
+
+def near_gaps(events: DataFrame, series: DataFrame, reach: float = 1.5, wide: float = 4.0, key: str = "target_id") -> DataFrame:
+    """events with near_gap: whether `reach` durations about the event touch an end of its series, or a hole between samples
+    of more than `wide` times the series' median step. Events without a series have null. Holes are a few rows a series."""
+    w = Window.partitionBy(key).orderBy("time")
+    steps = series.select(key, F.col("time").alias("__t"), F.lead("time").over(w).alias("__u"))
+    span = steps.groupBy(key).agg(F.percentile(F.col("__u") - F.col("__t"), 0.5).alias("__c"), F.min("__t").alias("__a"), F.max("__t").alias("__b"))
+    holes = steps.join(span.select(key, "__c"), key).filter(F.col("__u") - F.col("__t") > wide * F.col("__c")).select(F.col(key).alias("__k"), "__t", "__u")
+    low, high = F.col("time") - reach * F.col("duration"), F.col("time") + reach * F.col("duration")
+    touched = events.select(key, "time", "duration").distinct().join(holes, (F.col(key) == F.col("__k")) & (F.col("__t") < high) & (F.col("__u") > low), "left_semi").withColumn("__hole", F.lit(True))
+    out = events.join(span, key, "left").join(touched, [key, "time", "duration"], "left")
+    near = (low < F.col("__a")) | (high > F.col("__b")) | F.coalesce("__hole", F.lit(False))
+    return out.withColumn("near_gap", near).select(*events.columns, "near_gap")
+
+
+def shortest_period(time: np.ndarray, flux: np.ndarray, at: float, duration: float, depth: float, share: float = 0.5, least: int = 2) -> float:
+    """The shortest period of a dip seen once whose other dips all fall where there are fewer than `least` samples, or where
+    the series is down by at least `share` of the dip's depth; the longest that the series can contradict if there is none.
+
+    Periods go up in quarters of the median step from twice the duration, or half a day. All dips of a block of periods
+    are looked up at once in running sums.
+    """
+    base, sums = np.median(flux), np.concatenate([[0.0], np.cumsum(flux - np.median(flux))])
+    start, end = time[0] - duration, time[-1] + duration
+    longest = max(at - time[0], time[-1] - at) + duration
+    step = max(np.median(np.diff(time)) / 4 if len(time) > 1 else 0.0, 0.002)
+    periods = np.arange(max(2 * duration, 0.5), longest + step, step)
+    for block in np.array_split(periods, max(1, -(-len(periods) // 4096))):
+        before, after = np.floor((at - start) / block).astype(int), np.floor((end - at) / block).astype(int)
+        which = np.repeat(np.arange(len(block)), before + after + 1)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(before + after + 1) - after - 1, before + after + 1)
+        epoch = at + k * block[which]
+        lo, hi = np.searchsorted(time, epoch - duration / 2, "left"), np.searchsorted(time, epoch + duration / 2, "right")
+        mean = (sums[hi] - sums[lo]) / np.maximum(hi - lo, 1)
+        flat = (k != 0) & (hi - lo >= least) & (-mean < share * depth)
+        free = np.flatnonzero(np.bincount(which, flat, minlength=len(block)) == 0)
+        if len(free):
+            return float(block[free[0]])
+    return float(longest)
+
+
+def minimum_periods(events: DataFrame, series: DataFrame, share: float = 0.5, least: int = 2, key: str = "target_id") -> DataFrame:
+    """events (with time, duration, depth) with minimum_period by shortest_period(); events without a series have null. A task
+    holds one series and its few events."""
+    names = [c for c in events.columns if c != "minimum_period"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.select(*names).schema)
+
+    def run(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        s = s.sort_values("time")
+        time, flux = s["time"].to_numpy(), s["flux"].to_numpy()
+        found = [shortest_period(time, flux, *x, share, least) if len(s) else None for x in e[["time", "duration", "depth"]].itertuples(index=False, name=None)]
+        return e.assign(minimum_period=pd.Series(found, index=e.index, dtype="float64"))
+
+    both = series.select(key, "time", "flux").groupBy(key).cogroup(events.select(*names).groupBy(key))
+    return both.applyInPandas(run, f"{kinds}, minimum_period double")

@@ -214,3 +214,17 @@ def win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {K} SELECT score::DOUBLE AS score, round(tp / k, 6) AS precision, round(tp / sum(p) OVER (), 6) AS recall FROM s")
 def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.precision_recall(scored(spark, sf_dir)).select("score", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"WITH {K} SELECT max(score)::DOUBLE AS threshold FROM s WHERE tp >= (SELECT greatest(1, ceil(0.9::DOUBLE * sum(label))) FROM r)")
+def threshold_for_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.threshold_for_recall(scored(spark, sf_dir), 0.9)
+
+
+@query(f"""WITH {R}, q AS (SELECT source, avg((score >= 0.4)::INT::DOUBLE) AS rate FROM r GROUP BY 1), c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
+SELECT round(sum(rate * n), 6) AS passing, round(coalesce(sum(rate * n) FILTER (q.source < 'src2'), 0) / sum(rate * n), 6) AS precision FROM q JOIN c ON c.source = q.source""")
+def reweighted_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of the labelled documents, weighted by how many documents a source has."""
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    out = V.reweighted_precision(scored(spark, sf_dir), counts, "source", F.col("source") < "src2", 0.4)
+    return out.select(F.round("passing", 6).alias("passing"), F.round("precision", 6).alias("precision"))

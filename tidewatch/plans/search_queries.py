@@ -99,3 +99,9 @@ SELECT target_id, round(min(time), 6) AS start, count(*)::BIGINT AS n, round(avg
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = live.drained(live.sessions(_stream(spark, sf_dir), "1 day", "30 days"), spark, shared_dir(spark), final=True)
     return out.select("target_id", F.round(F.unix_micros("start") / 86400000000.0, 6).alias("start"), "n", F.round("mean", 6).alias("mean"))
+
+
+@query()
+def flattened_with_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As flattened_series, with harmonics of a period between 1 and 10 days where they help."""
+    return detrend.flattened(S.finite(event_series(spark, sf_dir)), spacing=20.0, gap=5.0, least=32, rotation=(1.0, 10.0))

@@ -112,3 +112,18 @@ SELECT target_id, segment::BIGINT AS segment, count(*)::BIGINT AS n, round(max(t
 def segment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = S.segments(S.finite(event_series(spark, sf_dir)), 1.0)
     return g.groupBy("target_id", "segment").agg(F.count("*").alias("n"), F.round(F.max("time") - F.min("time"), 6).alias("length"))
+
+
+@query(f"""WITH {TAKEN}, d AS (SELECT target_id, time, lead(time) OVER (PARTITION BY target_id ORDER BY time) AS after FROM f),
+y AS (SELECT target_id, quantile_cont(after - time, 0.5) AS c, min(time) AS a, max(time) AS b FROM d GROUP BY 1), o AS (SELECT d.* FROM d JOIN y ON y.target_id = d.target_id WHERE after - time > 4 * c)
+SELECT t.target_id, rank, round(time, 6) AS time, time - 1.5::DOUBLE * duration < a OR time + 1.5::DOUBLE * duration > b
+OR EXISTS (SELECT 1 FROM o WHERE o.target_id = t.target_id AND o.time < t.time + 1.5::DOUBLE * t.duration AND o.after > t.time - 1.5::DOUBLE * t.duration) AS near_gap FROM t JOIN y ON y.target_id = t.target_id""")
+def single_near_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = single.near_gaps(_events(spark, sf_dir), _series(spark, sf_dir))
+    return _rounded(out.select("target_id", "rank", "time", "near_gap"), "time")
+
+
+@query()
+def single_minimum_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every grid period of every event against every sample; the test holds the operator against brute force."""
+    return single.minimum_periods(_events(spark, sf_dir), _series(spark, sf_dir))
