@@ -60,6 +60,19 @@ def main_sequence_density(temperature: Column) -> Column:
     return SUN_DENSITY * F.pow(F.pow(temperature / SUN_TEMPERATURE, F.lit(2.5)), F.lit(-2.1))
 
 
+def star_parameters(temperature: Column, density: Column, mass: Column, radius: Column, log_g: Column) -> tuple[Column, Column]:
+    """Temperature and mean density of a star from what a catalogue knows of it: its density, else that of its mass and
+    radius, else of its gravity and radius; of the two, one that is still unknown is the main sequence's. Values that are
+    not above 0, or not finite, are unknown; both are null when nothing is known."""
+
+    def known(c: Column) -> Column:
+        return F.when((c > 0) & (c < float("inf")), c)
+
+    t, r = known(temperature), known(radius)
+    d = F.coalesce(known(density), known(mass) * SUN_DENSITY / (r * r * r), density_of_gravity(known(log_g), r))
+    return F.coalesce(t, main_sequence_temperature(d)), F.coalesce(d, main_sequence_density(t))
+
+
 def brightness_ratio(companion: Column, star: Column) -> Column:
     """Brightness at 800 nm of a body of one temperature over one of another."""
     return F.expm1(BAND / star) / F.expm1(BAND / companion)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import physics as X
-from tidewatch.operators import boxsearch, detrend, features, fold, ranking, store
+from tidewatch.operators import boxsearch, detrend, features, fold, ranking, store, survey
 from tidewatch.operators import series as S
 from tidewatch.plans.catalogue import query
 from tidewatch.plans.fold_queries import DURATIONS, PERIODS, POWERS, D, P, T0, _rounded, _series
@@ -105,3 +105,26 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flattened_with_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As flattened_series, with harmonics of a period between 1 and 10 days where they help."""
     return detrend.flattened(S.finite(event_series(spark, sf_dir)), spacing=20.0, gap=5.0, least=32, rotation=(1.0, 10.0))
+
+
+LEAST = 60
+STATUS = BEST + f""", c AS (SELECT user_id AS target_id, count(value) AS n_samples FROM events GROUP BY 1),
+z AS (SELECT c.target_id, n_samples, CASE WHEN n_samples < {LEAST} THEN 'short' WHEN sig.target_id IS NULL THEN 'nothing' ELSE 'ok' END AS status, CASE WHEN n_samples >= {LEAST} THEN sig.period END AS period, CASE WHEN n_samples >= {LEAST} THEN sig.depth END AS depth
+FROM c LEFT JOIN sig ON sig.target_id = c.target_id)"""
+
+
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = lambda f: boxsearch.signals(S.normalised(f), PERIODS, DURATIONS, floor=5).select("target_id", "period", "depth")
+    return survey.with_status(best, LEAST)(event_series(spark, sf_dir))
+
+
+@query(f"WITH {STATUS} SELECT target_id, n_samples::BIGINT AS n_samples, status, period, round(depth, 6) AS depth FROM z")
+def series_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_run(spark, sf_dir).select("target_id", "n_samples", "status", "period", "depth"), "depth")
+
+
+@query(f"""WITH {STATUS} SELECT status, count(*)::BIGINT AS n, count(depth)::BIGINT AS n_scored, round(coalesce(sum(depth / (1 + depth)), 0), 5) AS expected, round(max(depth / (1 + depth)), 6) AS best FROM z GROUP BY ROLLUP (status)""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths, brought below 1, stand for probabilities."""
+    rows = _run(spark, sf_dir).withColumn("p", F.col("depth") / (1 + F.col("depth")))
+    return _rounded(_rounded(survey.summary(rows, "p"), "expected", digits=5), "best")

@@ -127,3 +127,20 @@ def single_near_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def single_minimum_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every grid period of every event against every sample; the test holds the operator against brute force."""
     return single.minimum_periods(_events(spark, sf_dir), _series(spark, sf_dir))
+
+
+STAR = """s AS (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 AND c_acctbal > 0 THEN c_acctbal::DOUBLE END AS t, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 50 > 0 THEN c_custkey % 50 / 10.0::DOUBLE END AS d,
+CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 5 / 2.0::DOUBLE END AS m, CASE WHEN c_nationkey > 0 THEN c_nationkey / 10.0::DOUBLE END AS r, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 4 + 1.5::DOUBLE END AS g FROM customer)"""
+
+
+@query(f"""WITH {STAR}, k AS (SELECT c_custkey, t, coalesce(d, m * {X.SUN_DENSITY} / (r * r * r), 3 * pow(10.0::DOUBLE, g) / (r * (4 * pi() * {X.G}::DOUBLE * {X.SUN_RADIUS}::DOUBLE))) AS d FROM s)
+SELECT c_custkey, round(coalesce(t, {X.SUN_TEMPERATURE} * pow(pow(d / {X.SUN_DENSITY}, -1 / 2.1::DOUBLE), 0.4)), 4) AS temperature, round(coalesce(d, {X.SUN_DENSITY} * pow(pow(t / {X.SUN_TEMPERATURE}, 2.5), -2.1)) / (1 + coalesce(d, {X.SUN_DENSITY} * pow(pow(t / {X.SUN_TEMPERATURE}, 2.5), -2.1))), 6) AS density FROM k""")
+def star_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stand for stars of which some values are known; densities are brought below 1."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").withColumns({
+        "t": F.when(k % 3 != 0, F.col("c_acctbal").cast("double")), "d": F.when(k % 2 == 0, (k % 50) / 10.0),
+        "m": (k % 5) / 2.0, "r": F.col("c_nationkey") / 10.0, "g": F.when(k % 4 > 0, k % 4 + 1.5),
+    })
+    temperature, density = X.star_parameters(*[F.col(x) for x in "tdmrg"])
+    return c.select("c_custkey", F.round(temperature, 4).alias("temperature"), F.round(density / (1 + density), 6).alias("density"))
