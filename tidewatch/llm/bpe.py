@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import columns_of, quoted, slices, table, without
+from tidewatch.llm._common import arrow_mapped, columns_of, quoted, slices, table, without
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: An ASCII letter or digit, then a space: no match of the pattern holds both, and none looks behind.
@@ -79,7 +79,7 @@ def bpe_encode(docs: DataFrame, text: str = "text", rank_file: str = RANKS) -> D
         return [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), ["token_ids", "n_tokens"]]
 
     schema = docs.select(*columns_of(columns)).withColumns({"token_ids": F.lit(None).cast("array<int>"), "n_tokens": F.lit(None).cast("long")}).schema
-    return docs.select(*columns_of(columns)).mapInArrow(_mapped(columns, text, rank_file, made), schema)
+    return arrow_mapped(docs.select(*columns_of(columns)), _mapped(columns, text, rank_file, made), schema)
 
 
 def bpe_decode(tokens: DataFrame, ids: str = "token_ids", rank_file: str = RANKS) -> DataFrame:
@@ -90,7 +90,7 @@ def bpe_decode(tokens: DataFrame, ids: str = "token_ids", rank_file: str = RANKS
         return [pa.array([encoder.decode_bytes(x or []) for x in lists], pa.binary()), ["decoded"]]
 
     schema = tokens.select(*columns_of(columns)).withColumn("decoded", F.lit(None).cast("binary")).schema
-    return tokens.select(*columns_of(columns)).mapInArrow(_mapped(columns, ids, rank_file, made), schema)
+    return arrow_mapped(tokens.select(*columns_of(columns)), _mapped(columns, ids, rank_file, made), schema)
 
 
 def bpe_round_trip(docs: DataFrame, text: str = "text", rank_file: str = RANKS) -> DataFrame:
@@ -108,7 +108,7 @@ def bpe_round_trip(docs: DataFrame, text: str = "text", rank_file: str = RANKS)
 
     new = {"token_ids": F.lit(None).cast("array<int>"), "n_tokens": F.lit(None).cast("long"), "round_trip": F.lit(None).cast("boolean")}
     rows = docs.select(*columns_of(columns), quoted(text).alias("__text"))
-    return rows.mapInArrow(_mapped(columns, "__text", rank_file, made), docs.select(*columns_of(columns)).withColumns(new).schema)
+    return arrow_mapped(rows, _mapped(columns, "__text", rank_file, made), docs.select(*columns_of(columns)).withColumns(new).schema)
 
 
 def bpe_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rank_file: str = RANKS) -> DataFrame:
@@ -127,7 +127,7 @@ def bpe_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ran
     rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     new = {"n_tokens": F.lit(None).cast("long"), "ids_sha256": F.lit(None).cast("string"), "decoded_sha256": F.lit(None).cast("string")}
     schema = rows.select("doc_id").withColumns(new).schema
-    return rows.mapInArrow(_mapped(["doc_id"], "text", rank_file, made), schema)
+    return arrow_mapped(rows, _mapped(["doc_id"], "text", rank_file, made), schema)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

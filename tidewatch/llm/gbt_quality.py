@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import columns_of, quoted, slices, table, without
+from tidewatch.llm._common import arrow_mapped, columns_of, quoted, slices, table, without
 
 FEATURES = [
     "log_words", "log_chars", "word_chars", "ascii_lower", "upper", "digit", "space", "newline", "symbol", "punctuation", "pipe", "exclaim", "high_bytes", "control",
@@ -134,7 +134,7 @@ def with_features(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(x, pa.list_(pa.float64()))], [*keep, "features"])
 
     rows = docs.select(*columns_of(list(dict.fromkeys([*keep, text]))))
-    return rows.mapInArrow(run, rows.select(*columns_of(keep)).withColumn("features", F.lit(None).cast("array<double>")).schema)
+    return arrow_mapped(rows, run, rows.select(*columns_of(keep)).withColumn("features", F.lit(None).cast("array<double>")).schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 20_000, **settings) -> Forest:
@@ -167,7 +167,7 @@ def score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(forest.score(x))], [*columns, "quality_score"])
 
     rows = docs.select(*columns_of(columns))
-    return rows.mapInArrow(run, rows.withColumn("quality_score", F.lit(None).cast("double")).schema)
+    return arrow_mapped(rows, run, rows.withColumn("quality_score", F.lit(None).cast("double")).schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import columns_of, quoted, slices, table, without, written
+from tidewatch.llm._common import arrow_mapped, columns_of, quoted, slices, table, without, written
 
 #: Sketch coordinates and rows a band. At a similarity of 0.8 a pair misses all 36 bands six times in ten million.
 COORDINATES, ROWS = 180, 5
@@ -111,7 +111,7 @@ def sketches(docs: DataFrame, text: str, width: int, t: int = COORDINATES, rows:
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], *new], [*columns, "n_shingles", "set_key", "bands"])
 
     new = {"n_shingles": "long", "set_key": "binary", "bands": "array<bigint>"}
-    return docs.mapInArrow(run, docs.withColumns({k: F.lit(None).cast(v) for k, v in new.items()}).schema)
+    return arrow_mapped(docs, run, docs.withColumns({k: F.lit(None).cast(v) for k, v in new.items()}).schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
