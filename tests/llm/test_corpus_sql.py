@@ -18,7 +18,7 @@ def rows(found, columns):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_agrees(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ours, theirs = QUERIES[name](spark, SF), con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in theirs.description]
