@@ -13,12 +13,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
 import zlib
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from tidewatch.llm._common import arrow_mapped, quoted, slices, table, written
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text of a slice; a longer text is a slice of its own.
 SLICE = 8 << 20
+#: Ends that are tried one at a time.
+PROBES = 64
 #: Graphic characters beside which a space is a certain cut: none is white space, composes, or is B's mark of a space.
 _GRAPHIC = "!-~\xa1-\xac\xae-˿"
 _CUT = re.compile(f"(?<=[{_GRAPHIC}]) (?=[{_GRAPHIC}])")
@@ -37,38 +39,53 @@ _PLAIN = re.compile(f"[{_GRAPHIC}](?:.*[{_GRAPHIC}])?", re.DOTALL)
 _MARK = "▁"
 
 
-def groups(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int, int, int]]:
-    """Groups (a from, a to, b from, b to) of tokens, from their ascending ends; the last ends are equal."""
-    out, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        flipped = a1 - a0 > b1 - b0
-        x, x0, x1, y, y0, y1 = (b, b0, b1, a, a0, a1) if flipped else (a, a0, a1, b, b0, b1)
-        middle, cut = (x0 + x1 - 1) // 2, None
-        for step in range(x1 - x0):  # the middle, one before it, one after it, two before it, ...
-            i = middle + (step + 1) // 2 * (1 if step % 2 == 0 else -1)
-            if x0 <= i < x1 - 1:
-                j = bisect_left(y, x[i], y0, y1 - 1)
-                if j < y1 - 1 and y[j] == x[i]:
-                    cut = (i + 1, j + 1)
-                    break
-        if cut is None:
-            out.append((a0, a1, b0, b1))
-        else:
-            i, j = cut[::-1] if flipped else cut
-            todo += [(i, a1, j, b1), (a0, i, b0, j)]
-    return out
-
-
-def links(a: Sequence[int], b: Sequence[int], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
-    """Places (in a, in b) of tokens of a group whose bytes overlap."""
-    i, i1, j, j1 = group
-    out = []
-    while i < i1 and j < j1:
-        out.append((i, j))
-        end_a, end_b = a[i], b[j]
-        i, j = i + (end_a <= end_b), j + (end_b <= end_a)
-    return out
+def groups(a: np.ndarray, b: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    """Groups (a from, a to, b from, b to) of tokens in order, from ascending ends and from ranges of the same form whose
+    last ends are equal.
+
+    All ranges are halved together. The side with fewer tokens offers its ends from the middle outwards, each located by
+    bisection in the other; after PROBES of them a range looks at all its ends at once.
+    """
+    out, todo = [], ranges
+    while len(todo):
+        flipped = todo[:, 1] - todo[:, 0] > todo[:, 3] - todo[:, 2]
+        low = np.where(flipped, todo[:, 2], todo[:, 0])
+        inside = np.where(flipped, todo[:, 3], todo[:, 1]) - low - 1  # ends but the last
+        middle, cut = low + inside // 2, np.full((len(todo), 2), -1)
+        active = np.flatnonzero(inside > 0)
+        for step in range(PROBES):
+            if not len(active):
+                break
+            at = middle[active] + (step + 1) // 2 * (1 if step % 2 == 0 else -1)
+            valid = (at >= low[active]) & (at < low[active] + inside[active])
+            for x, y, side, column in ((a, b, ~flipped, 0), (b, a, flipped, 1)):
+                own = valid & side[active]
+                i = at[own]
+                j = np.searchsorted(y, x[i])
+                same = y[j] == x[i]
+                cut[active[own][same], column] = i[same] + 1
+                cut[active[own][same], 1 - column] = j[same] + 1
+            active = active[(cut[active, 0] < 0) & (step + 1 <= inside[active])]
+        for k in active[inside[active] >= PROBES].tolist():
+            x, y, column = (b, a, 1) if flipped[k] else (a, b, 0)
+            i = np.arange(low[k], low[k] + inside[k])
+            j = np.searchsorted(y, x[i])
+            same = y[j] == x[i]
+            if same.any():
+                near = np.argmin(np.abs(i[same] - middle[k]))
+                cut[k, column], cut[k, 1 - column] = i[same][near] + 1, j[same][near] + 1
+        halved = cut[:, 0] >= 0
+        out.append(todo[~halved])
+        rest, cut = todo[halved], cut[halved]
+        todo = np.concatenate([np.column_stack([rest[:, 0], cut[:, 0], rest[:, 2], cut[:, 1]]), np.column_stack([cut[:, 0], rest[:, 1], cut[:, 1], rest[:, 3]])])
+    found = np.concatenate(out) if out else ranges
+    return found[np.argsort(found[:, 0], kind="stable")]
+
+
+def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b of tokens that share bytes, from ascending ends: each piece between two ends is of one token of each."""
+    ends = np.union1d(a, b)
+    return np.searchsorted(a, ends), np.searchsorted(b, ends)
 
 
 class Pair:
@@ -106,6 +123,12 @@ def pair_of(byte_level: str, pieces: str) -> Pair:
     return Pair(byte_level, pieces)
 
 
+def _written(a: list[int], b: list[int], made: list[list[int]], last: list[int]) -> list[str]:
+    """Each chunk's groups as text. last: the number of groups up to each chunk's end."""
+    each = [f"{a[i]}|{b[k]}" if j - i == m - k == 1 else ",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m])) for i, j, k, m in made]
+    return [";".join(each[i:j]) for i, j in zip([0, *last], last)]
+
+
 class Chunks(dict):
     """Chunks of a slice's texts by number, and, once aligned, what each has of tokens, groups and links."""
 
@@ -116,27 +139,20 @@ class Chunks(dict):
     def align(self, pair: Pair) -> None:
         """Fills n_a, n_b, n_groups (-1 where bytes differ), written (groups as text), and pairs (keys of all links, the
         chunk's from first[i] to first[i + 1])."""
-        n = len(self)
-        self.n_a, self.n_b, self.n_groups, self.written = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n
-        keys: list[int] = []
-        first = [0]
-        for i, found in enumerate(self._encoded(pair)):
-            if found is None:
-                self.n_groups[i] = -1
-            elif len(found[0]) == len(found[1]) == 1:
-                (a,), (b,) = found
-                self.n_a[i] = self.n_b[i] = self.n_groups[i] = 1
-                self.written[i] = f"{a}|{b}"
-                keys.append(a << 32 | b)
-            else:
-                a, b = found
-                ends_a, ends_b = np.cumsum(pair.sizes_a[a]).tolist(), np.cumsum(pair.sizes_b[b]).tolist()
-                made = groups(ends_a, ends_b)
-                self.n_a[i], self.n_b[i], self.n_groups[i] = len(a), len(b), len(made)
-                self.written[i] = ";".join([",".join(map(str, a[g[0] : g[1]])) + "|" + ",".join(map(str, b[g[2] : g[3]])) for g in made])
-                keys += [a[x] << 32 | b[y] for g in made for x, y in links(ends_a, ends_b, g)]
-            first.append(len(keys))
-        self.first, self.pairs = np.array(first, np.int64), np.array(keys, np.int64)
+        found = list(self._encoded(pair))
+        sizes = np.array([(len(x[0]), len(x[1])) if x else (0, 0) for x in found], np.int64).reshape(-1, 2)
+        self.n_a, self.n_b = sizes.T
+        a, b = (np.fromiter(itertools.chain.from_iterable(x[k] for x in found if x), np.int64, sizes[:, k].sum()) for k in (0, 1))
+        ends_a, ends_b = np.cumsum(pair.sizes_a[a]), np.cumsum(pair.sizes_b[b])
+        to = np.cumsum(sizes, axis=0)
+        ranges = np.column_stack([to[:, 0] - self.n_a, to[:, 0], to[:, 1] - self.n_b, to[:, 1]])
+        made = groups(ends_a, ends_b, ranges[self.n_a > 0])
+        last = np.searchsorted(made[:, 1], to[:, 0], "right")  # groups up to each chunk's end
+        self.n_groups = np.where([x is None for x in found], -1, np.diff(last, prepend=0))
+        self.written = _written(a.tolist(), b.tolist(), made.tolist(), last.tolist())
+        at_a, at_b = links(ends_a, ends_b)
+        self.first = np.concatenate([[0], np.searchsorted(at_a, to[:, 0])])
+        self.pairs = a[at_a] << 32 | b[at_b]
 
     def _encoded(self, pair: Pair) -> Iterator[tuple[list[int], list[int]] | None]:
         """The ids of each chunk. Plain ones are joined by spaces and encoded together."""
