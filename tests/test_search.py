@@ -274,3 +274,20 @@ def test_held_out_scores_rank(spark):
     pos, neg = [r.score for r in got if r.label], [r.score for r in got if not r.label]
     assert len(got) == 300 and sum(p > n for p in pos for n in neg) / len(pos) / len(neg) > 0.85
     assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_features_take_one_search_and_few_exchanges(spark, two):
+    found = features.extract(two, boxsearch.signals(two, PERIODS, DURATIONS))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("FlatMapGroupsInArrow") == 1 and "Join" not in plan
+
+
+def test_features_of_series_with_missing_samples(spark, two):
+    holes = two.unionByName(two.limit(40).withColumn("flux", F.lit(None).cast("double"))).unionByName(two.limit(3).withColumn("flux", F.lit(float("nan"))))
+    signals = boxsearch.signals(two, PERIODS, DURATIONS)
+    plain, torn = ({r.target_id: r for r in features.extract(x, signals).collect()} for x in (two, holes))
+    assert all(plain[k][f] == pytest.approx(torn[k][f]) for k in (1, 2) for f in features.FEATURES)
+    flat = spark.createDataFrame([(3, i, i * 0.1, 1.0) for i in range(50)], LONG)
+    given = spark.createDataFrame([(3, 1, 2.0, 0.5, 0.3, 0.01, 9.0, 2.0)], "target_id long, round int, period double, epoch double, duration double, depth double, sde double, contrast double")
+    got = features.extract(flat, given).first()
+    assert got.n_transits == 3 and got.log_scatter is None and got.bls_depth_over_scatter is None and got.flux_skew is None

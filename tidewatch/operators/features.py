@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import physics as X
 from tidewatch.operators import boxsearch
-from tidewatch.operators.series import cadence, phase, robust_sigma
+from tidewatch.operators.series import MAD
 
 #: The published names of the features, in the published order.
 FEATURES = [
@@ -40,45 +41,120 @@ FEATURES = [
 ]
 
 
-def flat_bottom(rows: DataFrame, shapes: int = 20, key: str = "target_id") -> DataFrame:
-    """(key, flat_bottom_fraction): of `shapes` trapezoids whose floor is 0 to 0.95 of the box, the one that leaves the
-    least squares about 1 within one and a half durations, at its best depth; null with fewer than 8 samples there. Each
-    sample meets a fixed list of shapes; sums then fold per series. rows: key, __p (phase), duration, flux."""
-    half = F.col("duration") / 2
-    near = rows.filter(F.abs("__p") < 3 * half)
-    q = F.explode(F.array(*[F.lit(round(0.95 * i / (shapes - 1), 4)) for i in range(shapes)])).alias("q")
-    slope = F.greatest(half * (1 - F.col("q")), F.lit(1e-6))
-    t = near.select(key, "__p", "duration", "flux", q).withColumn("t", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (half - F.abs("__p")) / slope)))
-    sums = t.groupBy(key, "q").agg(F.count("*").alias("n"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("t") * (F.col("flux") - 1)).alias("ty"))
-    gain = F.col("ty") * F.col("ty") / F.col("tt")
-    best = sums.filter("tt > 0 AND n >= 8").groupBy(key).agg(F.min(F.struct((-F.round(gain, 12)).alias("m"), "q")).alias("b"))
-    return best.select(key, F.col("b.q").alias("flat_bottom_fraction"))
-
-
-def _red_noise(rows: DataFrame, keep: Column, name: str, key: str) -> DataFrame:
-    """(key, name): population deviation of means of bins as wide as the dip (three cadences at least), over the robust sigma
-    of the samples by the root of their mean count; null with fewer than 20 samples or 4 bins. Samples: those of `keep`."""
-    kept = rows.filter(keep).select(key, "time", "flux", "duration", "__cadence")
-    scatter = robust_sigma(kept, "flux", key).select(key, F.col("sigma").alias("__s"))
-    first = kept.groupBy(key).agg(F.min("time").alias("__t0"))
-    width = F.greatest("duration", 3 * F.coalesce("__cadence", F.lit(0.0)))
-    bins = kept.join(first, key).groupBy(key, F.floor((F.col("time") - F.col("__t0")) / width).alias("b")).agg(F.avg("flux").alias("m"), F.count("*").alias("n"))
-    full = F.col("n") >= 2
-    got = bins.groupBy(key).agg(F.sum("n").alias("k"), F.count(F.when(full, 1)).alias("b"), F.stddev_pop(F.when(full, F.col("m"))).alias("v"), F.avg(F.when(full, F.col("n"))).alias("c"))
-    return got.join(scatter, key).select(key, F.when((F.col("k") >= 20) & (F.col("b") >= 4) & (F.col("__s") > 0), F.col("v") / (F.col("__s") / F.sqrt("c"))).alias(name))
-
-
-def _birge(depths: DataFrame, groups: list[Column], name: str, key: str) -> DataFrame:
-    """(key, name): root of chi-square over degrees of freedom of (depth, __w) about the mean of each of the groups of events; null
-    below two degrees."""
-    w, d = F.col("__w"), F.col("depth")
-    parts = []
-    for i, g in enumerate(groups):
-        sums = [F.coalesce(F.sum(F.when(g, x)), F.lit(0.0)) for x in (w * d * d, w * d, w)]
-        parts += [(sums[0] - F.coalesce(F.try_divide(sums[1] * sums[1], sums[2]), F.lit(0.0))).alias(f"c{i}"), F.greatest(F.count(F.when(g, 1)) - 1, F.lit(0)).alias(f"f{i}")]
-    got = depths.groupBy(key).agg(*parts)
-    chi2, freedom = sum((F.col(f"c{i}") for i in range(len(groups))), F.lit(0.0)), sum((F.col(f"f{i}") for i in range(len(groups))), F.lit(0))
-    return got.select(key, F.when(freedom >= 2, F.sqrt(F.greatest(chi2, F.lit(0.0)) / freedom)).alias(name))
+def flat_bottom(away: np.ndarray, flux: np.ndarray, duration: float, shapes: int = 20) -> float:
+    """Of `shapes` trapezoids whose floor is 0 to 0.95 of the box, the one that leaves the least squares about 1 within one
+    and a half durations, at its best depth; nan with fewer than 8 samples there. away: distance from the middle of the dip."""
+    near = away < 1.5 * duration
+    if near.sum() < 8:
+        return np.nan
+    floors = np.round(0.95 * np.arange(shapes) / (shapes - 1), 4)
+    shape = np.clip((duration / 2 - away[near]) / np.maximum(duration / 2 * (1 - floors[:, None]), 1e-6), 0.0, 1.0)
+    squares = (shape * shape).sum(axis=1)
+    if not squares.any():
+        return np.nan
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(squares > 0, (shape @ (flux[near] - 1)) ** 2 / squares, -np.inf)
+    return float(floors[np.argmax(np.round(gain, 12))])
+
+
+def _scatter(values: np.ndarray) -> float:
+    return float(MAD * np.median(np.abs(values - np.median(values)))) if len(values) else np.nan
+
+
+def _red_noise(time: np.ndarray, flux: np.ndarray, width: float) -> float:
+    """Population deviation of means of bins of `width` with two samples or more, over the robust sigma of the samples by the
+    root of their mean count; nan with fewer than 20 samples or 4 bins."""
+    scatter = _scatter(flux)
+    if len(flux) < 20 or not scatter > 0:
+        return np.nan
+    bins = np.floor((time - time.min()) / width).astype(np.int64)
+    _, bins = np.unique(bins, return_inverse=True)
+    count = np.bincount(bins)
+    full = count >= 2
+    if full.sum() < 4:
+        return np.nan
+    return float((np.bincount(bins, flux)[full] / count[full]).std() / (scatter / np.sqrt(count[full].mean())))
+
+
+def _birge(depth: np.ndarray, weight: float, groups: list[np.ndarray]) -> float:
+    """Root of chi-square over degrees of freedom of depths about the mean of each group of them (depth and counts as
+    weights in units of `weight`); nan below two degrees."""
+    chi2, freedom = 0.0, 0
+    for own in groups:
+        d, n = depth[0][own], depth[1][own]
+        if len(d):
+            chi2 += float(weight * (n * (d - (n * d).sum() / n.sum()) ** 2).sum())
+            freedom += len(d) - 1
+    return float(np.sqrt(chi2 / freedom)) if freedom >= 2 else np.nan
+
+
+#: What measured() gives, beside n_transits and min_points_per_transit.
+MEASURES = [
+    "scatter", "n", "base", "main", "main_error", "second", "second_error", "half", "amplitude", "flux_skew", "delta_loglike", "max_single_event_fraction", "odd_even", "birge", "late_birge", "red_noise_beta",
+    "wide_beta", "flat_bottom_fraction",
+]
+
+
+def measured(time: np.ndarray, flux: np.ndarray, period: float, epoch: float, duration: float, depth: float) -> dict[str, float]:
+    """MEASURES of one series (in order of time, none missing) at a signal; nan where something cannot be measured."""
+    out = dict.fromkeys([*MEASURES, "n_transits", "min_points_per_transit"], np.nan)
+    scatter, n = _scatter(flux), len(flux)
+    out |= {"scatter": scatter, "n": n}
+    if not n:
+        return out
+    weight = 1 / scatter**2 if scatter > 0 else np.nan
+    cadence = float(np.median(np.diff(time))) if n > 1 else 0.0
+
+    def folded(p: float, t0: float) -> np.ndarray:
+        shifted = time - t0 + p / 2
+        return shifted - p * np.floor(shifted / p) - p / 2
+
+    x, h = folded(period, epoch), folded(period, epoch + period / 2)
+    inside, late = np.abs(x) < duration / 2, np.abs(h) < duration / 2
+
+    def box(of: np.ndarray, among: np.ndarray, name: str) -> None:
+        a, b = flux[among & of], flux[among & ~of]
+        if len(a) and len(b):
+            out[name] = float(b.mean() - a.mean())
+            if f"{name}_error" in out:
+                out[f"{name}_error"] = float(scatter * np.sqrt(1 / len(a) + 1 / len(b)))
+
+    everywhere = np.ones(n, bool)
+    box(inside, everywhere, "main")
+    box(late, ~inside, "second")
+    box(np.abs(folded(period / 2, epoch)) < duration / 2, everywhere, "half")
+    angle = x / period * (2 * np.pi)
+    out["amplitude"] = float(np.hypot(2 * ((flux - 1) * np.cos(angle)).mean(), 2 * ((flux - 1) * np.sin(angle)).mean()))
+    z = flux - flux.mean()
+    spread = (z * z).mean()
+    out["flux_skew"] = float((z**3).mean() / spread**1.5) if spread > 0 else np.nan
+    outside = flux[~inside & ~late]
+    base = outside.mean() if len(outside) else np.nan
+    out["base"] = float(base)
+
+    def events(of: np.ndarray, t0: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        number, place = np.unique(np.rint((time[of] - t0) / period), return_inverse=True)
+        count = np.bincount(place, minlength=len(number)).astype(float)
+        return number, np.stack([base - np.bincount(place, flux[of], len(number)) / count, count]) if len(number) else np.zeros((2, 0)), place
+
+    number, depths, place = events(inside, epoch)
+    if len(number):
+        y = flux[inside] - 1
+        gain = np.bincount(place, weight * (y * y - (y + depth) ** 2) / 2, len(number))
+        out |= {"n_transits": len(number), "min_points_per_transit": depths[1].min(), "delta_loglike": gain.sum()}
+        out["max_single_event_fraction"] = np.abs(gain).max() / np.abs(gain).sum() if np.abs(gain).sum() > 0 else np.nan
+        odd = number % 2 == 1
+        if odd.any() and not odd.all():
+            (a, wa), (b, wb) = (((depths[0][g] * depths[1][g]).sum() / depths[1][g].sum(), weight * depths[1][g].sum()) for g in (odd, ~odd))
+            out["odd_even"] = abs(a - b) / np.sqrt(1 / wa + 1 / wb)
+        out["birge"] = _birge(depths, weight, [odd, ~odd])
+    number, depths, _ = events(late, epoch + period / 2)
+    if len(number):
+        out["late_birge"] = _birge(depths, weight, [np.ones(len(number), bool)])
+    width = max(duration, 3 * cadence)
+    wide = (np.abs(x) >= duration) & (np.abs(h) >= duration)
+    out |= {"red_noise_beta": _red_noise(time[~inside], flux[~inside], width), "wide_beta": _red_noise(time[wide], flux[wide], width), "flat_bottom_fraction": flat_bottom(np.abs(x), flux, duration)}
+    return out
 
 
 def extract(series: DataFrame, signals: DataFrame, key: str = "target_id") -> DataFrame:
@@ -86,62 +162,45 @@ def extract(series: DataFrame, signals: DataFrame, key: str = "target_id") -> Da
 
     series: normalised, perhaps with `clipped` (samples that count in clipped_fraction only), teff and density (of the star, for
     the deepest occultation a planet could show). signals: a row a series of boxsearch.signals(). Series without a dip have
-    no row; what cannot be measured is null. Odd and even events are compared under the scatter within each parity, the dip
-    at half the period under the scatter of its own events, and both under red noise outside all of them.
+    no row; samples whose time or flux is missing or not finite do not count; what cannot be measured is null. Odd and even
+    events are compared under the scatter within each parity, the dip at half the period under the scatter of its own
+    events, and both under red noise outside all of them.
 
-    The signals are read once; every grouping and join is by the key, so one exchange of the samples serves all.
+    Samples and signals meet once, in a group of one series, which is measured in one pass; the rest is expressions over
+    the row that comes of it.
     """
     best = signals.filter("round = 1").select(key, "period", "epoch", "duration", "depth", F.col("sde").alias("bls_sde"), F.col("contrast").alias("power_contrast"))
-    clipped = F.col("clipped").cast("int") if "clipped" in series.columns else F.lit(0)
-    star = [F.col(c).cast("double").alias(f"__{c}") if c in series.columns else F.lit(None).cast("double").alias(f"__{c}") for c in ("teff", "density")]
-    all_ = series.select(key, "time", "flux", clipped.alias("__clipped"), *star)
-    shares = all_.groupBy(key).agg(F.avg("__clipped").alias("clipped_fraction"), F.first("__teff", True).alias("__teff"), F.first("__density", True).alias("__density"))
-    samples = all_.filter("__clipped = 0").select(key, "time", "flux")
-    scatter = robust_sigma(samples, "flux", key).select(key, F.col("sigma").alias("__s"))
-    rows = samples.join(scatter, key).join(cadence(samples, key).withColumnRenamed("cadence", "__cadence"), key).join(best, key)
-    p, e, d, flux = F.col("period"), F.col("epoch"), F.col("duration"), F.col("flux")
-    rows = rows.withColumns({"__p": phase(F.col("time"), p, e), "__h": phase(F.col("time"), p, e + p / 2), "__q": phase(F.col("time"), p / 2, e)})
-    rows = rows.withColumns({"__in": F.abs("__p") < d / 2, "__at_half": F.abs("__h") < d / 2, "__w": F.when(F.col("__s") > 0, 1 / (F.col("__s") * F.col("__s")))})
-
-    def box(inside: Column, among: Column, name: str) -> list[Column]:
-        n, m = F.count(F.when(among & inside, 1)), F.count(F.when(among & ~inside, 1))
-        depth = F.avg(F.when(among & ~inside, flux)) - F.avg(F.when(among & inside, flux))
-        return [depth.alias(name), F.when((n > 0) & (m > 0), F.first("__s") * F.sqrt(1 / n + 1 / m)).alias(f"{name}_error")]
-
-    angle, y, true = F.col("__p") / p * (2 * math.pi), flux - 1, F.lit(True)
-    outside = ~F.col("__in") & ~F.col("__at_half")
-    main = rows.groupBy(key).agg(
-        *box(F.col("__in"), true, "main"), *box(F.col("__at_half"), ~F.col("__in"), "second"), *box(F.abs("__q") < d / 2, true, "half"),
-        F.sqrt(F.pow(2 * F.avg(y * F.cos(angle)), F.lit(2.0)) + F.pow(2 * F.avg(y * F.sin(angle)), F.lit(2.0))).alias("amplitude"), F.count("*").alias("__n"),
-        F.skewness("flux").alias("flux_skew"), F.avg(F.when(outside, flux)).alias("__base"),
-    )
-
-    gain = F.col("__w") * ((flux - 1) * (flux - 1) - (flux - 1 + F.col("depth")) * (flux - 1 + F.col("depth"))) / 2
-    events = rows.filter("__in").groupBy(key, F.rint((F.col("time") - e) / p).cast("long").alias("__e"))
-    events = events.agg(F.count("*").alias("c"), F.sum(gain).alias("g"), F.avg("flux").alias("m"), F.sum("__w").alias("__w"))
-    whole = events.groupBy(key).agg(F.count("*").alias("n_transits"), F.min("c").alias("min_points_per_transit"), F.sum("g").alias("delta_loglike"), F.try_divide(F.max(F.abs("g")), F.sum(F.abs("g"))).alias("max_single_event_fraction"))
-    base = main.select(key, "__base")
-    odd = F.pmod(F.col("__e"), F.lit(2)) == 1
-    depths = events.join(base, key).withColumn("depth", F.col("__base") - F.col("m"))
-    sides = [x for side in (odd, ~odd) for x in (F.sum(F.when(side, F.col("__w"))), F.sum(F.when(side, F.col("__w") * F.col("depth"))))]
-    apart = depths.groupBy(key).agg((F.abs(F.try_divide(sides[1], sides[0]) - F.try_divide(sides[3], sides[2])) / F.sqrt(1 / sides[0] + 1 / sides[2])).alias("__oe"))
-    late = rows.filter("__at_half").groupBy(key, F.rint((F.col("time") - e - p / 2) / p).cast("long").alias("__e")).agg(F.avg("flux").alias("m"), F.sum("__w").alias("__w"))
-    late = late.join(base, key).withColumn("depth", F.col("__base") - F.col("m"))
-    wide = (F.abs("__p") >= d) & (F.abs("__h") >= d)
-    out = best.join(shares, key).join(scatter, key)
-    for part in (
-        whole, main, apart, _birge(depths, [odd, ~odd], "__birge", key), _birge(late, [true], "__late", key), _red_noise(rows, ~F.col("__in"), "red_noise_beta", key), _red_noise(rows, wide, "__wide", key), flat_bottom(rows, key=key),
-    ):
-        out = out.join(part, key, "left")
-    red = X.inflation(F.col("__wide"))
-    allowance = F.coalesce(X.largest_occultation(p, F.col("__teff"), F.col("__density")), F.lit(0.0)) * F.greatest("depth", F.lit(0.0))
+    clipped = F.coalesce(F.col("clipped").cast("boolean"), F.lit(False)) if "clipped" in series.columns else F.lit(False)
+    star = [F.col(c).cast("double").alias(c) if c in series.columns else F.lit(None).cast("double").alias(c) for c in ("teff", "density")]
+    samples = series.select(key, F.col("time").cast("double").alias("time"), F.col("flux").cast("double").alias("flux"), clipped.alias("clipped"), *star)
+    own = best.columns[1:]
+    names = ["teff", "density", "clipped_fraction", "n_transits", "min_points_per_transit", *MEASURES]
+
+    def run(rows: pa.Table, signal: pa.Table) -> pa.Table:
+        if not rows.num_rows or not signal.num_rows:
+            return pa.table({key: rows.column(key).slice(0, 0)} | {c: pa.array([], pa.float64()) for c in [*own, *names]})
+        time, flux, out_of = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("time", "flux", "clipped"))
+        keep = np.isfinite(time) & np.isfinite(flux) & ~out_of.astype(bool)
+        order = np.argsort(time[keep], kind="stable")
+        made = {c: next((v for v in rows.column(c).to_pylist() if v is not None), None) for c in ("teff", "density")} | {"clipped_fraction": float(out_of.astype(bool).mean())}
+        made |= measured(time[keep][order], flux[keep][order], *(signal.column(c)[0].as_py() for c in ("period", "epoch", "duration", "depth")))
+        cells = {key: rows.column(key).slice(0, 1)} | {c: signal.column(c).slice(0, 1) for c in own}
+        return pa.table(cells | {c: pa.array([None if made[c] is None or made[c] != made[c] else float(made[c])], pa.float64()) for c in names})
+
+    kind = dict(series.dtypes)[key]
+    schema = f"`{key}` {kind}, " + ", ".join(f"`{c}` double" for c in [*own, *names])
+    out = samples.groupBy(key).cogroup(best.select(F.col(key).alias("__key"), *best.columns[1:]).groupBy("__key")).applyInArrow(run, schema)
+    p, d, s = F.col("period"), F.col("duration"), F.when(F.col("scatter") > 0, F.col("scatter"))
+    red = X.inflation(F.col("wide_beta"))
+    allowance = F.coalesce(X.largest_occultation(p, F.col("teff"), F.col("density")), F.lit(0.0)) * F.greatest("depth", F.lit(0.0))
     values = {
-        "bls_depth_snr": F.try_divide(F.col("main"), "main_error"), "bls_depth_over_scatter": F.try_divide(F.col("depth"), "__s"), "log_depth": F.log10(F.greatest("depth", F.lit(1e-8))),
+        "bls_depth_snr": F.try_divide(F.col("main"), "main_error"), "bls_depth_over_scatter": F.col("depth") / s, "log_depth": F.log10(F.greatest("depth", F.lit(1e-8))),
         "bls_duration": d, "duration_over_period": d / p, "log_duration_ratio": F.log10(d / X.central_duration(p, F.lit(X.SUN_DENSITY))), "log_period": F.log10(p),
-        "odd_even_sigma": F.col("__oe") / F.greatest(red, X.inflation(F.col("__birge"))),
-        "secondary_sigma": F.try_divide(X.beyond_allowance(F.col("second"), allowance), "second_error") / F.greatest(red, X.inflation(F.col("__late"))),
+        "n_transits": F.col("n_transits").cast("long"), "min_points_per_transit": F.col("min_points_per_transit").cast("long"),
+        "odd_even_sigma": F.col("odd_even") / F.greatest(red, X.inflation(F.col("birge"))),
+        "secondary_sigma": F.try_divide(X.beyond_allowance(F.col("second"), allowance), "second_error") / F.greatest(red, X.inflation(F.col("late_birge"))),
         "half_period_depth_ratio": F.try_divide(F.col("half"), "depth"), "harmonic_amp_over_depth": F.try_divide(F.col("amplitude"), "depth"),
-        "harmonic_delta_loglike": F.try_divide(F.col("__n") * F.col("amplitude") * F.col("amplitude") / 4, F.col("__s") * F.col("__s")), "log_scatter": F.when(F.col("__s") > 0, F.log10("__s")),
+        "harmonic_delta_loglike": F.col("n") * F.col("amplitude") * F.col("amplitude") / 4 / (s * s), "log_scatter": F.log10(s),
     }
     return out.select(key, "period", "epoch", "duration", "depth", *[values.get(f, F.col(f)).alias(f) for f in FEATURES])
 
