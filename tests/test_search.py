@@ -226,7 +226,7 @@ def test_strongest_events_do_not_overlap(spark, two):
             if len(taken) < 4 and all(abs(t - u) >= (d + e) / 2 for _, u, e in taken):
                 taken.append((m, t, d))
         assert sorted((-r.snr, r.time, r.duration) for r in got if r.target_id == k) == taken
-    duo = single.duo_periods(single.strongest_events(scan, 5.0))
+    duo = single.duo_periods(single.strongest_events(scan, 5.0), two)
     assert duo.filter("target_id = 1 AND abs(period - 5.0) < 0.2").count() > 0
 
 

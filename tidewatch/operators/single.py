@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import dips
 from tidewatch.operators.series import robust_sigma
 
 EVENT = "array<struct<snr:double,time:double,duration:double,depth:double,n:bigint>>"
@@ -24,18 +28,59 @@ def noise_factor(series: DataFrame, width: float, key: str = "target_id") -> Dat
     return out.select(key, F.greatest(F.coalesce(ratio, F.lit(1.0)), F.lit(1.0)).alias("beta"))
 
 
-def box_scan(series: DataFrame, durations: list[float], least: int = 2, key: str = "target_id") -> DataFrame:
-    """(key, time, duration, n, depth, snr): at every sample a box of every duration about it, against the series' median
-    and robust sigma. One sort of each series serves all the boxes; boxes of fewer than `least` samples are left out."""
-    s = robust_sigma(series, "flux", key).filter("sigma > 0").select(key, "median", "sigma")
-    boxes = []
-    for d in durations:
-        frame = f"OVER (PARTITION BY {key} ORDER BY time RANGE BETWEEN {d / 2}D PRECEDING AND {d / 2}D FOLLOWING)"
-        boxes.append(F.expr(f"named_struct('duration', {d}D, 'n', count(*) {frame}, 'mean', avg(flux) {frame})"))
-    rows = series.select(key, "time", F.array(*boxes).alias("__b")).select(key, "time", F.explode("__b").alias("b"))
-    depth = F.col("median") - F.col("b.mean")
-    out = rows.join(s, key).filter(F.col("b.n") >= least)
-    return out.select(key, "time", "b.duration", F.col("b.n").alias("n"), depth.alias("depth"), (depth * F.sqrt(F.col("b.n")) / F.col("sigma")).alias("snr"))
+def _per_series(series: DataFrame, run, schema: str, key: str) -> DataFrame:
+    """run(Series) -> columns, for the finite samples of each series in order of time; a task holds one series."""
+
+    def grouped(rows: pa.Table) -> pa.Table:
+        made = run(_ordered(rows))
+        n = len(next(iter(made.values())))
+        return pa.table({key: pa.array([rows.column(key)[0].as_py()] * n, rows.schema.field(key).type), **{c: pa.array(v) for c, v in made.items()}})
+
+    return series.select(key, "time", "flux").groupBy(key).applyInArrow(grouped, f"`{key}` {dict(series.dtypes)[key]}, {schema}")
+
+
+def _ordered(rows: pa.Table) -> dips.Series:
+    time, flux = (rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("time", "flux"))
+    keep = np.isfinite(time) & np.isfinite(flux)
+    order = np.argsort(time[keep], kind="stable")
+    return dips.Series(time[keep][order], flux[keep][order])
+
+
+def box_scan(series: DataFrame, durations: Sequence[float], rules: dips.Rules = dips.Rules(), key: str = "target_id") -> DataFrame:
+    """(key, time, duration, n, depth, snr): at every sample a box of every duration about it, against the mean of one
+    duration to each side, in units of the robust sigma times the noise factor of that duration. Boxes or sides with too few
+    samples (rules) have no row, so neither a step nor an edge of a gap is a dip; nor has a series without scatter."""
+
+    def run(s: dips.Series) -> dict[str, np.ndarray]:
+        parts = []
+        for d, _, depth, snr, n in dips.scanned(s, durations, rules):
+            own = np.isfinite(snr)
+            parts.append((s.time[own], np.full(own.sum(), d), n[own].astype(np.int64), depth[own], snr[own]))
+        return dict(zip(("time", "duration", "n", "depth", "snr"), (np.concatenate(x) for x in zip(*parts)), strict=True))
+
+    return _per_series(series, run, "time double, duration double, n bigint, depth double, snr double", key)
+
+
+DIP = "rank int, time double, duration double, depth double, error double, snr double, n bigint, preference double, ramp boolean, minimum_period double"
+
+
+def search_events(series: DataFrame, durations: Sequence[float], rules: dips.Rules = dips.Rules(), shortest: float = 0.5, step: float = 0.002, key: str = "target_id") -> DataFrame:
+    """(key, rank, time, duration, depth, error, snr, n, preference, ramp, minimum_period): the strongest dips of each series
+    with refined times and durations, whether a ramp describes them better, and, of those that are no ramps, the shortest
+    period that nothing contradicts (tried in quarters of the median step, `step` at least, from two durations or `shortest`).
+
+    Series of fewer than 20 samples, without scatter or without a dip have no row.
+    """
+
+    def run(s: dips.Series) -> dict[str, list]:
+        found = dips.found_dips(s, durations, rules) if len(s.time) >= 20 and s.sigma > 0 else []
+        for rank, e in enumerate(found, 1):
+            limit = None if e["ramp"] else dips.shortest_period(s, e["time"], e["duration"], e["depth"], max(shortest, 2 * e["duration"]), max(s.step / 4, step), rules)
+            e |= {"rank": rank, "preference": max(e["preference"], -1e300), "minimum_period": limit}
+        kinds = {"rank": pa.int32(), "n": pa.int64(), "ramp": pa.bool_()}
+        return {c: pa.array([e[c] for e in found], kinds.get(c, pa.float64())) for c in (x.split()[0] for x in DIP.split(", "))}
+
+    return _per_series(series, run, DIP, key)
 
 
 def strongest_events(scan: DataFrame, threshold: float = 7.5, most: int = 4, key: str = "target_id") -> DataFrame:
@@ -57,21 +102,39 @@ def strongest_events(scan: DataFrame, threshold: float = 7.5, most: int = 4, key
     return out.select(key, (F.col("rank") + 1).alias("rank"), "e.time", "e.duration", "e.depth", "e.n", "e.snr")
 
 
-def duo_periods(events: DataFrame, least: float = 2.0, most: int = 30, ratio: float = 1.6, key: str = "target_id") -> DataFrame:
-    """(key, first, second, k, period): every whole fraction 1/k of the time between two like dips of a series that is no
-    shorter than `least`. Like: depths within 3 errors and a fifth of their mean, durations within `ratio`.
+def like_pairs(events: DataFrame, ratio: float = 1.6, sigmas: float = 3.0, share: float = 0.2, key: str = "target_id") -> DataFrame:
+    """(key, first, second, duration, depth): pairs of dips of a series whose depths are within `sigmas` errors and a share of
+    their mean, and whose durations are within `ratio`; with the means of both.
 
-    events: few a series (strongest_events()), with time, duration, depth, snr; the pairs are within a series.
+    events: few a series (strongest_events() or search_events()), with time, duration, depth, snr; pairs are within a series.
     """
     a = events.select(key, *[F.col(c).alias(f"a_{c}") for c in ("time", "duration", "depth", "snr")])
     b = events.select(key, *[F.col(c).alias(f"b_{c}") for c in ("time", "duration", "depth", "snr")])
     error = F.sqrt(F.pow(F.col("a_depth") / F.col("a_snr"), F.lit(2.0)) + F.pow(F.col("b_depth") / F.col("b_snr"), F.lit(2.0)))
-    like = F.abs(F.col("a_depth") - F.col("b_depth")) <= 3 * error + 0.1 * (F.col("a_depth") + F.col("b_depth"))
+    like = F.abs(F.col("a_depth") - F.col("b_depth")) <= sigmas * error + share / 2 * (F.col("a_depth") + F.col("b_depth"))
     alike = F.greatest("a_duration", "b_duration") <= ratio * F.least("a_duration", "b_duration")
     pairs = a.join(b, key).filter(F.col("a_time") < F.col("b_time")).filter(like & alike)
-    gap = F.col("b_time") - F.col("a_time")
-    rows = pairs.select(key, F.col("a_time").alias("first"), F.col("b_time").alias("second"), gap.alias("__g"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k"))
-    return rows.withColumn("period", F.col("__g") / F.col("k")).filter(F.col("period") >= least).drop("__g")
+    return pairs.select(key, F.col("a_time").alias("first"), F.col("b_time").alias("second"), ((F.col("a_duration") + F.col("b_duration")) / 2).alias("duration"), ((F.col("a_depth") + F.col("b_depth")) / 2).alias("depth"))
+
+
+def duo_periods(events: DataFrame, series: DataFrame, least: float = 2.0, most: int = 30, ratio: float = 1.6, rules: dips.Rules = dips.Rules(), key: str = "target_id") -> DataFrame:
+    """(key, first, second, k, period): every whole fraction 1/k of the time between two like dips of a series that is no
+    shorter than `least` and two durations, and at none of whose other dips the series is flat: where a predicted dip is
+    covered by samples, it must reach a share (rules) of the pair's depth. A task holds one series and its few pairs."""
+    pairs = like_pairs(events, ratio, key=key)
+
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if rows.num_rows:
+            s = _ordered(rows)
+            for first, second, duration, depth in zip(*[own.column(c).to_pylist() for c in ("first", "second", "duration", "depth")], strict=True):
+                found += [(first, second, k, p) for k, p in dips.allowed_periods(s, first, second, duration, depth, least, most, rules)]
+        name = own.column("__key")[0].as_py() if own.num_rows else None
+        cells = [pa.array([x[j] for x in found], kind) for j, kind in enumerate((pa.float64(), pa.float64(), pa.int32(), pa.float64()))]
+        return pa.table([pa.array([name] * len(found), own.schema.field("__key").type), *cells], [key, "first", "second", "k", "period"])
+
+    both = series.select(key, "time", "flux").groupBy(key).cogroup(pairs.withColumnRenamed(key, "__key").groupBy("__key"))
+    return both.applyInArrow(run, f"`{key}` {dict(series.dtypes)[key]}, first double, second double, k int, period double")
 
 
 def seen_twice(series: DataFrame, signals: DataFrame, least: float = 3.0, key: str = "target_id") -> DataFrame:
@@ -114,42 +177,18 @@ def near_gaps(events: DataFrame, series: DataFrame, reach: float = 1.5, wide: fl
     return out.withColumn("near_gap", near).select(*events.columns, "near_gap")
 
 
-def shortest_period(time: np.ndarray, flux: np.ndarray, at: float, duration: float, depth: float, share: float = 0.5, least: int = 2) -> float:
-    """The shortest period of a dip seen once whose other dips all fall where there are fewer than `least` samples, or where
-    the series is down by at least `share` of the dip's depth; the longest that the series can contradict if there is none.
-
-    Periods go up in quarters of the median step from twice the duration, or half a day. All dips of a block of periods
-    are looked up at once in running sums.
-    """
-    base, sums = np.median(flux), np.concatenate([[0.0], np.cumsum(flux - np.median(flux))])
-    start, end = time[0] - duration, time[-1] + duration
-    longest = max(at - time[0], time[-1] - at) + duration
-    step = max(np.median(np.diff(time)) / 4 if len(time) > 1 else 0.0, 0.002)
-    periods = np.arange(max(2 * duration, 0.5), longest + step, step)
-    for block in np.array_split(periods, max(1, -(-len(periods) // 4096))):
-        before, after = np.floor((at - start) / block).astype(int), np.floor((end - at) / block).astype(int)
-        which = np.repeat(np.arange(len(block)), before + after + 1)
-        k = np.arange(len(which)) - np.repeat(np.cumsum(before + after + 1) - after - 1, before + after + 1)
-        epoch = at + k * block[which]
-        lo, hi = np.searchsorted(time, epoch - duration / 2, "left"), np.searchsorted(time, epoch + duration / 2, "right")
-        mean = (sums[hi] - sums[lo]) / np.maximum(hi - lo, 1)
-        flat = (k != 0) & (hi - lo >= least) & (-mean < share * depth)
-        free = np.flatnonzero(np.bincount(which, flat, minlength=len(block)) == 0)
-        if len(free):
-            return float(block[free[0]])
-    return float(longest)
-
-
-def minimum_periods(events: DataFrame, series: DataFrame, share: float = 0.5, least: int = 2, key: str = "target_id") -> DataFrame:
-    """events (with time, duration, depth) with minimum_period by shortest_period(); events without a series have null. A task
-    holds one series and its few events."""
+def minimum_periods(events: DataFrame, series: DataFrame, rules: dips.Rules = dips.Rules(coverage=0.0), shortest: float = 0.5, step: float = 0.002, key: str = "target_id") -> DataFrame:
+    """events (with time, duration, depth) with minimum_period: the shortest period whose other dips all fall where there are
+    no samples, or where the series is down by a share of the depth; the longest the series can contradict if there is none.
+    Events without a series have null. A task holds one series and its few events."""
     names = [c for c in events.columns if c != "minimum_period"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.select(*names).schema)
 
     def run(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        s = s.sort_values("time")
-        time, flux = s["time"].to_numpy(), s["flux"].to_numpy()
-        found = [shortest_period(time, flux, *x, share, least) if len(s) else None for x in e[["time", "duration", "depth"]].itertuples(index=False, name=None)]
+        s = s[np.isfinite(s["time"]) & np.isfinite(s["flux"])].sort_values("time")
+        own = dips.Series(s["time"].to_numpy(), s["flux"].to_numpy())
+        each = e[["time", "duration", "depth"]].itertuples(index=False, name=None)
+        found = [dips.shortest_period(own, *x, max(shortest, 2 * x[1]), max(own.step / 4, step), rules) if len(s) else None for x in each]
         return e.assign(minimum_period=pd.Series(found, index=e.index, dtype="float64"))
 
     both = series.select(key, "time", "flux").groupBy(key).cogroup(events.select(*names).groupBy(key))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import physics as X
 from tidewatch.operators import series as S
-from tidewatch.operators import single
+from tidewatch.operators import dips, single
 from tidewatch.plans.catalogue import query
 from tidewatch.plans.fold_queries import _rounded, _series
 from tidewatch.plans.series_queries import E, N
@@ -15,15 +15,26 @@ from tidewatch.sources.tables import event_series, table
 
 DURATIONS = [1.0, 2.0, 3.0]
 M = N + ", c AS (SELECT target_id, median(flux) AS c FROM f GROUP BY 1), s AS (SELECT f.target_id, any_value(c) AS c, median(abs(flux - c)) * 1.4826 AS s FROM f JOIN c ON c.target_id = f.target_id GROUP BY 1)"
-SCAN = M + ", x AS (" + " UNION ALL ".join(
-    f"SELECT f.target_id, kind, time, {d}::DOUBLE AS duration, count(*) OVER w{i} AS n, avg(flux) OVER w{i} AS m FROM f WINDOW w{i} AS (PARTITION BY f.target_id ORDER BY time RANGE BETWEEN {d / 2}::DOUBLE PRECEDING AND {d / 2}::DOUBLE FOLLOWING)"
+NOISE = "".join(
+    f""", b{i} AS (SELECT target_id, floor(time / {d}::DOUBLE) AS b, avg(flux) AS m, count(*) AS n FROM f GROUP BY 1, 2 HAVING count(*) >= 2), c{i} AS (SELECT target_id, median(m) AS c, count(*) AS k, avg(n) AS n FROM b{i} GROUP BY 1),
+    n{i} AS (SELECT s.target_id, greatest(1, CASE WHEN any_value(k) >= 8 AND any_value(s) > 0 THEN median(abs(m - c{i}.c)) * 1.4826 / (any_value(s) / sqrt(any_value(c{i}.n))) ELSE 1 END) AS beta FROM s LEFT JOIN c{i} ON c{i}.target_id = s.target_id LEFT JOIN b{i} ON b{i}.target_id = s.target_id GROUP BY 1)"""
     for i, d in enumerate(DURATIONS)
-) + "), z AS (SELECT x.target_id, kind, time, duration, n, c - m AS depth, (c - m) * sqrt(n) / s AS snr FROM x JOIN s ON s.target_id = x.target_id WHERE s > 0 AND n >= 2)"
+)
+#: Boxes against one duration to each side: at least 2 samples and 0.4 of a duration's, half as many on each side.
+SCAN = M + ", st AS (SELECT target_id, median(d) AS st FROM (SELECT target_id, time - lag(time) OVER (PARTITION BY target_id ORDER BY time) AS d FROM f) GROUP BY 1)" + NOISE + ", x AS (" + " UNION ALL ".join(
+    f"""SELECT x.target_id, kind, time, {d}::DOUBLE AS duration, n, m, a - n AS nl, z - n AS nr, (sa - sn) + (sz - sn) AS so, beta, greatest(2, 0.4::DOUBLE * {d} / st) AS need FROM (
+    SELECT f.target_id, kind, time, count(*) OVER w AS n, avg(flux) OVER w AS m, sum(flux) OVER w AS sn, count(*) OVER l AS a, sum(flux) OVER l AS sa, count(*) OVER r AS z, sum(flux) OVER r AS sz FROM f
+    WINDOW w AS (PARTITION BY f.target_id ORDER BY time RANGE BETWEEN {d / 2}::DOUBLE PRECEDING AND {d / 2}::DOUBLE FOLLOWING), l AS (PARTITION BY f.target_id ORDER BY time RANGE BETWEEN {1.5 * d}::DOUBLE PRECEDING AND {d / 2}::DOUBLE FOLLOWING),
+    r AS (PARTITION BY f.target_id ORDER BY time RANGE BETWEEN {d / 2}::DOUBLE PRECEDING AND {1.5 * d}::DOUBLE FOLLOWING)) x JOIN n{i} ON n{i}.target_id = x.target_id JOIN st ON st.target_id = x.target_id"""
+    for i, d in enumerate(DURATIONS)
+) + """), z AS (SELECT x.target_id, kind, time, duration, n, so / (nl + nr) - m AS depth, (so / (nl + nr) - m) / (s * beta * sqrt(1 / n + 1 / (nl + nr))) AS snr FROM x JOIN s ON s.target_id = x.target_id WHERE s > 0 AND n >= need AND nl >= need / 2 AND nr >= need / 2)"""
 
 
-@query(f"WITH {SCAN} SELECT target_id, round(time, 6) AS time, duration, n::BIGINT AS n, round(depth, 6) + 0.0 AS depth, round(snr, 6) + 0.0 AS snr FROM z")
+@query(f"WITH {SCAN} SELECT target_id, round(time, 6) AS time, duration, n::BIGINT AS n, round(depth + 1e-9, 6) + 0.0 AS depth, round(snr + 1e-9, 6) + 0.0 AS snr FROM z")
 def single_box_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _rounded(single.box_scan(_series(spark, sf_dir), DURATIONS), "time", "depth", "snr")
+    """Flux has two digits, so that many depths lie between two rounded values; a billionth puts them all above."""
+    out = single.box_scan(_series(spark, sf_dir), DURATIONS).withColumns({c: F.col(c) + 1e-9 for c in ("depth", "snr")})
+    out = _rounded(out, "time", "depth", "snr")
     return out.withColumns({c: F.col(c) + 0.0 for c in ("depth", "snr")})  # no negative zero
 
 
@@ -45,12 +56,26 @@ def single_strongest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_events(spark, sf_dir), "time", "depth", "snr")
 
 
-@query(f"""WITH {TAKEN} SELECT a.target_id, round(a.time, 6) AS first, round(b.time, 6) AS second, k.k::INT AS k, round((b.time - a.time) / k.k, 6) AS period
+@query(f"""WITH {TAKEN}, pr AS (SELECT a.target_id, a.time AS first, b.time AS second, (a.duration + b.duration) / 2 AS d, (a.depth + b.depth) / 2 AS depth, k.k AS k, (b.time - a.time) / k.k AS period
 FROM t a JOIN t b ON a.target_id = b.target_id AND a.time < b.time, range(1, 31) k(k)
 WHERE abs(a.depth - b.depth) <= 3 * sqrt(pow(a.depth / a.snr, 2) + pow(b.depth / b.snr, 2)) + 0.1 * (a.depth + b.depth)
-AND greatest(a.duration, b.duration) <= 1.6 * least(a.duration, b.duration) AND (b.time - a.time) / k.k >= 2""")
+AND greatest(a.duration, b.duration) <= 1.6 * least(a.duration, b.duration) AND (b.time - a.time) / k.k >= greatest(2, a.duration + b.duration)),
+en AS (SELECT target_id, min(time) AS t0, max(time) AS t1 FROM f GROUP BY 1),
+ep AS (SELECT pr.*, unnest(range(ceil((t0 - d - first) / period)::BIGINT, floor((t1 + d - first) / period)::BIGINT + 1)) AS j FROM pr JOIN en ON en.target_id = pr.target_id),
+bx AS (SELECT ep.target_id, first, second, ep.k, j, any_value(ep.depth) AS depth, any_value(greatest(2, 0.4::DOUBLE * d / st)) AS need, count(*) FILTER (abs(time - (first + j * period)) <= d / 2) AS n, avg(flux) FILTER (abs(time - (first + j * period)) <= d / 2) AS m,
+  count(*) FILTER (abs(time - (first + j * period)) > d / 2) AS o, avg(flux) FILTER (abs(time - (first + j * period)) > d / 2) AS q
+  FROM ep JOIN st ON st.target_id = ep.target_id JOIN f ON f.target_id = ep.target_id AND abs(f.time - (first + j * period)) <= 1.5 * d WHERE j <> 0 AND j <> ep.k GROUP BY ALL),
+ro AS (SELECT DISTINCT target_id, first, second, k FROM bx WHERE n >= need AND o >= need AND q - m < 0.5 * depth)
+SELECT pr.target_id, round(pr.first, 6) AS first, round(pr.second, 6) AS second, pr.k::INT AS k, round(period, 6) AS period FROM pr ANTI JOIN ro ON ro.target_id = pr.target_id AND ro.first = pr.first AND ro.second = pr.second AND ro.k = pr.k""")
 def single_duo_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(single.duo_periods(_events(spark, sf_dir)), "first", "second", "period")
+    """Without periods that samples at a predicted dip contradict."""
+    return _rounded(single.duo_periods(_events(spark, sf_dir), _series(spark, sf_dir)), "first", "second", "period")
+
+
+@query()
+def single_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dips of all series from the scan to their shortest periods, refined and told from ramps; tests hold it against brute force."""
+    return single.search_events(_series(spark, sf_dir), DURATIONS, dips.Rules(threshold=1.5))
 
 
 @query(f"""WITH {TAKEN} SELECT target_id, rank, round(time, 6) AS time FROM t
