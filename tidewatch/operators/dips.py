@@ -152,6 +152,12 @@ def found_dips(s: Series, durations: Sequence[float], rules: Rules) -> list[dict
     return out
 
 
+def alike(a: dict, b: dict, ratio: float = 1.6, sigmas: float = 3.0, share: float = 0.2) -> bool:
+    """Whether two dips can be of one signal: depths within `sigmas` errors and a share of their mean, durations within `ratio`."""
+    near = sigmas * np.hypot(a["error"], b["error"]) + share / 2 * (a["depth"] + b["depth"])
+    return bool(abs(a["depth"] - b["depth"]) <= near and max(a["duration"], b["duration"]) <= ratio * min(a["duration"], b["duration"]))
+
+
 def other_epochs(s: Series, at: float, period: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and times of the dips that a period predicts within a margin of the series, but for the one at `at`."""
     k = np.arange(np.ceil((s.time[0] - margin - at) / period), np.floor((s.time[-1] + margin - at) / period) + 1)
