@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewatch.operators.series import MAD
+from tidewatch.operators.survey import guarded
 
 #: Elements of a block of trial periods by bins.
 BLOCK = 1 << 20
@@ -122,9 +123,12 @@ def _grid(time: np.ndarray, periods: Sequence[float] | None) -> np.ndarray:
     return np.array(periods, float) if periods is not None else period_grid(float(time.max() - time.min()) if len(time) else 0.0)
 
 
-def _grouped(series: DataFrame, key: str, weighted: bool, run, schema: str) -> DataFrame:
+def _grouped(series: DataFrame, key: str, weighted: bool, run, schema: str, errors: bool = False) -> DataFrame:
     columns = [key, "time", "flux", *(["flux_err"] if weighted else [])]
-    return series.select(*columns).groupBy(key).applyInArrow(run, f"`{key}` {dict(series.dtypes)[key]}, {schema}")
+    schema = f"`{key}` {dict(series.dtypes)[key]}, {schema}"
+    if errors:
+        run, schema = guarded(run, schema, key)
+    return series.select(*columns).groupBy(key).applyInArrow(run, schema)
 
 
 def box_search(series: DataFrame, periods: Sequence[float] | None, durations: Sequence[float], per_duration: int = 4, weighted: bool = False, key: str = "target_id") -> DataFrame:
@@ -149,12 +153,13 @@ def box_search(series: DataFrame, periods: Sequence[float] | None, durations: Se
 SIGNAL = "round int, period double, epoch double, duration double, depth double, depth_err double, power double, gain double, sde double, contrast double"
 
 
-def signals(series: DataFrame, periods: Sequence[float] | None, durations: Sequence[float], rounds: int = 1, threshold: float | None = None, least: int = 3, floor: int = 10, per_duration: int = 4, weighted: bool = False, key: str = "target_id") -> DataFrame:
+def signals(series: DataFrame, periods: Sequence[float] | None, durations: Sequence[float], rounds: int = 1, threshold: float | None = None, least: int = 3, floor: int = 10, per_duration: int = 4, weighted: bool = False, key: str = "target_id", errors: bool = False) -> DataFrame:
     """(key, round, period, epoch, duration, depth, depth_err, power, gain, sde, contrast): the best box of each series, then of what is
     left when one and a half durations to each side of its events are masked, at most `rounds` times.
 
     A series ends when fewer than `least` samples are left, nothing dips, or sde is below the threshold. Of equal powers the
-    shorter period wins. gain is the box's share of the log-likelihood; sde needs `floor` powers.
+    shorter period wins. gain is the box's share of the log-likelihood; sde needs `floor` powers. errors: a column error more,
+    and a row that says so for a series whose search raises, instead of the end of the job.
     """
     width = min(durations) / per_duration
 
@@ -190,4 +195,4 @@ def signals(series: DataFrame, periods: Sequence[float] | None, durations: Seque
         columns = {c: pa.array([None if r[c] != r[c] else r[c] for r in rows], pa.int32() if c == "round" else pa.float64()) for c in names}
         return pa.table({key: pa.array([table.column(key)[0].as_py()] * len(rows), table.schema.field(key).type), **columns})
 
-    return _grouped(series, key, weighted, run, SIGNAL)
+    return _grouped(series, key, weighted, run, SIGNAL, errors)

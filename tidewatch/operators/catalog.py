@@ -60,3 +60,36 @@ def parse_sectors(text: Column) -> Column:
     good = F.filter(parts, lambda x: x.rlike("^[0-9]+(-[0-9]+)?$"))
     ends = F.transform(good, lambda x: F.transform(F.split(x, "-"), lambda y: y.cast("int")))
     return F.array_distinct(F.flatten(F.transform(ends, lambda x: F.when(x[0] <= F.element_at(x, -1), F.sequence(x[0], F.element_at(x, -1))).otherwise(F.array().cast("array<int>")))))
+
+
+def first_available(targets: DataFrame, available: DataFrame, key: str, choices: str, choice: str) -> DataFrame:
+    """targets (one row a key) with `choice`, the first of the array `choices` for which `available` has a row (key, choice), and
+    its place from 1; both null where there is none. Choices that are null or repeated cost nothing; targets that are alike
+    come back each. Neither side is collected: a row a wanted choice meets a row an available one."""
+    wanted = targets.select(key, choices).distinct().select(key, F.col(choices).alias("__c"), F.posexplode(choices).alias("__at", choice))
+    met = wanted.join(available.select(key, choice).distinct(), [key, choice]).groupBy(key, "__c").agg(F.min(F.struct((F.col("__at") + 1).alias("place"), choice)).alias("__b"))
+    met = met.select(F.col(key).alias("__k"), "__c", F.col(f"__b.{choice}").alias(choice), "__b.place")
+    return targets.join(met, targets[key].eqNullSafe(met["__k"]) & targets[choices].eqNullSafe(met["__c"]), "left").drop("__k", "__c")
+
+
+def nearest_of_key(left: DataFrame, right: DataFrame, key: str, a: str, b: str, tie: str) -> DataFrame:
+    """left with the row of right of the same key whose b is nearest to a: `b` and `tie` of it; of two as near the smaller b,
+    of equal b the smaller tie. Null without one. No pairs are made: both sides lie in one order of values for each key, and a
+    row looks at the last value of right before it and the first after it."""
+    l = left.select(F.struct("*").alias("__l"), F.col(key).alias("__k"), F.col(a).cast("double").alias("__v"), F.lit(None).cast("struct<v:double,t:bigint>").alias("__r"))
+    r = right.filter(F.col(b).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__k"), F.col(b).cast("double").alias("__v")).agg(F.min(F.col(tie).cast("long")).alias("__t"))
+    r = r.select(F.lit(None).cast(l.schema["__l"].dataType).alias("__l"), "__k", "__v", F.struct(F.col("__v").alias("v"), F.col("__t").alias("t")).alias("__r"))
+    w = Window.partitionBy("__k").orderBy("__v")
+    before, after = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    both = l.unionByName(r).withColumns({"__p": F.last("__r", True).over(before), "__n": F.first("__r", True).over(after)}).filter("__l IS NOT NULL")
+    upper = F.col("__p").isNull() | (F.col("__n.v") - F.col("__v") < F.col("__v") - F.col("__p.v"))
+    near = F.when(F.col("__v").isNull(), F.lit(None)).when(upper & F.col("__n").isNotNull(), F.col("__n")).otherwise(F.col("__p"))
+    return both.withColumn("__b", near).select("__l.*", F.col("__b.v").alias(b), F.col("__b.t").alias(tie))
+
+
+def difference_in_errors(value: Column, lower: Column, upper: Column, published: Column, error: Column | None = None) -> Column:
+    """How many errors a value with errors to either side is from a published one: the error towards it, and the published
+    one's (0 if unknown), in quadrature. Null if a value is unknown or there is no error."""
+    own = F.when(published > value, upper).otherwise(lower)
+    other = F.coalesce(error, F.lit(0.0)) if error is not None else F.lit(0.0)
+    return F.try_divide(value - published, F.sqrt(own * own + other * other))

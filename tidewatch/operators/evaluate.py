@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +40,13 @@ def average_precision(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return (s.groupBy(*by) if by else s).agg(ap.alias("ap"))
 
 
-def roc_auc(scored: DataFrame) -> DataFrame:
-    """(auc): the chance that a positive outranks a negative, ties by half."""
-    s = _steps(scored)
+def roc_auc(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, auc): the chance that a positive outranks a negative, ties by half; null without both."""
+    s = _steps(scored, by)
     # Of the negatives, those not above a score are below it, or share it and count half.
     above = F.col("k") - F.col("tp") - (F.col("n") - F.col("p")) / 2
-    sums = s.agg(F.sum("p").cast("double").alias("p"), F.sum(F.col("n") - F.col("p")).cast("double").alias("q"), F.sum(F.col("p").cast("double") * above).alias("a"))
-    return sums.select(F.try_divide(F.col("p") * F.col("q") - F.col("a"), F.col("p") * F.col("q")).alias("auc"))
+    sums = (s.groupBy(*by) if by else s).agg(F.sum("p").cast("double").alias("p"), F.sum(F.col("n") - F.col("p")).cast("double").alias("q"), F.sum(F.col("p").cast("double") * above).alias("a"))
+    return sums.select(*by, F.try_divide(F.col("p") * F.col("q") - F.col("a"), F.col("p") * F.col("q")).alias("auc"))
 
 
 def precision_recall(scored: DataFrame) -> DataFrame:
@@ -170,3 +172,66 @@ def prior_shift(p: Column, trained: float, wanted: float) -> Column:
     """A probability at another share of positives: the log-odds move by the difference of the shares' log-odds."""
     shift = F.ln(F.lit(wanted / (1 - wanted))) - F.ln(F.lit(trained / (1 - trained)))
     return 1 / (1 + F.exp(-(F.ln(p / (1 - p)) + shift)))
+
+
+def compare_rankers(rows: DataFrame, scores: list[str], by: str, threshold: dict[str, float] | None = None) -> DataFrame:
+    """(by, ranker, n, positives, chance, ap, auc, passing, pass_precision): every score column on the same rows, for each value of
+    `by` and (null) over all; rows with no label or a null `by` are left out. passing: rows at the ranker's threshold or above.
+
+    All rankers and groups go through one aggregation of distinct scores: rankers and the two groups of a row are put below
+    each other first, at the width of a label and a score.
+    """
+    known = rows.filter(F.col("label").isNotNull() & F.col(by).isNotNull())
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("ranker"), F.col(c).cast("double").alias("score"), F.lit((threshold or {}).get(c)).cast("double").alias("cut")) for c in scores])).alias("x")
+    long = known.select(F.col(by).cast("string").alias("g"), "label", pairs).select("g", "label", "x.*").withColumn("g", F.explode(F.array("g", F.lit(None).cast("string"))))
+    long = long.withColumn("g", F.coalesce(F.concat(F.lit("="), "g"), F.lit("")))  # a key that is never null
+    s = _steps(long, ("g", "ranker"))
+    above = F.col("k") - F.col("tp") - (F.col("n") - F.col("p")) / 2
+    cuts = F.create_map(*[x for c in scores for x in (F.lit(c), F.lit((threshold or {}).get(c)).cast("double"))])
+    passes = F.col("score") >= F.try_element_at(cuts, F.col("ranker"))
+    out = s.groupBy("g", "ranker").agg(
+        F.sum("n").alias("n"), F.sum("p").alias("positives"), F.sum(F.col("p").cast("double") * F.try_divide(F.col("tp"), F.col("k"))).alias("a"), F.sum(F.col("p").cast("double") * above).alias("u"),
+        F.coalesce(F.sum(F.when(passes, F.col("n"))), F.lit(0)).alias("passing"), F.sum(F.when(passes, F.col("p"))).alias("hits"),
+    )
+    p, q = F.col("positives").cast("double"), (F.col("n") - F.col("positives")).cast("double")
+    return out.select(
+        F.when(F.col("g") != "", F.substring("g", 2, 1 << 30)).alias(by), "ranker", "n", "positives", (p / F.col("n")).alias("chance"), F.try_divide(F.col("a"), p).alias("ap"),
+        F.try_divide(p * q - F.col("u"), p * q).alias("auc"), "passing", F.try_divide(F.col("hits"), F.col("passing")).alias("pass_precision"),
+    )
+
+
+def _forecasts(rows: DataFrame, forecasts: dict[str, Column], unit: str) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("forecast"), v.cast("double").alias("p")) for k, v in forecasts.items()])).alias("x")
+    return rows.filter("label IS NOT NULL").select(F.col(unit).alias("unit"), F.col("label").cast("double").alias("y"), each).select("unit", "y", "x.*").filter("p IS NOT NULL AND NOT isnan(p)")
+
+
+def forecast_scores(rows: DataFrame, forecasts: dict[str, Column], bins: int, unit: str) -> DataFrame:
+    """(forecast, n, brier, log_loss, ece, expected, observed): proper scores of several probabilities on the same labels, the
+    calibration error over equal bins, and the positives that each promises. One grouping by forecast and bin."""
+    long = _forecasts(rows, forecasts, unit)
+    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col("p")))
+    b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))
+    loss = -(F.col("y") * F.ln(p) + (1 - F.col("y")) * F.ln(1 - p))
+    parts = long.groupBy("forecast", b.alias("b")).agg(F.count("*").alias("n"), F.sum(F.pow(F.col("p") - F.col("y"), F.lit(2.0))).alias("s"), F.sum(loss).alias("l"), F.sum("p").alias("e"), F.sum("y").alias("o"))
+    n = F.sum("n")
+    return parts.groupBy("forecast").agg(n.alias("n"), (F.sum("s") / n).alias("brier"), (F.sum("l") / n).alias("log_loss"), (F.sum(F.abs(F.col("e") - F.col("o"))) / n).alias("ece"), F.sum("e").alias("expected"), F.sum("o").cast("long").alias("observed"))
+
+
+def brier_intervals(rows: DataFrame, forecasts: dict[str, Column], unit: str, resamples: int, share: float = 0.68, seed: int = 0) -> DataFrame:
+    """(forecast, low, high): the middle `share` of the Brier score when units (stars) are resampled. Rows are summed up by unit
+    first; only sums of units are drawn, alike for all forecasts."""
+    sums = _forecasts(rows, forecasts, unit).groupBy("forecast", "unit").agg(F.sum(F.pow(F.col("p") - F.col("y"), F.lit(2.0))).alias("s"), F.count("*").alias("n"))
+    drawn = resampled(sums, resamples, "unit", seed).groupBy("forecast", "resample").agg((F.sum(F.col("s") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("b"))
+    return drawn.groupBy("forecast").agg(F.percentile("b", (1 - share) / 2).alias("low"), F.percentile("b", (1 + share) / 2).alias("high"))
+
+
+def probability_threshold(rows: DataFrame, slope: float, intercept: float, probability: float) -> DataFrame:
+    """(threshold, kept, precision, recall): where a logistic curve over raw (out-of-fold log-odds) reaches a probability: the score
+    1 / (1 + exp(-cut)) there, the rows at it or above, and their precision and recall."""
+    if not 0 < probability < 1:
+        raise ValueError(f"a probability must lie between 0 and 1, not {probability}")
+    cut = (math.log(probability / (1 - probability)) - intercept) / slope
+    kept = (F.col("raw") >= cut) & ~F.isnan("raw")
+    hits = F.sum(F.when(kept, F.col("label")))
+    out = rows.filter("label IS NOT NULL").agg(F.count(F.when(kept, 1)).alias("kept"), hits.alias("h"), F.sum("label").alias("p"))
+    return out.select(F.lit(1 / (1 + math.exp(-cut))).alias("threshold"), "kept", F.try_divide(F.col("h"), F.col("kept")).alias("precision"), F.try_divide(F.coalesce("h", F.lit(0)), F.col("p")).alias("recall"))

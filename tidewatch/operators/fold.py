@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.series import epoch_number, phase
+from tidewatch.operators.series import epoch_number, phase, segments
 
 
 def folded(series: DataFrame, period: float, epoch: float, duration: float) -> DataFrame:
@@ -104,3 +104,26 @@ def red_noise(series: DataFrame, width: float, key: str = "target_id") -> DataFr
     m = series.groupBy(key).agg(F.median("flux").alias("__m"))
     s = series.join(m, key).groupBy(key).agg((F.median(F.abs(F.col("flux") - F.col("__m"))) * 1.4826).alias("__s"), F.count("*").alias("__n"))
     return s.join(got, key, "left").select(key, F.when((F.col("__n") >= 20) & (F.col("__b") >= 4) & (F.col("__s") > 0), F.col("__d") / (F.col("__s") / F.sqrt("__c"))).alias("beta"))
+
+
+def time_averaging(series: DataFrame, width: float, doublings: int, gap: float, least: int = 8, full: float = 0.75, key: str = "target_id") -> DataFrame:
+    """(key, beta, n_widths): how much more means of bins scatter than white noise of the samples' own deviation would, the
+    median over bins of `width` and its doublings, 1 at least; n_widths is the number of widths that could be used.
+
+    Bins start with each stretch between gaps; one counts if it holds the share `full` of the samples that it would at the
+    median step, a width if that is two samples or more and it has `least` bins. The samples are summed once, into the
+    narrowest bins; wider ones are made of those.
+    """
+    w = Window.partitionBy(key).orderBy("time")
+    own = series.select(key, "flux", (F.col("time") - F.lag("time").over(w)).alias("__d")).groupBy(key).agg(F.median("__d").alias("__c"), F.stddev_pop("flux").alias("__s"), F.count("*").alias("__k"))
+    parts = segments(series.select(key, "time", "flux"), gap, key)
+    start = F.min("time").over(Window.partitionBy(key, "segment"))
+    bins = parts.withColumn("__i", F.floor((F.col("time") - start) / width)).groupBy(key, "segment", "__i").agg(F.count("*").alias("n"), F.sum("flux").alias("s"))
+    wider = bins.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(doublings))))
+    wider = wider.groupBy(key, "level", "segment", F.expr("shiftright(__i, level)").alias("__j")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    expected = F.lit(width) * F.pow(F.lit(2.0), F.col("level")) / F.col("__c")
+    usable = wider.join(own, key).filter((expected >= 2) & (F.col("n") >= full * expected))
+    levels = usable.groupBy(key, "level").agg(F.count("*").alias("b"), F.stddev_pop(F.col("s") / F.col("n")).alias("v"), F.avg("n").alias("c"), F.first("__s").alias("__s")).filter((F.col("b") >= least) & (F.col("__s") > 0))
+    ratio = F.col("v") / (F.col("__s") / F.sqrt("c") * F.sqrt(F.col("b") / (F.col("b") - 1.0)))
+    got = levels.groupBy(key).agg(F.median(ratio).alias("__r"), F.count("*").alias("n_widths"))
+    return own.select(key).join(got, key, "left").select(key, F.greatest(F.coalesce("__r", F.lit(1.0)), F.lit(1.0)).alias("beta"), F.coalesce("n_widths", F.lit(0)).alias("n_widths"))

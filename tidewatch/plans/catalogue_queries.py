@@ -228,3 +228,67 @@ def reweighted_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
     out = V.reweighted_precision(scored(spark, sf_dir), counts, "source", F.col("source") < "src2", 0.4)
     return out.select(F.round("passing", 6).alias("passing"), F.round("precision", 6).alias("precision"))
+
+
+OTHERS = "r AS (SELECT d.doc_id, quality AS label, floor(least(n_chars, 4999) / 50) / 100 AS score, n_chars % 97 / 97.0::DOUBLE AS other, d.lang FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
+
+
+def _two_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("n_chars") % 97 / 97.0).alias("other"))
+    return scored(spark, sf_dir).join(d, "doc_id")
+
+
+@query(f"""WITH {OTHERS}, x AS (SELECT lang, label, 'score' AS ranker, score FROM r UNION ALL SELECT lang, label, 'other', other FROM r), y AS (SELECT * FROM x UNION ALL SELECT NULL, label, ranker, score FROM x),
+e AS (SELECT lang, ranker, score, sum(label) AS p, count(*) AS n FROM y GROUP BY 1, 2, 3), t AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS k FROM e WINDOW w AS (PARTITION BY lang, ranker ORDER BY score DESC))
+SELECT lang, ranker, sum(n)::BIGINT AS n, sum(p)::BIGINT AS positives, round(sum(p)::DOUBLE / sum(n), 6) AS chance, round(sum(p::DOUBLE * tp / k) / nullif(sum(p), 0), 6) AS ap,
+round((sum(p)::DOUBLE * (sum(n) - sum(p)) - sum(p * (k - tp - (n - p) / 2.0::DOUBLE))) / nullif(sum(p)::DOUBLE * (sum(n) - sum(p)), 0), 6) AS auc,
+coalesce(sum(n) FILTER (score >= 0.4), 0)::BIGINT AS passing, round(sum(p)  FILTER (score >= 0.4) / sum(n) FILTER (score >= 0.4), 6) AS pass_precision FROM t GROUP BY 1, 2""")
+def rankers_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = V.compare_rankers(_two_scores(spark, sf_dir), ["score", "other"], "lang", {"score": 0.4, "other": 0.4})
+    return out.withColumns({c: F.round(c, 6) for c in ("chance", "ap", "auc", "pass_precision")})
+
+
+@query(f"""WITH {OTHERS}, x AS (SELECT label, 'score' AS forecast, score AS p FROM r UNION ALL SELECT label, 'other', other FROM r UNION ALL SELECT label, 'rate', 0.5 FROM r), y AS (SELECT *, greatest(1e-15, least(1 - 1e-15, p)) AS q, least(floor(p * 10), 9) AS b FROM x),
+g AS (SELECT forecast, b, count(*) AS n, sum((p - label) ** 2) AS s, sum(-(label * ln(q) + (1 - label) * ln(1 - q))) AS l, sum(p) AS e, sum(label) AS o FROM y GROUP BY 1, 2)
+SELECT forecast, sum(n)::BIGINT AS n, round(sum(s) / sum(n), 6) AS brier, round(sum(l) / sum(n), 6) AS log_loss, round(sum(abs(e - o)) / sum(n), 6) AS ece, round(sum(e), 4) AS expected, sum(o)::BIGINT AS observed FROM g GROUP BY 1""")
+def forecasts_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _two_scores(spark, sf_dir)
+    out = V.forecast_scores(rows, {"score": F.col("score"), "other": F.col("other"), "rate": F.lit(0.5)}, 10, "doc_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("brier", "log_loss", "ece")}).withColumn("expected", F.round("expected", 4))
+
+
+@query(f"""WITH {OTHERS}, x AS (SELECT doc_id % 50 AS unit, 'score' AS forecast, (score - label) ** 2 AS s FROM r UNION ALL SELECT doc_id % 50, 'other', (other - label) ** 2 FROM r), u AS (SELECT forecast, unit, sum(s) AS s, count(*) AS n FROM x GROUP BY 1, 2),
+h AS (SELECT u.*, b.b AS resample, ('0x' || substr(md5('0:' || b.b || ':' || unit), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS d FROM u, range(40) b(b)), w AS (SELECT *, len(list_filter({V._POISSON}::DOUBLE[], lambda c: d >= c)) AS w FROM h),
+k AS (SELECT forecast, resample, sum(s * w) / sum(n * w) AS b FROM w WHERE w > 0 GROUP BY 1, 2) SELECT forecast, round(quantile_cont(b, 0.16), 6) AS low, round(quantile_cont(b, 0.84), 6) AS high FROM k GROUP BY 1""")
+def brier_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _two_scores(spark, sf_dir).withColumn("star", F.col("doc_id") % 50)
+    return V.brier_intervals(rows, {"score": F.col("score"), "other": F.col("other")}, "star", 40).select("forecast", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query(f"""WITH {OTHERS}, x AS (SELECT label, score * 6 - 2 AS raw FROM r) SELECT round(1 / (1 + exp(-(ln(0.7 / 0.3) - 0.2) / 1.5)), 6) AS threshold, count(*) FILTER (raw >= (ln(0.7 / 0.3) - 0.2) / 1.5)::BIGINT AS kept,
+round(avg(label) FILTER (raw >= (ln(0.7 / 0.3) - 0.2) / 1.5), 6) AS precision, round(coalesce(sum(label) FILTER (raw >= (ln(0.7 / 0.3) - 0.2) / 1.5), 0) / sum(label), 6) AS recall FROM x""")
+def probability_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _two_scores(spark, sf_dir).withColumn("raw", F.col("score") * 6 - 2)
+    return V.probability_threshold(rows, 1.5, 0.2, 0.7).withColumns({c: F.round(c, 6) for c in ("threshold", "precision", "recall")})
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS c, month(o_orderdate) AS m FROM orders), t AS (SELECT c_custkey AS c, [c_custkey % 12 + 1, c_custkey % 5 + 3, 1] AS l FROM customer), w AS (SELECT c, unnest(l) AS m, unnest(range(1, 4)) AS place FROM t),
+b AS (SELECT w.c, arg_min(w.m, place) AS m, min(place) AS place FROM w JOIN a ON a.c = w.c AND a.m = w.m GROUP BY 1) SELECT t.c AS c_custkey, b.m::INT AS month, b.place::INT AS place FROM t LEFT JOIN b ON b.c = t.c""")
+def first_month_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stand for targets with a list of sectors, months with orders for the sectors that have data."""
+    k = F.col("c_custkey")
+    wanted = table(spark, sf_dir, "customer").select("c_custkey", F.array((k % 12 + 1).cast("int"), (k % 5 + 3).cast("int"), F.lit(1)).alias("months"))
+    there = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.month("o_orderdate").alias("month"))
+    return C.first_available(wanted, there, "c_custkey", "months", "month").select("c_custkey", "month", "place")
+
+
+@query("""WITH l AS (SELECT o_orderkey, o_custkey, o_totalprice::DOUBLE AS a FROM orders WHERE o_orderkey % 2 = 1), r AS (SELECT o_custkey, o_totalprice::DOUBLE AS published, min(o_orderkey) AS other FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2),
+j AS (SELECT l.*, published, other, row_number() OVER (PARTITION BY l.o_orderkey ORDER BY abs(published - a), published) AS k FROM l LEFT JOIN r ON r.o_custkey = l.o_custkey)
+SELECT o_orderkey, other::BIGINT AS other, round(published, 2) AS published, round((a - published) / sqrt(CASE WHEN published > a THEN 0.04 * a * a ELSE 0.01 * a * a END + 1), 6) AS errors FROM j WHERE k = 1""")
+def compared_with_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd orders stand for fits, even ones of the same customer for published values: the nearest, and how far off it is."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("a"))
+    published = o.filter("o_orderkey % 2 = 0").select("o_custkey", F.col("a").alias("published"), F.col("o_orderkey").alias("other"))
+    out = C.nearest_of_key(o.filter("o_orderkey % 2 = 1"), published, "o_custkey", "a", "published", "other")
+    errors = C.difference_in_errors(F.col("a"), 0.1 * F.col("a"), 0.2 * F.col("a"), F.col("published"), F.lit(1.0))
+    return out.select("o_orderkey", "other", F.round("published", 2).alias("published"), F.round(errors, 6).alias("errors"))

@@ -137,3 +137,13 @@ def five_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _series(spark, sf_dir)
     signals = f.select("target_id").distinct().withColumns({"period": F.lit(P), "epoch": F.lit(T0), "duration": F.lit(D)})
     return _rounded(views.make_views(f, signals, 20, 12, bin_width=0.8), "value", digits=4)
+
+
+@query(f"""WITH {N}, w AS (SELECT *, time - lag(time) OVER (PARTITION BY target_id ORDER BY time) AS d FROM f), o AS (SELECT target_id, median(d) AS c, stddev_pop(flux) AS s FROM w GROUP BY 1),
+g AS (SELECT target_id, time, flux, sum(coalesce((d > 1.0)::INT, 0)) OVER (PARTITION BY target_id ORDER BY time) AS segment FROM w), i AS (SELECT *, time - min(time) OVER (PARTITION BY target_id, segment) AS x FROM g),
+b AS (SELECT target_id, l.l AS level, segment, floor(x / (0.7::DOUBLE * pow(2, l.l))) AS j, count(*) AS n, avg(flux) AS m FROM i, range(4) l(l) GROUP BY 1, 2, 3, 4),
+v AS (SELECT b.target_id, level, count(*) AS k, stddev_pop(m) AS v, avg(n) AS c, any_value(s) AS s FROM b JOIN o ON o.target_id = b.target_id WHERE 0.7::DOUBLE * pow(2, level) / o.c >= 2 AND n >= 0.75 * 0.7::DOUBLE * pow(2, level) / o.c GROUP BY 1, 2 HAVING count(*) >= 4),
+r AS (SELECT target_id, median(v / (s / sqrt(c) * sqrt(k / (k - 1.0::DOUBLE)))) AS r, count(*) AS n FROM v WHERE s > 0 GROUP BY 1)
+SELECT o.target_id, round(greatest(coalesce(r, 1), 1), 6) AS beta, coalesce(n, 0)::BIGINT AS n_widths FROM o LEFT JOIN r ON r.target_id = o.target_id""")
+def time_averaging_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fold.time_averaging(_series(spark, sf_dir), 0.7, 3, 1.0, least=4), "beta")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,7 +107,7 @@ def windowed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dip every 5.3 days put into all series, found from the densest 15 of their 30 days and by pairs of dips; tests hold
     the operator against brute force and planted signals."""
     f = _series(spark, sf_dir).withColumn("flux", F.col("flux") * (1 - X.trapezoid(F.col("time"), 5.3, T0, 0.8, D, 0.8)))
-    return windowed.windowed_search(f, DURATIONS, 15.0, candidates=5, pairs=dips.Rules(threshold=2.0))
+    return windowed.windowed_search(f, DURATIONS, 15.0, candidates=3, grid=np.geomspace(1.5, 7.5, 200), pairs=dips.Rules(threshold=2.0))
 
 
 @query()
@@ -122,7 +123,7 @@ FROM c LEFT JOIN sig ON sig.target_id = c.target_id)"""
 
 
 def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = lambda f: boxsearch.signals(S.normalised(f), PERIODS, DURATIONS, floor=5).select("target_id", "period", "depth")
+    best = lambda f: boxsearch.signals(S.normalised(f), PERIODS, DURATIONS, floor=5, errors=True).select("target_id", "period", "depth", "error")
     return survey.with_status(best, LEAST)(event_series(spark, sf_dir))
 
 
