@@ -1,11 +1,11 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
 Patterns find e-mail and IP addresses, card and phone numbers. What else stands in a text that holds one is then weighed by
-what the corpus says: with N distinct texts, df(e) of them holding entity e, IC(e) = log2(N / df(e)) bits identify e; a term t
-found with e in c(e, t) texts, and in df(t) texts at all, gives away log2(P(e | t)) + IC(e) of them. P(e | t) is smoothed
-by A prior texts that hold t, and hold e as often as any text does: (c(e, t) + A df(e) / N) / (df(t) + A), so what one text
-says counts, but less. Terms whose share of IC(e) reaches a threshold are generalised wherever they stand in a text that holds e
-or, above a higher one, removed from every text.
+what the corpus says: with N distinct texts, df(e) of them holding entity e, log2(N / df(e)) bits identify e; a term t found with
+e in c(e, t) texts, and in df(t) texts at all, leaves -log2(P(e | t)) of them. P(e | t) is smoothed by A prior texts that
+hold t, and hold e as often as any text does: (c(e, t) + A df(e) / N) / (df(t) + A), so what one text says counts, but less. Terms
+that leave few bits, and tell some, are generalised wherever they stand in a text that holds e or, where they leave fewer
+still, removed from every text. What is left is a count of texts among those that hold the term: it does not drift with N.
 """
 
 from __future__ import annotations
@@ -35,14 +35,21 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(text: str, pattern: str) -> str:
-    """SQL for the matches of a pattern in a text: array of (start, end, value), in code points, end exclusive."""
-    p = _quoted(pattern)
-    pairs = f"filter(zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (m, g) -> named_struct('m', m, 'g', g)), x -> x.m IS NOT NULL)"
-    return f"""aggregate({pairs},
-      named_struct('at', 0, 'out', cast(array() AS array<struct<start: int, end: int, value: string>>)),
-      (a, x) -> named_struct('at', a.at + length(x.g) + length(x.m), 'out', array_append(a.out, named_struct('start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.m), 'value', x.m))),
-      a -> a.out)"""
+def _spans(text: str, pattern: str, valid: str) -> str:
+    """SQL for the matches of a pattern in a text that are valid (SQL over x.value): array of (start, end, value), in code
+    points, end exclusive.
+
+    Matches are taken by 256: each block is gone through from where the blocks before it end, so that the work grows with
+    the matches and not with their square.
+    """
+    p, empty = _quoted(pattern), "cast(array() AS array<struct<start: int, end: int, value: string>>)"
+    pairs = f"filter(zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (m, g) -> named_struct('value', m, 'g', g)), x -> x.value IS NOT NULL)"
+    blocks = "CASE WHEN size(p) = 0 THEN cast(array() AS array<array<struct<value: string, g: string>>>) ELSE transform(sequence(0, (size(p) - 1) div 256), i -> slice(p, cast(i * 256 + 1 AS int), 256)) END"
+    starts = "aggregate(c, named_struct('at', 0, 'out', cast(array() AS array<int>)), (a, s) -> named_struct('at', a.at + aggregate(s, 0, (n, x) -> n + length(x.g) + length(x.value)), 'out', array_append(a.out, a.at)), a -> a.out)"
+    inside = f"""aggregate(s, named_struct('at', o, 'out', {empty}), (a, x) -> named_struct('at', a.at + length(x.g) + length(x.value), 'out', CASE WHEN {valid} THEN
+      array_append(a.out, named_struct('start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.value), 'value', x.value)) ELSE a.out END), a -> a.out)"""
+    # An array of one gives a value a name, so that it is made once.
+    return f"transform(array({pairs}), p -> transform(array({blocks}), c -> flatten(zip_with(c, {starts}, (s, o) -> {inside})))[0])[0]"
 
 
 def _digits(value: str) -> str:
@@ -66,7 +73,7 @@ def base_spans(text: str = "t") -> str:
     """SQL for the pattern spans of a text: array of (start, k, end, kind, value), by start, then kind."""
     found = []
     for k, kind in enumerate(KINDS):
-        spans = f"transform(filter({_spans(text, PATTERNS[kind])}, x -> {_valid(kind)}), x -> named_struct('start', x.start, 'k', {k}, 'end', x.end, 'kind', '{kind}', 'value', x.value))"
+        spans = f"transform({_spans(text, PATTERNS[kind], _valid(kind))}, x -> named_struct('start', x.start, 'k', {k}, 'end', x.end, 'kind', '{kind}', 'value', x.value))"
         gate = f"contains({text}, '@')" if kind == "email" else f"{text} RLIKE {_quoted(GATES[kind])}"
         found.append(f"CASE WHEN {gate} THEN {spans} ELSE cast(array() AS array<struct<start: int, k: int, end: int, kind: string, value: string>>) END")
     return f"array_sort(concat({', '.join(found)}))"
@@ -104,12 +111,13 @@ def document_frequency(docs: DataFrame, wanted: DataFrame, text: str = "text") -
     return each.groupBy("term").agg(F.round(F.sum(1 / F.col("times"))).cast("long").alias("df")).join(wanted, "term", "left_semi")
 
 
-def sanitise(docs: DataFrame, text: str = "text", generalise: float = 0.75, remove: float = 0.9, prior: float = 4.0) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", generalise: float = 4.0, remove: float = 1.5, told: float = 2.0, prior: float = 4.0) -> DataFrame:
     """docs with pii_spans (array of start, k, end, kind, value; patterns and terms) and sanitised (the text without them).
 
     Pattern spans become [EMAIL] and so on; terms, wherever they stand in the text, are removed (kind term_removed) or generalised
     to what they look like (term_general): [NUMBER], [ID] (letters and digits), [NAME] (a capital first) or [WORD]. Spans that overlap are replaced once, by the first. `prior` texts are added to those that hold a term, so that pairs of
-    entity and term seen in one text are weighed too. Null and empty texts have no spans and come out empty; equal texts
+    entity and term seen in one text are weighed too. A term is generalised if it leaves at most `generalise` bits of an entity
+    (one of 16 texts with it), removed at `remove`, and in either case tells `told` bits at least. Null and empty texts have no spans and come out empty; equal texts
     count once and get the same spans. An empty table gives no rows. A very long text is one row: its terms are counted once
     each. Input columns named as the new ones are replaced; others, whatever their names and types, come back.
     """
@@ -132,10 +140,10 @@ def sanitise(docs: DataFrame, text: str = "text", generalise: float = 0.75, remo
     entities = once.select(F.explode("e").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     df = document_frequency(texts, inside.select("term"), "t").join(inside, "term")
     total = F.lit(float(max(n, 2)))
-    ic = F.log2(total / F.col("n_e"))
-    share = F.when(ic > 0, 1 + F.log2((F.col("c") + prior * F.col("n_e") / total) / (F.greatest("df", "c") + prior)) / ic).otherwise(0.0)
-    telling = pairs.join(entities, "entity").join(df, "term").withColumn("share", share).filter(F.col("share") >= generalise)
-    telling = written(telling.select("entity", "term", (F.col("share") >= remove).alias("gone"), "df", "n_marked"), "pii-telling")
+    chance = (F.col("c") + prior * F.col("n_e") / total) / (F.greatest("df", "c") + prior)
+    telling = pairs.join(entities, "entity").join(df, "term").withColumns({"left": -F.log2(chance), "told": F.log2(chance * total / F.col("n_e"))})
+    telling = telling.filter((F.col("left") <= generalise) & (F.col("told") >= told))
+    telling = written(telling.select("entity", "term", (F.col("left") <= remove).alias("gone"), "df", "n_marked"), "pii-telling")
     # A removed term goes from every text; only one that more texts hold than have spans can stand in any other.
     gone = written(telling.filter("gone").groupBy("term").agg(F.max(F.col("df") > F.col("n_marked")).alias("wide")), "pii-gone")
     own = once.select("__a", "__b", F.explode("e").alias("entity"), "c").select("__a", "__b", "entity", F.explode("c").alias("term"))
