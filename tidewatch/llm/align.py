@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import json
 import os
 import re
@@ -29,7 +28,7 @@ from tidewatch.llm._common import arrow_mapped, quoted, slices, table, written
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text of a slice; a longer text is a slice of its own.
-SLICE = 8 << 20
+SLICE = 6 << 20
 #: Ends that are tried one at a time.
 PROBES = 64
 #: Graphic characters beside which a space is a certain cut: none is white space, composes, or is B's mark of a space.
@@ -123,10 +122,23 @@ def pair_of(byte_level: str, pieces: str) -> Pair:
     return Pair(byte_level, pieces)
 
 
-def _written(a: list[int], b: list[int], made: list[list[int]], last: list[int]) -> list[str]:
-    """Each chunk's groups as text. last: the number of groups up to each chunk's end."""
-    each = [f"{a[i]}|{b[k]}" if j - i == m - k == 1 else ",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m])) for i, j, k, m in made]
-    return [";".join(each[i:j]) for i, j in zip([0, *last], last)]
+def _written(a: np.ndarray, b: np.ndarray, made: np.ndarray, last: np.ndarray) -> list[str]:
+    """Each chunk's groups as text. last: the number of groups up to each chunk's end. Done by 4,096 chunks: numbers as Python
+    objects take many times their room."""
+    out = []
+    for k in range(0, len(last), 4096):
+        to = last[k : k + 4096]
+        g0 = int(last[k - 1]) if k else 0
+        own = made[g0 : to[-1]]
+        if not len(own):
+            out += [""] * len(to)
+            continue
+        i0, j0 = int(own[0, 0]), int(own[0, 2])
+        x, y = a[i0 : own[-1, 1]].tolist(), b[j0 : own[-1, 3]].tolist()
+        each = [f"{x[i]}|{y[m]}" if j - i == n - m == 1 else ",".join(map(str, x[i:j])) + "|" + ",".join(map(str, y[m:n])) for i, j, m, n in (own - [i0, i0, j0, j0]).tolist()]
+        ends = (to - g0).tolist()
+        out += [";".join(each[i:j]) for i, j in zip([0, *ends], ends)]
+    return out
 
 
 class Chunks(dict):
@@ -137,41 +149,49 @@ class Chunks(dict):
         return n
 
     def align(self, pair: Pair) -> None:
-        """Fills n_a, n_b, n_groups (-1 where bytes differ), written (groups as text), and pairs (keys of all links, the
-        chunk's from first[i] to first[i + 1])."""
-        found = list(self._encoded(pair))
-        sizes = np.array([(len(x[0]), len(x[1])) if x else (0, 0) for x in found], np.int64).reshape(-1, 2)
+        """Gives each chunk a row (row[number]) and fills, by row, n_a, n_b, n_groups (-1 where bytes differ), written (groups as
+        text), and pairs (keys of all links, the chunk's from first[row] to first[row + 1])."""
+        a, b, sizes = self._encoded(pair)
         self.n_a, self.n_b = sizes.T
-        a, b = (np.fromiter(itertools.chain.from_iterable(x[k] for x in found if x), np.int64, sizes[:, k].sum()) for k in (0, 1))
         ends_a, ends_b = np.cumsum(pair.sizes_a[a]), np.cumsum(pair.sizes_b[b])
         to = np.cumsum(sizes, axis=0)
         ranges = np.column_stack([to[:, 0] - self.n_a, to[:, 0], to[:, 1] - self.n_b, to[:, 1]])
         made = groups(ends_a, ends_b, ranges[self.n_a > 0])
         last = np.searchsorted(made[:, 1], to[:, 0], "right")  # groups up to each chunk's end
-        self.n_groups = np.where([x is None for x in found], -1, np.diff(last, prepend=0))
-        self.written = _written(a.tolist(), b.tolist(), made.tolist(), last.tolist())
+        self.n_groups = np.where(self.n_a == 0, -1, np.diff(last, prepend=0))
+        self.written = _written(a, b, made, last)
         at_a, at_b = links(ends_a, ends_b)
         self.first = np.concatenate([[0], np.searchsorted(at_a, to[:, 0])])
         self.pairs = a[at_a] << 32 | b[at_b]
 
-    def _encoded(self, pair: Pair) -> Iterator[tuple[list[int], list[int]] | None]:
-        """The ids of each chunk. Plain ones are joined by spaces and encoded together."""
+    def _encoded(self, pair: Pair) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks, row after row, and how many each row has; none where bytes differ. Plain chunks are joined by
+        spaces and encoded together."""
         chunks = list(self)
         plain = [i for i, c in enumerate(chunks) if len(c) < 4096 and _PLAIN.fullmatch(c) and _MARK not in c] if pair.cuts else []
-        done: dict[int, tuple[list[int], list[int]]] = {}
+        rest = np.ones(len(chunks), bool)
+        ids: tuple[list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+        sizes, order = [np.zeros((0, 2), np.int64)], []
         for k in range(0, len(plain), 4096):
             part = plain[k : k + 4096]
             whole = pair.encoded(" ".join([chunks[i] for i in part]))
-            if whole is None:
-                continue
-            ends = np.cumsum([1 + len(chunks[i].encode()) for i in part])
-            cut_a, cut_b = (np.searchsorted(np.cumsum(sizes[ids]), ends) + 1 for ids, sizes in zip(whole, (pair.sizes_a, pair.sizes_b), strict=True))
-            at_a = at_b = 0
-            for i, to_a, to_b in zip(part, cut_a.tolist(), cut_b.tolist(), strict=True):
-                done[i] = whole[0][at_a:to_a], whole[1][at_b:to_b]
-                at_a, at_b = to_a, to_b
-        for i, chunk in enumerate(chunks):
-            yield done[i] if i in done else pair.encoded(chunk)
+            if whole is not None:
+                ends = np.cumsum([1 + len(chunks[i].encode()) for i in part])
+                cuts = [np.searchsorted(np.cumsum(size[x]), ends) + 1 for x, size in zip(whole, (pair.sizes_a, pair.sizes_b), strict=True)]
+                sizes.append(np.column_stack([np.diff(c, prepend=0) for c in cuts]))
+                for to, x in zip(ids, whole, strict=True):
+                    to.append(np.array(x, np.int64))
+                order += part
+                rest[part] = False
+        for i in np.flatnonzero(rest).tolist():
+            found = pair.encoded(chunks[i]) or ([], [])
+            sizes.append(np.array([[len(x) for x in found]], np.int64))
+            for to, x in zip(ids, found, strict=True):
+                to.append(np.array(x, np.int64))
+            order.append(i)
+        self.row = np.empty(len(chunks), np.int64)
+        self.row[order] = np.arange(len(chunks))
+        return np.concatenate(ids[0]), np.concatenate(ids[1]), np.concatenate(sizes)
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -214,12 +234,14 @@ def aligned(docs: DataFrame, doc_id: str, text: str, byte_level: str, pieces: st
         found = []
         for value in part.column("text").to_pylist():
             cut = (_CUT.split(value) if pair.cuts else [value]) if value else []
-            found.append(np.fromiter(map(chunks.__getitem__, cut), np.int64, len(cut)))
+            found.append(np.fromiter(map(chunks.__getitem__, cut), np.int32, len(cut)))
         chunks.align(pair)
+        chunks.clear()
         keys, place = np.unique(chunks.pairs, return_inverse=True)
         holders, n_links = np.zeros(len(keys), np.int32), np.diff(chunks.first)
         cells: dict[str, list] = {c: [] for c in (*_MADE, "groups_sha256", "chunks", "times")}
-        for which in found:
+        for numbers in found:
+            which = chunks.row[numbers]
             if not len(which) or (chunks.n_groups[which] < 0).any():
                 made, digest, which = [0, 0, 0, 0], "", which[:0]
             else:
