@@ -251,3 +251,37 @@ def test_terms_are_found_in_the_whole_text_and_removed_from_every_text(spark):
     assert all(found[i] == {"li": "term_removed", "x7k9": "term_removed"} for i in range(12))
     rows = pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("doc_id = 20").collect()
     assert [(s.start, s.end, s.kind) for s in rows[0].pii_spans] == [(5, 7, "term_removed")] and rows[0].sanitised == "item  in a list without an address"
+
+
+def test_partitions_of_partitions_keep_recall(spark):
+    """16 partitions at most by a sample of 256: those of 6,000 vectors are cut again, and repeated text ids keep their order."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((40, 16))[rng.integers(0, 40, 6000)] + 0.5 * rng.standard_normal((6000, 16))
+    rows = [(f"v{i:05d}", x, 1) for i, x in enumerate(v.tolist())]
+    got = ann.nearest(spark.createDataFrame([*rows, rows[3]], "`v.id` string, `the.vector` array<double>, q int"), F.substring("`v.id`", 5, 2) == "00", "v.id", "the.vector", sample=256).collect()
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    found = 0
+    for q in range(0, 6000, 100):
+        s = u @ u[q]
+        s[q] = -9
+        near = {f"v{i:05d}" for i in np.argsort(-s)[:5]}
+        mine = [r for r in got if r.query_id == f"v{q:05d}"]
+        found += sum(r.vec_id in near for r in mine)
+        assert sorted(r["rank"] for r in mine) == [1, 2, 3, 4, 5] and all(abs(r.score - s[int(r.vec_id[1:])]) < 1e-12 for r in mine)
+    print(f"recall@5 {found / 300:.3f} over two levels")
+    assert len(got) == 300 and found / 300 >= 0.9
+
+
+def test_nearest_of_alike_vectors_and_of_empty_tables(spark, monkeypatch):
+    """Vectors that no classifier can part stay in one partition and are scored in blocks."""
+    monkeypatch.setattr(ann, "PARTITION_ROWS", 8)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
+    v = np.ones((300, 2)) + 1e-9 * np.arange(300)[:, None] * [1, -1]
+    table = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "DEPTH", 2)
+    got = ann.nearest(table, F.col("vec_id") % 50 == 0).collect()
+    assert len(got) == 30 and all(r.score == pytest.approx(1) for r in got)
+    assert ann.nearest(table.limit(0), F.lit(True)).count() == 0 and ann.nearest(table, F.lit(None).cast("boolean")).count() == 0
+    assert ann.nearest(table.limit(1), F.lit(True)).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [None, 1.0]), (None, [1.0, 2.0]), (4, [1.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in ann.nearest(odd, F.lit(True)).orderBy("query_id").collect()] == [(4, 6), (6, 4)]

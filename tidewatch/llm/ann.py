@@ -4,23 +4,30 @@ A bounded sample of distinct vectors gives a neighbour graph, which recursive bi
 size with few edges between them. A softmax classifier learns, for each sampled vector, in which partitions its
 neighbours lie. It then assigns every vector of the table to its most probable partition and routes a query to its most
 probable partitions until their probability reaches a level set on sampled vectors kept out of the fit and they hold
-enough ids for a whole answer. Partitions are scored in blocks of bounded size by matrix products, and the best are scored again, exactly.
+enough ids for a whole answer. Partitions that are large still are cut in the same way, each by a task, so that the tree
+grows with the table. Partitions are scored in blocks of bounded size by matrix products, and the best are scored again,
+exactly.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import table, written
+from tidewatch.llm._common import quoted, table, written
 
-#: Distinct vectors that the partitions are learned from, at most; rows a partition is meant to have; rows of a block.
+#: Distinct vectors that the partitions of a node are learned from, at most; rows a partition is meant to have; rows of a block.
 SAMPLE, PARTITION_ROWS, BLOCK_ROWS = 8_192, 64, 4_096
+#: A node has up to 2**FAN_BITS partitions; one of more than LARGE * PARTITION_ROWS rows is a node itself, down to DEPTH.
+FAN_BITS, LARGE, DEPTH = 8, 8, 7
+#: Node n has nodes n * BELOW + 1, ... below; numbers of DEPTH levels fit in 64 bits.
+BELOW = 2**FAN_BITS + 1
+MODEL = "node long, weights array<double>, level double"
 
 
 def neighbour_graph(u: np.ndarray, k: int) -> np.ndarray:
@@ -118,28 +125,74 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _routes(rows: DataFrame, keep: list[str], weights: np.ndarray, level: float | None, held: np.ndarray | None = None, least: int = 0) -> DataFrame:
-    """rows with part: the most probable one, or (level) a row for each part until those before reach the level and hold,
-    with held ids in each part, at least `least` ids."""
+def _fitted(rows: DataFrame, large: DataFrame, sample: int, depth: int, recall: float) -> DataFrame:
+    """(node, weights, level) of each large node, learned in a task from about `sample` of its rows, all if it has no more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("v"))
-            x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
-            p = softmax(np.hstack([x, np.ones((len(x), 1))]) @ weights)
-            if level is None:
-                row, part = np.arange(len(x)), p.argmax(axis=1)
-            else:
-                order = np.argsort(-p, axis=1, kind="stable")
-                sorted_ = np.take_along_axis(p, order, axis=1)
-                inside = held[order]
-                row, place = np.nonzero((np.cumsum(sorted_, axis=1) - sorted_ <= level) | (np.cumsum(inside, axis=1) - inside < least))
-                part = order[row, place]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row)) for c in keep], pa.array(part, pa.int32())], [*keep, "part"])
+    Which rows is a matter of a hash of their first id, so that an attempt after a lost executor learns the same."""
+    u = F.pmod(F.xxhash64(F.col("ids")[0], F.lit(11 + depth)), F.lit(1 << 20)) / (1 << 20)
+    drawn = rows.join(large, "node").filter(u * F.col("n") < sample).select("node", "n", "v", F.col("ids")[0].alias("first"))
 
-    return rows.mapInArrow(run, rows.select(*keep).withColumn("part", F.lit(0)).schema)
+    def fit(found: pa.Table) -> pa.Table:
+        found = found.sort_by("first")
+        vectors, n = _matrix(found.column("v")), found.column("n")[0].as_py()
+        weights, level = learn(vectors, _parts(n, len(vectors)), recall=recall)
+        return pa.table({"node": found.column("node").slice(0, 1), "weights": pa.array([weights.ravel()], pa.list_(pa.float64())), "level": pa.array([level], pa.float64())})
+
+    return drawn.groupBy("node").applyInArrow(fit, MODEL)
+
+
+def _parts(rows: int, learned: int) -> int:
+    """Partitions that a node of so many rows, of which so many are learned from, is cut into: a power of two."""
+    return 2 ** max(0, min(FAN_BITS, round(math.log2(max(1, rows / PARTITION_ROWS))), int(math.log2(max(1, learned / 16)))))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("node").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+
+
+def _in_blocks(rows: DataFrame, key: Column, counts: DataFrame, name: str) -> DataFrame:
+    """rows with their block of their node, of BLOCK_ROWS rows or so."""
+    return rows.join(counts, "node").withColumn(name, F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("blocks")
+
+
+def _for_blocks(rows: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """rows once for each block that their node has."""
+    return rows.join(counts, "node").withColumn(name, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+
+def _sent(rows: DataFrame, key: Column, models: DataFrame, least: int | None = None) -> DataFrame:
+    """Rows of nodes that have a model, with the node below: the most probable one. With `least` a row for each one that is
+    asked: until those before reach the model's level and hold that many ids (models then have column held, of their parts).
+
+    Rows and a copy of the model meet in blocks, so a node of any number of rows is many tasks' work."""
+    rows = rows.join(models.select("node"), "node", "left_semi")
+    counts, names = written(_counted(rows), "blocks"), rows.columns
+
+    def send(asked: pa.Table, model: pa.Table) -> pa.Table:
+        if not (asked.num_rows and model.num_rows):
+            return asked.select(names).slice(0, 0)
+        x = _matrix(asked.column("v"))
+        x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+        weights = model.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(x.shape[1] + 1, -1)
+        p = softmax(np.hstack([x, np.ones((len(x), 1))]) @ weights)
+        if least is None:
+            row, part = np.arange(len(x)), p.argmax(axis=1)
+        else:
+            held = np.zeros(p.shape[1], np.int64)
+            for h in model.column("held")[0].as_py():
+                held[h["part"]] = h["ids"]
+            order = np.argsort(-p, axis=1, kind="stable")
+            sorted_, inside = np.take_along_axis(p, order, axis=1), held[order]
+            asked_for = (np.cumsum(sorted_, axis=1) - sorted_ <= model.column("level")[0].as_py()) | (np.cumsum(inside, axis=1) - inside < least)
+            row, place = np.nonzero(asked_for & (inside > 0))
+            part = order[row, place]
+        out = asked.select(names).take(pa.array(row))
+        below = out.column("node").to_numpy() * BELOW + part + 1
+        return out.set_column(names.index("node"), "node", pa.array(below, pa.int64()))
+
+    by = ["node", "block"]
+    asked = _in_blocks(rows, key, counts, "block")
+    return asked.groupBy(*by).cogroup(_for_blocks(models, counts, "block").groupBy(*by)).applyInArrow(send, rows.schema)
 
 
 def usable(vector: Column) -> Column:
@@ -151,35 +204,52 @@ def usable(vector: Column) -> Column:
 def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, sample: int = SAMPLE, recall: float = 0.97) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `queries` holds for, its k nearest other rows by cosine.
 
-    Vectors without a direction, rows without an id and vectors of another length than most of the sample take no part.
-    Repeated rows count once; equal vectors share one place in the index, with the k + 1 smallest of their ids, which
-    are all that a top k can show. Ties go to the smaller id. With fewer than k others, all of them.
+    Ids keep their type, which must have an order. Vectors without a direction, rows without an id and vectors of another
+    length than most (the longer, if as many) take no part. Repeated rows count once; equal vectors share one place in the
+    index, with the k + 1 smallest of their ids, which are all that a top k can show. Ties go to the smaller id. With fewer
+    than k others, all of them. An empty table, or one without usable vectors or queries, gives no rows. Other columns, of
+    any names, are not read.
+
+    Partitions of more than LARGE times PARTITION_ROWS are cut again, by a classifier of their own, to any depth up to DEPTH;
+    what vectors too alike leave large is scored in blocks. `recall` is shared out over the depth that the table needs.
     """
-    rows = vectors.filter(usable(F.col(vector)) & F.col(vec_id).isNotNull())
-    rows = written(rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("asks")).distinct(), "vectors")
+    kind = vectors.schema[vec_id].dataType.simpleString()
+    rows = vectors.filter(usable(quoted(vector)) & quoted(vec_id).isNotNull())
+    rows = written(rows.select(quoted(vec_id).alias("id"), quoted(vector).cast("array<double>").alias("v"), queries.alias("asks")).distinct(), "vectors")
+    usual = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
+    rows, width = rows.filter(F.size("v") == (usual.w if usual else 0)), usual.w if usual else 1
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     distinct = rows.withColumn("r", place).filter(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    distinct = written(distinct, "distinct")
-    asked = rows.filter("asks").groupBy("v").agg(F.min("id").alias("q"))
-    taken = distinct.orderBy(F.xxhash64(F.col("ids")[0], F.lit(11)), F.col("ids")[0]).limit(sample).select("v").toArrow().column("v")
-    widths = np.bincount(taken.combine_chunks().value_lengths().to_numpy(zero_copy_only=False)) if len(taken) else np.array([0])
-    width, total = int(widths.argmax()), distinct.count()
-    learned = np.array([x for x in taken.to_pylist() if len(x) == width], np.float64).reshape(-1, max(width, 1))
-    parts = 2 ** max(0, min(8, round(math.log2(max(1, total / PARTITION_ROWS))), int(math.log2(max(1, len(learned) / 16)))))
-    weights, level = learn(learned, parts, recall=recall) if len(learned) else (np.zeros((2, 1)), 1.0)
-    blocks = max(1, math.ceil(total / parts / BLOCK_ROWS))
-    groups = max(1, math.ceil(asked.count() / BLOCK_ROWS))
-    fits = F.size("v") == width
-    index = written(_routes(distinct.filter(fits), ["ids", "v"], weights, None), "index")
-    held = np.zeros(parts, np.int64)
-    for r in index.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).collect():
-        held[r.part] = r.n
-    index = index.withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(blocks)).cast("int")).withColumn("q_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    routed = _routes(asked.filter(fits), ["q", "v"], weights, level, held, k + 1).withColumn("q_group", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int"))
-    routed = routed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    most = k + 1
+    index = written(distinct.select(F.lit(0).cast("long").alias("node"), "v", "ids"), "index")
+    asked = written(rows.filter("asks").groupBy("v").agg(F.min("id").alias("q")), "asked")
+    asking = asked.select(F.lit(0).cast("long").alias("node"), "v", "q")
+    total, most, first = index.count(), k + 1, F.col("ids")[0]
+    taken = index.orderBy(F.xxhash64(first, F.lit(11)), first).limit(sample).select("v").toArrow().column("v")
+    learned = np.array(taken.to_pylist(), np.float64).reshape(-1, width)
+    each = 1 - (1 - recall) / max(1, math.ceil(math.log(max(1, total / (LARGE * PARTITION_ROWS)), 2**FAN_BITS)))
+    weights, level = learn(learned, _parts(total, len(learned)), recall=each) if total else (np.zeros((width + 1, 1)), 1.0)
+    models = vectors.sparkSession.createDataFrame([(0, weights.ravel().tolist(), level)], MODEL)
+    leaves, routed = [], []
+    for depth in range(1, DEPTH + 1):
+        below = written(_sent(index, first, models), "index")
+        counts = written(below.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")), "counts")
+        part = F.struct(F.pmod(F.col("node") - 1, F.lit(BELOW)).cast("int").alias("part"), "ids")
+        held = counts.groupBy(F.expr(f"(node - 1) div {BELOW}").alias("node")).agg(F.collect_list(part).alias("held"))
+        asking = written(_sent(asking, F.col("q"), models.join(held, "node"), most), "asking")
+        large = counts.filter(F.col("n") > LARGE * PARTITION_ROWS).select("node", "n")
+        if depth == DEPTH or large.isEmpty():
+            leaves.append(below)
+            routed.append(asking)
+            break
+        leaves.append(below.join(large, "node", "left_anti"))
+        routed.append(asking.join(large, "node", "left_anti"))
+        index = below.join(large.select("node"), "node", "left_semi")
+        models = written(_fitted(below, large, sample, depth, each), "models")
+    leaf, ask = reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, routed)
+    leaf_blocks, ask_blocks = written(_counted(leaf), "blocks"), written(_counted(ask), "blocks")
 
     def score(ask: pa.Table, found: pa.Table) -> pa.Table:
+        q_type, ids_type = ask.schema.field("q").type, found.schema.field("ids").type
         out: tuple[list, list, list] = ([], [], [])
         if ask.num_rows and found.num_rows:
             a, b, ids = _matrix(ask.column("v")), _matrix(found.column("v")), found.column("ids").to_pylist()
@@ -193,10 +263,12 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
                 for q, places, scores in zip(ask.column("q").slice(i, 256).to_pylist(), top.tolist(), exact.tolist(), strict=True):
                     for value, j in sorted(zip(scores, places, strict=True), key=lambda x: (-x[0], ids[x[1]][0]))[:most]:
                         out[0].append(q), out[1].append(ids[j]), out[2].append(value)
-        return pa.table({"q": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64())), "score": pa.array(out[2], pa.float64())})
+        return pa.table({"q": pa.array(out[0], q_type), "ids": pa.array(out[1], ids_type), "score": pa.array(out[2], pa.float64())})
 
-    by = ["part", "block", "q_group"]
-    met = routed.groupBy(*by).cogroup(index.groupBy(*by)).applyInArrow(score, "q long, ids array<bigint>, score double")
+    by = ["node", "block", "q_block"]
+    left = _for_blocks(_in_blocks(ask, F.col("q"), ask_blocks, "q_block"), leaf_blocks, "block")
+    right = _for_blocks(_in_blocks(leaf, first, leaf_blocks, "block"), ask_blocks, "q_block")
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(score, f"q {kind}, ids array<{kind}>, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     short = met.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most)
     names = rows.filter("asks").join(asked, "v").select(F.col("id").alias("query_id"), "q")
