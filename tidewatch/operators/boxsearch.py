@@ -150,6 +150,23 @@ def box_search(series: DataFrame, periods: Sequence[float] | None, durations: Se
     return _grouped(series, key, weighted, run, "period double, power double, depth double, duration double, phase0 double")
 
 
+def strongest(time: np.ndarray, flux: np.ndarray, weight: np.ndarray, grid: np.ndarray, durations: Sequence[float], per_duration: int = 4, floor: int = 10) -> tuple[dict[str, float], np.ndarray] | None:
+    """The best box over a grid of periods as a signal (see signals()), and how far each sample is from the middle of its
+    nearest event; None where nothing dips."""
+    f, width = search(time, flux, weight, grid, durations, per_duration), min(durations) / per_duration
+    if not np.isfinite(f["power"]).any():
+        return None
+    i = int(np.argmax(np.round(np.nan_to_num(f["power"], nan=-np.inf), 9)))
+    duration = f["k"][i] * width
+    epoch = f["start"][i] * width + duration / 2
+    shift = time - epoch + grid[i] / 2
+    away = np.abs(shift - grid[i] * np.floor(shift / grid[i]) - grid[i] / 2)
+    return {
+        "period": grid[i], "epoch": epoch, "duration": duration, "depth": f["depth"][i], "depth_err": f["error"][i], "power": f["power"][i],
+        "gain": 0.5 * weight[away < duration / 2].sum() * f["depth"][i] ** 2, "sde": efficiency(f["power"], floor), "contrast": contrast(grid, f["power"]),
+    }, away
+
+
 SIGNAL = "round int, period double, epoch double, duration double, depth double, depth_err double, power double, gain double, sde double, contrast double"
 
 
@@ -161,7 +178,6 @@ def signals(series: DataFrame, periods: Sequence[float] | None, durations: Seque
     shorter period wins. gain is the box's share of the log-likelihood; sde needs `floor` powers. errors: a column error more,
     and a row that says so for a series whose search raises, instead of the end of the job.
     """
-    width = min(durations) / per_duration
 
     def found_in(table: pa.Table) -> Iterator[dict]:
         time, flux, weight = _series(table, weighted)
@@ -170,22 +186,12 @@ def signals(series: DataFrame, periods: Sequence[float] | None, durations: Seque
                 return
             if not weighted:
                 weight = np.full(len(time), 1 / flux.var() if flux.var() > 0 else np.nan)
-            grid = _grid(time, periods)
-            f = search(time, flux, weight, grid, durations, per_duration)
-            if not np.isfinite(f["power"]).any():
-                return
-            i = int(np.argmax(np.round(np.nan_to_num(f["power"], nan=-np.inf), 9)))
-            sde, duration = efficiency(f["power"], floor), f["k"][i] * width
-            if threshold is not None and not sde >= threshold:
+            best = strongest(time, flux, weight, _grid(time, periods), durations, per_duration, floor)
+            if best is None or threshold is not None and not best[0]["sde"] >= threshold:
                 return
-            epoch, inside = f["start"][i] * width + duration / 2, f["error"][i]
-            shift = time - epoch + grid[i] / 2
-            away = np.abs(shift - grid[i] * np.floor(shift / grid[i]) - grid[i] / 2)
-            yield {
-                "round": number, "period": grid[i], "epoch": epoch, "duration": duration, "depth": f["depth"][i], "depth_err": inside, "power": f["power"][i],
-                "gain": 0.5 * weight[away < duration / 2].sum() * f["depth"][i] ** 2, "sde": sde, "contrast": contrast(grid, f["power"]),
-            }
-            keep = away > 1.5 * duration
+            found, away = best
+            yield {"round": number, **found}
+            keep = away > 1.5 * found["duration"]
             time, flux, weight = time[keep], flux[keep], weight[keep]
 
     names = [x.split()[0] for x in SIGNAL.split(", ")]

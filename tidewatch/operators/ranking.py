@@ -1,13 +1,15 @@
-"""Boosted trees over feature vectors, held out by star, with calibrated scores."""
+"""Boosted trees over feature vectors, held out by star, with calibrated scores, and how they gain by more stars."""
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators import evaluate
+
 
 def by_star(rows: DataFrame, share: float, seed: int, star: str = "target_id") -> DataFrame:
     """rows with held_out: all rows of a star fall on one side, whatever else changes."""
@@ -37,3 +39,61 @@ def trained_scores(rows: DataFrame, features: list[str], label: str = "label", t
     scaled = VectorAssembler(inputCols=["raw"], outputCol="__z").transform(out)
     curve = LogisticRegression(featuresCol="__z", labelCol=label, rawPredictionCol="__r", probabilityCol="__p", predictionCol="__q").fit(scaled)
     return curve.transform(scaled).withColumn("score", vector_to_array("__p")[1]).drop("__x", "__w", "__z", "__r", "__p", "__q")
+
+
+def _drawn(star: str, draw: Column, share: Column, seed: int) -> Column:
+    """Whether a star is in a draw's random subset of a share of all stars. Smaller subsets of a draw lie in its larger ones."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), draw.cast("string"), F.col(star).cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2**32 < share
+
+
+def subset_sizes(n: int, start: int, repeats: int) -> list[tuple[int, int]]:
+    """(size, draw): sizes doubling from start below n, each `repeats` times, then n once."""
+    sizes = [start << i for i in range(max(0, (n - 1).bit_length())) if start << i < n]
+    return [(size, draw) for size in sizes for draw in range(repeats)] + [(n, 0)]
+
+
+def subset_counts(rows: DataFrame, start: int, repeats: int, label: str = "label", seed: int = 0, star: str = "target_id") -> DataFrame:
+    """(size, draw, n_stars, n, positives) of the random subsets of stars that a learning curve trains on.
+
+    A star is in a subset with all its rows. A size is met in the mean, as stars are drawn one by one; n_stars is what was
+    drawn. Rows without a star or a label take no part; without rows there are no subsets, and an empty subset has no row.
+    """
+    rows = rows.filter(F.col(star).isNotNull() & F.col(label).isNotNull())
+    n = rows.select(star).distinct().count()
+    each = F.array(*[F.struct(F.lit(s).cast("long").alias("size"), F.lit(d).alias("draw")) for s, d in subset_sizes(max(n, 1), start, repeats)])
+    stars = rows.groupBy(star).agg(F.count("*").alias("n"), F.sum(label).alias("p")).select(star, "n", "p", F.inline(each))
+    taken = stars.filter(_drawn(star, F.col("draw"), F.col("size") / F.lit(max(n, 1)), seed))
+    return taken.groupBy("size", "draw").agg(F.count("*").alias("n_stars"), F.sum("n").alias("n"), F.sum("p").cast("long").alias("positives"))
+
+
+def learning_curve(
+    rows: DataFrame, test: DataFrame, features: list[str], start: int = 100, repeats: int = 10, label: str = "label", trees: int = 30, depth: int = 3, seed: int = 0, star: str = "target_id",
+) -> DataFrame:
+    """(size, n_draws, mean_stars, average_precision, sd): how well trees that learned from random subsets of the stars of `rows`
+    rank `test`, whose stars that `rows` has too are left out. Sizes double from start; the last is all stars. sd is null for one draw.
+
+    Subsets without both classes are not trained on and not counted. A subset is a predicate over rows, so give rows and test as stored
+    tables: no subset is copied, and each fit is a distributed job. Classes weigh the same in each subset. Null features
+    take the median of all rows.
+    """
+    spark = rows.sparkSession
+    rows = rows.filter(F.col(star).isNotNull() & F.col(label).isNotNull()).withColumns({f: F.col(f).cast("double") for f in features})
+    test = test.join(rows.select(star).distinct(), star, "left_anti").withColumns({f: F.col(f).cast("double") for f in features})
+    counts = subset_counts(rows, start, repeats, label, seed, star).filter("positives > 0 AND positives < n").orderBy("size", "draw").collect()
+    if not counts:
+        raise ValueError("labels of both classes are needed")
+    total = rows.select(star).distinct().count()
+    filled = [f"__{f}" for f in features]
+    imputer = Imputer(strategy="median", inputCols=features, outputCols=filled).fit(rows)
+    ready = lambda x: VectorAssembler(inputCols=filled, outputCol="__x", handleInvalid="keep").transform(imputer.transform(x)).select(star, label, "__x")
+    learn, held, scored = ready(rows), ready(test), None
+    for c in counts:
+        weight = F.when(F.col(label) == 1, 0.5 * c.n / c.positives).otherwise(0.5 * c.n / (c.n - c.positives))
+        part = learn.filter(_drawn(star, F.lit(c.draw), F.lit(c["size"]) / F.lit(total), seed)).withColumn("__w", weight)
+        model = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", maxIter=trees, maxDepth=depth, seed=seed + c.draw, predictionCol="__q").fit(part)
+        out = model.transform(held).select(F.lit(c["size"]).cast("long").alias("size"), F.lit(c.draw).alias("draw"), F.col(label).alias("label"), vector_to_array("rawPrediction")[1].alias("score"))
+        scored = out if scored is None else scored.unionByName(out)
+    drawn = spark.createDataFrame([(c["size"], c.draw, c.n_stars) for c in counts], "size long, draw int, n_stars long")
+    found = evaluate.average_precision(scored, ("size", "draw")).join(drawn, ["size", "draw"])
+    return found.groupBy("size").agg(F.count("*").alias("n_draws"), F.avg("n_stars").alias("mean_stars"), F.avg("ap").alias("average_precision"), F.stddev_samp("ap").alias("sd"))

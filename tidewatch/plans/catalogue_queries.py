@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import catalog as C
 from tidewatch.operators import evaluate as V
+from tidewatch.operators import ranking
 from tidewatch.plans.catalogue import query
 from tidewatch.sources.tables import table
 
@@ -292,3 +293,10 @@ def compared_with_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = C.nearest_of_key(o.filter("o_orderkey % 2 = 1"), published, "o_custkey", "a", "published", "other")
     errors = C.difference_in_errors(F.col("a"), 0.1 * F.col("a"), 0.2 * F.col("a"), F.col("published"), F.lit(1.0))
     return out.select("o_orderkey", "other", F.round("published", 2).alias("published"), F.round(errors, 6).alias("errors"))
+
+
+@query(f"""WITH {R}, n AS (SELECT count(*) AS n FROM r), z AS (SELECT 25 * (1 << i) AS size, d::INT AS draw FROM range(20) a(i), range(3) b(d), n WHERE 25 * (1 << i) < n UNION ALL SELECT n, 0 FROM n)
+SELECT size::BIGINT AS size, draw, count(*)::BIGINT AS n_stars, count(*)::BIGINT AS n, sum(label)::BIGINT AS positives FROM r, n, z WHERE ('0x' || substr(md5('7:' || draw || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < size / n::DOUBLE GROUP BY ALL""")
+def learning_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random subsets of labelled rows, of sizes that double; smaller ones of a draw lie in its larger ones."""
+    return ranking.subset_counts(scored(spark, sf_dir), 25, 3, seed=7, star="doc_id")

@@ -51,6 +51,12 @@ def flattened_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detrend.flattened(S.finite(event_series(spark, sf_dir)), spacing=20.0, gap=5.0, least=32)
 
 
+@query()
+def flattened_around_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As flattened_series, and again with the events of a signal kept out of the fit, of half the efficiency asked of dense series."""
+    return detrend.flattened_around_signal(S.finite(event_series(spark, sf_dir)), PERIODS, DURATIONS, spacing=20.0, gap=5.0, least=32, threshold=2.5, floor=5)
+
+
 @query()
 def periodogram_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detrend.dominant_period(_series(spark, sf_dir), 1.0, 20.0)
@@ -61,15 +67,26 @@ def signals_one_after_another(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.iterative_search(_series(spark, sf_dir), PERIODS, DURATIONS, threshold=1.5, rounds=2, least=20, floor=5)
 
 
-@query()
-def injected_and_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dips are put into every other series; trees that did not see a series say whether it has one."""
+def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored features of all series, every other one with dips put in (label 1)."""
     has = F.col("target_id") % 2 == 0
     f = _series(spark, sf_dir).withColumn("flux", F.when(has, F.col("flux") * (1 - X.trapezoid(F.col("time"), P, T0, 0.8, D, 0.8))).otherwise(F.col("flux")))
     rows = features.extract(f, boxsearch.signals(f, PERIODS, DURATIONS, floor=5)).withColumn("label", (F.col("target_id") % 2 == 0).cast("int"))
     rows.write.parquet(kept := f"{shared_dir(spark)}/ranked-features-{uuid.uuid4().hex}")
-    rows = spark.read.schema(rows.schema).parquet(kept)
-    return ranking.trained_scores(rows, features.FEATURES, trees=10).select("target_id", "label", "fold", "raw", "score")
+    return spark.read.schema(rows.schema).parquet(kept)
+
+
+@query()
+def injected_and_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dips are put into every other series; trees that did not see a series say whether it has one."""
+    return ranking.trained_scores(_injected(spark, sf_dir), features.FEATURES, trees=10).select("target_id", "label", "fold", "raw", "score")
+
+
+@query()
+def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the stars that are held out are ranked, by how many others the trees saw."""
+    rows = ranking.by_star(_injected(spark, sf_dir), 0.3, 5)
+    return ranking.learning_curve(rows.filter("NOT held_out"), rows.filter("held_out"), features.FEATURES, start=20, repeats=2, trees=5)
 
 
 @query(f"WITH {E} SELECT target_id, count(*)::BIGINT AS n, round(avg(flux), 6) AS mean FROM e GROUP BY 1")
