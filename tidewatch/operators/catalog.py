@@ -22,6 +22,25 @@ def star_labels(rows: DataFrame, key: str, label: str, weight: str, tie: str) ->
     return star.join(best, key, "left").select(key, "star_label", "n_rows", F.col("b.t").alias("reference"))
 
 
+def training_set(rows: DataFrame, features: DataFrame, excluded: DataFrame, key: str, label: str, weight: str, tie: str) -> DataFrame:
+    """A row a star of `rows`: star_labels(), status, and the other columns of `features` where the star is used.
+
+    status: 'excluded' (its key is in `excluded`: a star that models are judged on), 'unlabelled' (no label holds for the whole
+    star), 'unmeasured' (features has no row of it), else 'used'; the first that fits. So whoever trains on the used rows, splits by
+    key and reports the statuses can account for every star. features holds one row a star; of more the result has more.
+    Stars without a key are left out; keys that `excluded` repeats count once. Of clashing columns that of features gives way.
+    """
+    stars = star_labels(rows.filter(F.col(key).isNotNull()), key, label, weight, tie)
+    banned = excluded.select(F.col(key).alias("__x")).filter("__x IS NOT NULL").distinct()
+    values = [c for c in features.columns if c.lower() not in {x.lower() for x in [*stars.columns, "status", "__f"]}]
+    measured = features.select(F.col(key).alias("__f"), *values)
+    out = stars.join(banned, F.col(key) == F.col("__x"), "left").join(measured, F.col(key) == F.col("__f"), "left")
+    reasons = {"excluded": F.col("__x").isNotNull(), "unlabelled": F.col("star_label").isNull(), "unmeasured": F.col("__f").isNull()}
+    status = F.coalesce(*[F.when(found, F.lit(name)) for name, found in reasons.items()], F.lit("used"))
+    out = out.withColumn("status", status)
+    return out.select(*stars.columns, "status", *[F.when(F.col("status") == "used", F.col(c)).alias(c) for c in values])
+
+
 def nearest_ratio(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: float, tie: str) -> DataFrame:
     """left's rows with the first (by tie) of right's rows whose b is within a share `tolerance` of a.
 

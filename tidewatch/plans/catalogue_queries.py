@@ -94,10 +94,11 @@ def star_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.star_labels(rows, "o_custkey", "label", "o_totalprice", "o_orderkey")
 
 
-@query("""SELECT o.o_orderkey, o.o_totalprice, min(p_partkey) AS p_partkey, count(*)::BIGINT AS n_matches FROM orders o JOIN part p ON abs(p_retailprice / o_totalprice - 1) < 0.01 GROUP BY 1, 2""")
+@query("""SELECT o.o_orderkey, o.o_totalprice, min(p_partkey) AS p_partkey, count(*)::BIGINT AS n_matches FROM (SELECT o_orderkey, o_totalprice / 100 AS o_totalprice FROM orders) o JOIN part p ON abs(p_retailprice / o_totalprice - 1) < 0.0002 GROUP BY 1, 2""")
 def archive_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return C.nearest_ratio(left, table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "o_totalprice", "p_retailprice", 0.01, "p_partkey")
+    """Orders, in hundreds, that cost what a part does."""
+    left = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("o_totalprice"))
+    return C.nearest_ratio(left, table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "o_totalprice", "p_retailprice", 0.0002, "p_partkey")
 
 
 @query("""SELECT l_orderkey, l_linenumber, c_name, CASE WHEN o_orderkey IS NULL THEN 'none' WHEN o_orderstatus = 'F' THEN 'PC' ELSE 'AFP' END AS class
@@ -109,9 +110,9 @@ def event_object_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "c_name", kind.alias("class"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def exclude_hosts_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
@@ -300,3 +301,29 @@ SELECT size::BIGINT AS size, draw, count(*)::BIGINT AS n_stars, count(*)::BIGINT
 def learning_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random subsets of labelled rows, of sizes that double; smaller ones of a draw lie in its larger ones."""
     return ranking.subset_counts(scored(spark, sf_dir), 25, 3, seed=7, star="doc_id")
+
+
+TRAINING = """WITH l AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 WHEN o_totalprice < 450000 THEN 0 END AS label, o_totalprice FROM orders),
+s AS (SELECT o_custkey, CASE WHEN max(label) = 1 THEN 1 WHEN min(label) = 0 AND count(label) = count(*) THEN 0 END AS star_label, count(*) AS n_rows FROM l GROUP BY 1),
+b AS (SELECT l.o_custkey, o_orderkey, row_number() OVER (PARTITION BY l.o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM l JOIN s ON s.o_custkey = l.o_custkey AND s.star_label IS NOT DISTINCT FROM l.label),
+t AS (SELECT s.o_custkey, star_label, n_rows::BIGINT AS n_rows, o_orderkey AS reference, f.c_acctbal, f.c_nationkey, CASE WHEN x.c_custkey IS NOT NULL THEN 'excluded' WHEN star_label IS NULL THEN 'unlabelled' WHEN f.c_custkey IS NULL THEN 'unmeasured' ELSE 'used' END AS status
+FROM s LEFT JOIN b ON b.o_custkey = s.o_custkey AND k = 1 LEFT JOIN customer x ON x.c_custkey = s.o_custkey AND x.c_mktsegment = 'BUILDING' LEFT JOIN customer f ON f.c_custkey = s.o_custkey AND f.c_acctbal > 0)"""
+
+
+def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("o_orderpriority") == "1-URGENT", 1).when(F.col("o_totalprice") < 450000, 0)
+    customers = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    features = customers.filter("c_acctbal > 0").select("o_custkey", "c_acctbal", "c_nationkey")
+    return C.training_set(table(spark, sf_dir, "orders").withColumn("label", label), features, customers.filter("c_mktsegment = 'BUILDING'"), "o_custkey", "label", "o_totalprice", "o_orderkey")
+
+
+@query(f"{TRAINING} SELECT o_custkey, star_label, n_rows, reference, status, CASE WHEN status = 'used' THEN c_acctbal END AS c_acctbal, CASE WHEN status = 'used' THEN c_nationkey END AS c_nationkey FROM t")
+def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as stars, orders as their candidates; those of a segment are what models are judged on."""
+    return _training(spark, sf_dir)
+
+
+@query(f"{TRAINING} SELECT status, count(*)::BIGINT AS n_stars, sum((star_label = 1)::INT)::BIGINT AS positives, sum(n_rows)::BIGINT AS n_rows FROM t GROUP BY 1")
+def training_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of the stars."""
+    return _training(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n_stars"), F.sum((F.col("star_label") == 1).cast("int")).alias("positives"), F.sum("n_rows").alias("n_rows"))
