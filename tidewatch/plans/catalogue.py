@@ -29,4 +29,4 @@ def query(sql: str | None = None) -> Callable[[Run], Run]:
     return register
 
 
-from tidewatch.plans import attribution_queries, catalogue_queries, fold_queries, pixel_queries, search_queries, series_queries, single_queries  # noqa: E402, F401
+from tidewatch.plans import attribution_queries, candidate_queries, catalogue_queries, fold_queries, pixel_queries, search_queries, series_queries, single_queries  # noqa: E402, F401
