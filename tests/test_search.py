@@ -291,3 +291,31 @@ def test_features_of_series_with_missing_samples(spark, two):
     given = spark.createDataFrame([(3, 1, 2.0, 0.5, 0.3, 0.01, 9.0, 2.0)], "target_id long, round int, period double, epoch double, duration double, depth double, sde double, contrast double")
     got = features.extract(flat, given).first()
     assert got.n_transits == 3 and got.log_scatter is None and got.bls_depth_over_scatter is None and got.flux_skew is None
+
+
+def test_boxes_of_uneven_weights_match_brute_force():
+    """Samples without weight are in boxes and outside; some boxes have all the weight."""
+    rng = np.random.default_rng(11)
+    time, flux, weight = np.sort(rng.uniform(0, 20, 40)), 1 + 0.01 * rng.standard_normal(40), rng.uniform(1, 9, 40)
+    weight[::3] = 0
+    durations, width = [0.5, 0.75, 1.25], 0.125
+    periods = boxsearch.period_grid(20.0, count=60)
+    got = boxsearch.search(time, flux, weight, periods, durations)
+    for i, p in enumerate(periods):
+        turns = int(np.ceil(p / width))
+        bins = np.minimum(((time - np.floor(time / p) * p) / width).astype(int), turns - 1)
+        best = (0.0,)
+        for k in (round(d / width) for d in durations):
+            for start in range(turns if k < turns else 0):
+                box = np.isin(bins, [(start + j) % turns for j in range(k)])
+                w, rest = weight[box].sum(), weight[~box].sum()
+                if box.sum() < 2 or w == 0 or rest == 0:
+                    continue
+                depth = (weight * flux)[~box].sum() / rest - (weight * flux)[box].sum() / w
+                power = round(depth / np.sqrt(1 / w + 1 / rest), 9)
+                if power > best[0]:
+                    best = power, depth, box.sum(), k, start
+        if len(best) == 1:
+            assert np.isnan(got["power"][i])
+        else:
+            assert np.allclose([got[c][i] for c in ("power", "depth", "n", "k", "start")], best, atol=1e-8)

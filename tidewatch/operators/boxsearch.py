@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from tidewatch.operators.series import MAD
 from tidewatch.operators.survey import guarded
 
-#: Elements of a block of trial periods by bins.
-BLOCK = 1 << 20
+#: Elements of a block of trial periods by bins, or by samples.
+BLOCK = 1 << 17
 
 
 def period_grid(baseline: float, shortest: float = 0.5, count: int = 2000, share: float = 0.5, usual: float = 27.4) -> np.ndarray:
@@ -37,46 +37,80 @@ def period_grid(baseline: float, shortest: float = 0.5, count: int = 2000, share
 def search(time: np.ndarray, flux: np.ndarray, weight: np.ndarray, periods: np.ndarray, durations: Sequence[float], per_duration: int = 4) -> dict[str, np.ndarray]:
     """For each period the box of most signal-to-noise: power, depth, error, n, k (bins), start (bin); power is nan where
     no box dips. Bins are a shortest duration over per_duration wide; running sums over the bins, wrapped once, give every
-    box. Ties, to nine digits, go to the shorter box, then the earlier bin. Boxes hold two samples or more, but not all."""
+    box. Ties, to nine digits, go to the shorter box, then the earlier bin. Boxes hold two samples or more, but not all,
+    and neither all of the weight nor none.
+
+    With flux about its weighted mean, a box of weight w and sum s has depth -s W / (w (W - w)) of error sqrt(W / (w (W - w))), and
+    their ratio is -s times the error: a product of two arrays for all boxes; the rest is worked out for the best ones only.
+    """
     width = min(durations) / per_duration
     ks = sorted({round(d / width) for d in durations})
     out = {c: np.full(len(periods), np.nan) for c in ("power", "depth", "error")} | {c: np.zeros(len(periods), np.int64) for c in ("n", "k", "start")}
-    n_all, w_all, s_all = len(time), weight.sum(), (weight * flux).sum()
+    n_all, w_all = len(time), weight.sum()
     if n_all < 3 or not np.isfinite(w_all) or w_all <= 0:
         return out
+    pull = weight * (flux - (weight * flux).sum() / w_all)
+    even = weight.min() == weight.max()
+    # Of samples that weigh the same, the error depends on their number only; 0 where a box does not count.
+    share = np.arange(n_all + 1) * (w_all / n_all)
+    by_number = np.zeros(n_all + 1)
+    by_number[2:n_all] = np.sqrt(w_all / (share[2:n_all] * (w_all - share[2:n_all])))
     turns = np.ceil(periods / width).astype(np.int64)
     order = np.argsort(turns, kind="stable")
+    most = max(1, min(256, BLOCK // n_all))
+    tiled = {name: np.tile(x, min(most, len(order))) for name, x in (("pull", pull), *(() if even else (("weight", weight),)))}
     at = 0
     while at < len(order):
-        # Periods are sorted by their bins, so that a block wastes few.
-        rows = max(1, BLOCK // (int(turns[order[min(at + 255, len(order) - 1)]]) + max(ks)))
-        own = order[at : at + min(rows, 256)]
+        # Periods are sorted by their bins, so that a block wastes few; a block's arrays stay in the cache.
+        rows = max(1, BLOCK // (int(turns[order[min(at + most, len(order)) - 1]]) + max(ks)))
+        own = order[at : at + min(rows, most)]
         at += len(own)
         p, m, t = periods[own][:, None], int(turns[own].max()), turns[own]
-        bins = np.floor((time - np.floor(time / p) * p) / width).astype(np.int64)
-        flat = (np.arange(len(own))[:, None] * m + np.minimum(bins, t[:, None] - 1)).ravel()
-        sums = [np.bincount(flat, None if x is None else np.tile(x, len(own)), len(own) * m).reshape(len(own), m) for x in (None, weight, weight * flux)]
+        line, column = np.arange(len(own)), np.arange(m + max(ks))
+        x = time / p
+        np.floor(x, out=x)
+        x *= p
+        np.subtract(time, x, out=x)
+        x /= width
+        flat = x.astype(np.int64)  # none is negative
+        np.minimum(flat, t[:, None] - 1, out=flat)
+        flat += line[:, None] * m
+        flat = flat.ravel()
         # The first bins once more behind each period's last one.
-        column = np.arange(m + max(ks))
-        source = np.where(column < t[:, None], column, np.minimum(column - t[:, None], m - 1) % t[:, None])
-        sums = [np.concatenate([np.zeros((len(own), 1)), np.cumsum(np.take_along_axis(x, source, 1), axis=1)], axis=1) for x in sums]
-        best = np.full(len(own), -np.inf)
-        line = np.arange(len(own))
+        source = np.where(column < t[:, None], column, np.minimum(column - t[:, None], m - 1) % t[:, None]) + line[:, None] * m
+
+        def running(binned: np.ndarray) -> np.ndarray:
+            sums = np.zeros((len(own), m + max(ks) + 1), binned.dtype)
+            np.cumsum(binned[source], axis=1, out=sums[:, 1:])
+            return sums
+
+        size = len(own) * m
+        count, pulled = running(np.bincount(flat, minlength=size)), running(np.bincount(flat, tiled["pull"][: len(flat)], size))
+        weighed = None if even else running(np.bincount(flat, tiled["weight"][: len(flat)], size))
+        least = int(t.min())
+        behind = np.arange(least, m) >= t[:, None]
+        best = np.zeros(len(own))
         for k in ks:
-            n, w, s = (x[:, k : k + m] - x[:, :m] for x in sums)
-            good = (n >= 2) & (n < n_all - 0.5) & (np.arange(m) < t[:, None]) & (k < t[:, None]) & (w > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                depth = (s_all - s) / (w_all - w) - s / w
-                error = np.sqrt(1 / w + 1 / (w_all - w))
-                power = np.where(good & (depth > 0), depth / error, -np.inf)
-            shown = np.round(power, 9)
-            first = shown.argmax(axis=1)
-            new = shown[line, first] > best
-            best = np.where(new, shown[line, first], best)
-            i, j = own[new], first[new]
-            for c, x in (("power", power), ("depth", depth), ("error", error), ("n", n)):
-                out[c][i] = x[line[new], j]
-            out["k"][i], out["start"][i] = k, j
+            n, power = count[:, k : k + m] - count[:, :m], pulled[:, :m] - pulled[:, k : k + m]
+            if even:
+                power *= by_number[np.minimum(n, n_all)]
+            else:
+                w = weighed[:, k : k + m] - weighed[:, :m]
+                w *= w_all - w
+                # Where all weight is on one side, only rounding is left.
+                sound = (n >= 2) & (n < n_all) & (w > 1e-9 * w_all * w_all)
+                power = np.where(sound, power * np.sqrt(w_all / np.where(sound, w, 1.0)), 0.0)
+            power[:, least:][behind] = 0.0
+            power[k >= t] = 0.0
+            top = np.round(power.max(axis=1), 9)
+            new = np.flatnonzero(top > best)
+            best[new] = top[new]
+            first = (power[new] >= (top[new] - 5e-10)[:, None]).argmax(axis=1)
+            i = own[new]
+            w = n[new, first] * (w_all / n_all) if even else weighed[new, first + k] - weighed[new, first]
+            error = np.sqrt(w_all / (w * (w_all - w)))
+            out["power"][i], out["error"][i], out["depth"][i] = power[new, first], error, power[new, first] * error
+            out["n"][i], out["k"][i], out["start"][i] = n[new, first], k, first
     return out
 
 
