@@ -108,3 +108,32 @@ def test_a_series_that_raises_does_not_end_the_run(spark):
     assert {r.status: r.n for r in survey.summary(survey.with_status(found(True), 20)(rows), "depth").collect()} == {"ok": 2, "error": 1, "short": 1, "nothing": 1, None: 5}
     with pytest.raises(Exception):
         survey.with_status(found(False), 20)(rows).collect()
+
+
+def test_resampled_precision_against_every_row(spark, monkeypatch):
+    """Heavy ties, scores that are no numbers, slices shorter than a tie, and weights drawn one by one."""
+    import hashlib
+    import random
+
+    monkeypatch.setattr(evaluate, "SLICE", 16)
+    rng = random.Random(8)
+    rows = [(f"u{i}", rng.randrange(2), 0.5 if i % 3 == 0 else rng.choice([None, float("nan"), round(rng.random(), 1), rng.random(), rng.random()]), rng.random()) for i in range(700)]
+    found = evaluate.resampled_precision(spark.createDataFrame(rows, "id string, label int, a double, b double"), ["a", "b"], 5, "id").collect()
+    assert len(found) == 10
+    for r in found:
+        drawn = {}
+        for unit, label, a, b in rows:
+            u = int(hashlib.md5(f"0:{r.resample}:{unit}".encode()).hexdigest()[:8], 16) / 2**32
+            s = a if r.ranker == "a" else b
+            s = float("-inf") if s is None or s != s else s
+            weight = sum(u >= c for c in evaluate._POISSON)
+            p, n = drawn.get(s, (0, 0))
+            drawn[s] = p + label * weight, n + weight
+        tp = k = total = 0
+        for s in sorted(drawn, reverse=True):
+            tp, k = tp + drawn[s][0], k + drawn[s][1]
+            total += drawn[s][0] * tp / k if k else 0
+        assert r.positives == tp and abs(r.ap - total / tp) < 1e-12
+    nothing = spark.createDataFrame([], "id string, label int, a double, b double")
+    assert evaluate.resampled_precision(nothing, ["a", "b"], 5, "id").count() == 0
+    assert evaluate.win_rate(nothing.withColumnRenamed("a", "score"), "b", 5, "id").first().n == 0

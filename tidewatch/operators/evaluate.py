@@ -4,27 +4,31 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges of scores that running counts are made in.
 RANGES = 128
+#: Rows of resamples that are summed up at a time.
+SLICE = 1 << 13
 
 
 def _steps(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct scores (of each group of `by`), best first, with counts of positives (p) and of all (n) and running ones (tp, k).
 
-    Scores are cut at quantiles; counts run inside a range, behind the totals of the ranges above it, so that no task
-    sees all scores. The quantiles need not be exact: the counts are. Scores that are null or no numbers come last.
+    Distinct scores are cut at their quantiles; counts run inside a range, behind the totals of the ranges above it, so that no task
+    sees all scores. The quantiles need not be exact: the counts are. One exchange of the distinct scores serves all. Scores that are null or no numbers come last.
     `weight`, if scored has it, says how often a row counts.
     """
     n = F.col("weight") if "weight" in scored.columns else F.lit(1)
     score = F.coalesce(F.nanvl(F.col("score").cast("double"), F.lit(float("-inf"))), F.lit(float("-inf")))
     each = scored.select(*by, score.alias("score"), (F.col("label") * n).alias("p"), n.alias("n")).groupBy(*by, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    cuts = scored.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
+    cuts = each.agg(F.array_distinct(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 1000)).alias("__cuts"))  # a row
     # A range's number falls as its scores rise.
-    number = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: F.col("score") < c)) if cuts else F.lit(0)
-    each = each.withColumn("__r", number)
+    number = F.size(F.filter("__cuts", lambda c: F.col("score") < c))
+    each = each.join(F.broadcast(cuts), F.lit(True)).withColumn("__r", number).drop("__cuts")
     totals = each.groupBy(*by, "__r").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "__r", F.coalesce(F.sum("__p").over(before), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__k"))
@@ -76,33 +80,114 @@ def reweighted_precision(scored: DataFrame, counts: DataFrame, by: str, wanted:
 _POISSON = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975, 0.99999887]
 
 
+def _weight(name: Column) -> Column:
+    """How often a row of this name is drawn."""
+    drawn = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return F.size(F.filter(F.array(*map(F.lit, _POISSON)), lambda c: drawn >= c))
+
+
 def resampled(scored: DataFrame, resamples: int, unit: str, seed: int = 0) -> DataFrame:
     """scored a number of times, with resample (from 0) and weight: how often a row counts there, drawn from a Poisson
     distribution of mean 1, as for drawing with replacement from many. Rows of one unit (a row's id, or its star) are drawn
     together, and alike for all scores that are compared. Rows of weight 0 are left out."""
     rows = scored.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "resample", unit)), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight = F.lit(0)
-    for c in _POISSON:
-        weight = weight + F.when(drawn >= c, 1).otherwise(0)
-    return rows.withColumn("weight", weight).filter("weight > 0")
+    return rows.withColumn("weight", _weight(F.concat_ws(":", F.lit(seed), "resample", unit))).filter("weight > 0")
+
+
+def resampled_precision(scored: DataFrame, scores: list[str], resamples: int, unit: str, seed: int = 0) -> DataFrame:
+    """(ranker, resample, positives, ap): average precision of each score column in each resample of resampled(), without a row a
+    row and resample. Null without positives.
+
+    A row carries its weights as an array of bytes. Scores are cut at quantiles; a range is summed up in a task, a bounded number
+    of rows at a time, once for its totals and once, behind the totals of the ranges above, for its share of the
+    precision. A score that fills ranges by itself is a range of its own, which needs its totals only, and is dealt to many tasks.
+    """
+    def finite(c: str) -> Column:
+        return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(float("-inf"))), F.lit(float("-inf")))
+
+    found = scored.agg(*[F.percentile_approx(finite(c), [i / RANGES for i in range(1, RANGES)], 1000) for c in scores]).first()
+
+    def placed(c: str, cuts: list[float]) -> Column:
+        heavy = sorted({x for x in cuts if cuts.count(x) > 1})
+        above = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: finite(c) < x)) if cuts else F.lit(0)
+        alone = finite(c).isin(heavy) if heavy else F.lit(False)
+        salt = F.when(alone, F.pmod(F.xxhash64(unit), F.lit(RANGES))).otherwise(0)
+        return F.struct(F.lit(c).alias("ranker"), finite(c).alias("score"), (2 * above + alone.cast("int")).alias("r"), salt.cast("int").alias("salt"))
+
+    draws = F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda b: _weight(F.concat_ws(":", F.lit(seed), b.cast("string"), F.col(unit).cast("string"))).cast("byte"))
+    each = F.explode(F.array(*[placed(c, found[i] or []) for i, c in enumerate(scores)])).alias("x")
+    long = scored.select(F.coalesce(F.col("label").cast("double"), F.lit(0.0)).alias("label"), draws.alias("w"), each).select("x.*", "label", "w")
+    key = ["ranker", "r"]
+    lists = pa.list_(pa.float64())
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks().flatten()
+        return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def row(table: pa.Table, **values: np.ndarray) -> pa.Table:
+        return pa.table({c: table.column(c).slice(0, 1) for c in key} | {c: pa.array([v], lists) for c, v in values.items()})
+
+    def totals(table: pa.Table) -> pa.Table:
+        p, n = np.zeros(resamples), np.zeros(resamples)
+        for at in range(0, table.num_rows, SLICE):
+            part = table.slice(at, SLICE)
+            w = matrix(part.column("w")).astype(float)
+            p, n = p + part.column("label").to_numpy() @ w, n + w.sum(axis=0)
+        return row(table, p=p, n=n)
+
+    def offsets(table: pa.Table) -> pa.Table:
+        """The totals of the ranges above each, and what ranges of one score give."""
+        r = table.column("r").to_numpy()
+        own, at = np.unique(r, return_inverse=True)
+        p, n = np.zeros((len(own), resamples)), np.zeros((len(own), resamples))
+        np.add.at(p, at, matrix(table.column("p")))
+        np.add.at(n, at, matrix(table.column("n")))
+        tp, k = p.cumsum(axis=0), n.cumsum(axis=0)
+        gives = np.where((own % 2 == 1)[:, None], p * tp / np.maximum(k, 1), 0.0)
+        rows = {"p": p, "tp": tp - p, "k": k - n, "gives": gives}
+        return pa.table({"ranker": pa.array([table.column("ranker")[0].as_py()] * len(own)), "r": pa.array(own, pa.int32())} | {c: pa.array(list(v), lists) for c, v in rows.items()})
+
+    def shares(rows: pa.Table, before: pa.Table) -> pa.Table:
+        tp, k, gives = (matrix(before.column(c))[0] for c in ("tp", "k", "gives"))
+        order = np.argsort(-rows.column("score").to_numpy(), kind="stable") if rows.num_rows else np.zeros(0, int)
+        at = 0
+        while at < len(order):
+            part = rows.take(order[at : at + SLICE])
+            score = part.column("score").to_numpy()
+            # A slice ends where a score does, but for a score longer than a slice.
+            if at + SLICE < len(order) and score[0] != score[-1]:
+                part = part.slice(0, int(np.searchsorted(-score, -score[-1])))
+            elif score[0] == score[-1]:
+                part = rows.take(order[at : at + int((rows.column("score").to_numpy()[order[at:]] == score[0]).sum())])
+            at += part.num_rows
+            score, label, w = part.column("score").to_numpy(), part.column("label").to_numpy(), matrix(part.column("w")).astype(float)
+            starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+            p, n = np.add.reduceat(w * label[:, None], starts), np.add.reduceat(w, starts)
+            tps, ks = tp + p.cumsum(axis=0), k + n.cumsum(axis=0)
+            gives = gives + (p * tps / np.maximum(ks, 1)).sum(axis=0)
+            tp, k = tps[-1], ks[-1]
+        return row(before, p=matrix(before.column("p"))[0], gives=gives)
+
+    arrays = "p array<double>, {} array<double>"
+    sums = long.groupBy(*key, "salt").applyInArrow(totals, "ranker string, r int, " + arrays.format("n"))
+    before = sums.groupBy("ranker").applyInArrow(offsets, "ranker string, r int, " + arrays.format("tp") + ", k array<double>, gives array<double>")
+    gives = long.filter("r % 2 = 0").groupBy(*key).cogroup(before.groupBy(*key)).applyInArrow(shares, "ranker string, r int, " + arrays.format("gives"))
+    every = gives.select("ranker", F.posexplode(F.arrays_zip("p", "gives")).alias("resample", "x"))
+    out = every.groupBy("ranker", "resample").agg(F.sum("x.p").alias("positives"), F.sum("x.gives").alias("g"))
+    return out.select("ranker", "resample", "positives", F.try_divide("g", "positives").alias("ap"))
 
 
 def bootstrap_interval(scored: DataFrame, resamples: int, unit: str, share: float = 0.68, seed: int = 0) -> DataFrame:
     """(low, high, n): the middle `share` of average precision over resamples with two positives or more, and how many."""
-    drawn = resampled(scored, resamples, unit, seed)
-    enough = drawn.groupBy("resample").agg(F.sum(F.col("label") * F.col("weight")).alias("p")).filter("p >= 2").select("resample")
-    ap = average_precision(drawn, ("resample",)).join(enough, "resample", "left_semi")
+    ap = resampled_precision(scored, ["score"], resamples, unit, seed).filter("positives >= 2")
     return ap.agg(F.percentile("ap", (1 - share) / 2).alias("low"), F.percentile("ap", (1 + share) / 2).alias("high"), F.count("*").alias("n"))
 
 
 def win_rate(scored: DataFrame, other: str, resamples: int, unit: str, seed: int = 0) -> DataFrame:
     """(win_rate, low, high, n): in how many resamples score has a higher average precision than the column `other`, and the
     middle 95 % of the difference."""
-    drawn = resampled(scored, resamples, unit, seed)
-    a = average_precision(drawn, ("resample",)).withColumnRenamed("ap", "a")
-    b = average_precision(drawn.withColumn("score", F.col(other)), ("resample",)).withColumnRenamed("ap", "b")
-    d = a.join(b, "resample").withColumn("d", F.col("a") - F.col("b")).filter("d IS NOT NULL")
+    each = resampled_precision(scored, ["score", other], resamples, unit, seed).groupBy("resample")
+    d = each.agg((F.max(F.when(F.col("ranker") == "score", F.col("ap"))) - F.max(F.when(F.col("ranker") == other, F.col("ap")))).alias("d")).filter("d IS NOT NULL")
     return d.agg(F.avg((F.col("d") > 0).cast("double")).alias("win_rate"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.count("*").alias("n"))
 
 
