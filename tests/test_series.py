@@ -54,3 +54,16 @@ def test_sectors_and_repeated_keys(spark):
     twice = spark.createDataFrame([(1, "a"), (1, "b")], "id int, v string")
     with pytest.raises(Exception, match="repeats"):
         C.unique_left_join(spark.createDataFrame([(1,)], "id int"), twice, ["id"]).collect()
+
+
+def test_robust_rms_drops_what_is_far(spark):
+    rows = [(1, x) for x in (1.0, 1.1, 0.9, 1.05, 0.95, 50.0, None)] + [(2, 3.0), (2, 3.0)] + [(3, None), (4, 0.0)]
+    got = {r.target_id: (r.n, r.kept, round(r.rms, 9)) for r in S.robust_rms(spark.createDataFrame(rows, "target_id long, flux double")).collect()}
+    near = (1.0, 1.1, 0.9, 1.05, 0.95)
+    assert got == {1: (7, 5, round((sum(x * x for x in near) / 5) ** 0.5, 9)), 2: (2, 2, 3.0), 3: (1, 0, 1.0), 4: (1, 1, 1.0)}
+
+
+def test_scatter_of_few_and_unknown_samples(spark):
+    rows = [(1, 2.0), (1, None), (2, None), (3, 1.0), (3, 2.0), (3, 4.0), (3, 9.0)]
+    got = {r.target_id: tuple(r)[1:] for r in S.robust_scatter(spark.createDataFrame(rows, "target_id long, flux double")).collect()}
+    assert got == {1: (2, 2.0, 0.0, 2.0, 2.0), 2: (1, None, None, None, None), 3: (4, 3.0, 1.5 * S.MAD, 1.0, 9.0)}

@@ -23,9 +23,9 @@ def first_of_each_time(series: DataFrame, order: str = "sample_id", key: str = "
 
 
 def normalised(series: DataFrame, key: str = "target_id") -> DataFrame:
-    """flux (and flux_err) over the series' median flux; series whose median is 0 or unknown are left out."""
-    medians = series.groupBy(key).agg(F.median("flux").alias("__m")).filter("__m <> 0")
-    out = series.join(medians, key)
+    """flux (and flux_err) over the series' median flux; series whose median is 0 or unknown, or without a key, are left out. The one exchange
+    is that of the key, so what is grouped by it next needs none."""
+    out = series.filter(F.col(key).isNotNull()).withColumn("__m", F.percentile("flux", 0.5).over(Window.partitionBy(key))).filter("__m <> 0")
     for c in ("flux", "flux_err"):
         if c in series.columns:
             out = out.withColumn(c, F.col(c) / F.col("__m"))
@@ -39,11 +39,36 @@ def segments(series: DataFrame, gap: float, key: str = "target_id") -> DataFrame
     return series.withColumn("__b", breaks).withColumn("segment", F.sum("__b").over(w)).drop("__b")
 
 
+def middle(values: Column) -> Column:
+    """The median of a sorted array; null of an empty one."""
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+
+
+def robust_scatter(series: DataFrame, column: str = "flux", key: str = "target_id") -> DataFrame:
+    """(key, n, median, sigma, lowest, highest): n counts all samples, the others pass over nulls. sigma is 1.4826 times the median
+    absolute deviation. A series is sorted once as an array and its deviations once more: one exchange, and no join back."""
+    values = series.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.col(column).cast("double"))).alias("__v"))
+    known = values.select(key, "n", "__v", middle(F.col("__v")).alias("median"))
+    away = F.sort_array(F.transform("__v", lambda x: F.abs(x - F.col("median"))))
+    return known.select(key, "n", "median", (middle(away) * MAD).alias("sigma"), F.get("__v", F.lit(0)).alias("lowest"), F.get("__v", F.size("__v") - 1).alias("highest"))
+
+
 def robust_sigma(series: DataFrame, column: str = "flux", key: str = "target_id") -> DataFrame:
-    """(key, n, median, sigma): 1.4826 times the median absolute deviation, in two levels."""
-    medians = series.groupBy(key).agg(F.median(column).alias("median"))
-    away = F.abs(F.col(column) - F.col("median"))
-    return series.join(medians, key).groupBy(key).agg(F.count("*").alias("n"), F.first("median").alias("median"), (F.median(away) * MAD).alias("sigma"))
+    """(key, n, median, sigma) of robust_scatter."""
+    return robust_scatter(series, column, key).drop("lowest", "highest")
+
+
+def robust_rms(series: DataFrame, column: str = "flux", clip: float = 5.0, key: str = "target_id") -> DataFrame:
+    """(key, n, kept, rms): the root mean square of the values within `clip` robust sigmas of their median; of all where sigma is 0, and
+    1 where that is 0 or nothing is known. The median only decides what to drop: the mean square is a level of less scatter."""
+    values = series.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.col(column).cast("double"))).alias("__v")).withColumn("__m", middle(F.col("__v")))
+    away = F.sort_array(F.transform("__v", lambda x: F.abs(x - F.col("__m"))))
+    spread = values.withColumn("__s", middle(away) * MAD)
+    kept = F.filter("__v", lambda x: ~(F.col("__s") > 0) | (F.abs(x - F.col("__m")) <= clip * F.col("__s")))
+    squares = F.aggregate("__k", F.lit(0.0), lambda total, x: total + x * x)
+    rms = F.sqrt(F.try_divide(squares, F.size("__k")))
+    return spread.withColumn("__k", kept).select(key, "n", F.size("__k").cast("long").alias("kept"), F.when(rms > 0, rms).otherwise(1.0).alias("rms"))
 
 
 def steps(series: DataFrame, key: str = "target_id") -> DataFrame:

@@ -24,10 +24,10 @@ WHERE s > 0 ORDER BY w / s DESC, s.target_id LIMIT 20""")
 def top_deviant_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 series whose largest deviation from the median is most robust sigmas."""
     f = S.normalised(S.finite(event_series(spark, sf_dir)))
-    s = S.robust_sigma(f)
-    far = f.join(s, "target_id").groupBy("target_id").agg(F.max(F.abs(F.col("flux") - F.col("median"))).alias("w"), F.first("n").alias("n"), F.first("sigma").alias("s"))
+    s = S.robust_scatter(f).filter("sigma > 0")
     g = S.segments(f, GAP).groupBy("target_id").agg((F.max("segment") + 1).alias("n_segments"))
-    out = far.join(g, "target_id").filter("s > 0").orderBy(F.desc(F.col("w") / F.col("s")), "target_id").limit(20)
+    far = F.greatest(F.col("highest") - F.col("median"), F.col("median") - F.col("lowest"))
+    out = s.withColumns({"w": far, "s": F.col("sigma")}).join(g, "target_id").orderBy(F.desc(F.col("w") / F.col("s")), "target_id").limit(20)
     return out.select("target_id", F.col("n").alias("n_samples"), "n_segments", F.round("s", 6).alias("sigma"), F.round(F.col("w") / F.col("s"), 6).alias("deviation"))
 
 
@@ -57,6 +57,12 @@ def robust_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.robust_sigma(S.normalised(_events(spark, sf_dir))).select("target_id", "n", F.round("sigma", 6).alias("sigma"))
 
 
+@query(f"""WITH {N}, c AS (SELECT target_id, median(flux) AS c, count(*) AS n FROM f GROUP BY 1), s AS (SELECT f.target_id, any_value(c) AS c, any_value(n) AS n, median(abs(flux - c)) * 1.4826 AS s FROM f JOIN c ON c.target_id = f.target_id GROUP BY 1)
+SELECT f.target_id, any_value(n)::BIGINT AS n, count(*)::BIGINT AS kept, round(sqrt(avg(flux * flux)), 6) AS rms FROM f JOIN s ON s.target_id = f.target_id WHERE abs(flux - c) <= 2 * s GROUP BY 1""")
+def robust_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.robust_rms(S.normalised(_events(spark, sf_dir)), clip=2.0).withColumn("rms", F.round("rms", 6))
+
+
 @query(f"""WITH {N}, d AS (SELECT target_id, flux - lag(flux) OVER (PARTITION BY target_id ORDER BY time) AS d FROM f), c AS (SELECT target_id, median(d) AS c FROM d GROUP BY 1)
 SELECT d.target_id, CASE WHEN count(d) >= 2 THEN round(median(abs(d - c)) * 1.4826 / sqrt(2), 6) END AS sigma FROM d JOIN c ON c.target_id = d.target_id WHERE d IS NOT NULL GROUP BY 1""")
 def p2p_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
