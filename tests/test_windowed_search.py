@@ -63,3 +63,25 @@ def test_window_longer_than_the_series_is_a_plain_search():
     got = windowed.windowed(t, f, w, [0.3], 400.0)
     plain = boxsearch.search(t, f, w, boxsearch.period_grid(float(t[-1] - t[0])), [0.3])
     assert got["sde"] == pytest.approx(boxsearch.efficiency(plain["power"])) and abs(got["period"] / 5.0 - 1) < 0.01
+
+
+def test_trials_together_are_those_one_by_one_and_take_three_searches(monkeypatch):
+    """The window, all trials about all candidates and pairs, and the winner: three searches a series, however many trials."""
+    rng = np.random.default_rng(8)
+    t = np.sort(rng.uniform(0, 30, 70))
+    f = 1 + rng.normal(0, 0.1, 70) - 0.8 * (np.abs((t - 1.3) % 5.3) < 0.8)
+    w = np.full(70, 1 / f.var())
+    p, e, d = rng.uniform(2.5, 7.5, 50), rng.uniform(0, 5, 50), rng.choice([0.5, 1.0], 50)
+    score, events = windowed.all_without_strongest(t, f, w, p, e, d)
+    for i in range(50):
+        x = (t - e[i] + p[i] / 2) % p[i] - p[i] / 2
+        inside, number = np.abs(x) < d[i] / 2, np.rint((t - e[i]) / p[i])
+        base = np.mean(f[~inside & (np.abs(np.abs(x) - p[i] / 2) >= d[i] / 2)])
+        names = np.unique(number[inside])
+        assert events[i] == len(names)
+        others = [inside & (number != k) for k in names]
+        assert len(names) < 2 and np.isnan(score[i]) or score[i] == pytest.approx(min((base - f[o]).sum() * np.sqrt(w[0]) / np.sqrt(o.sum()) for o in others if o.any()), abs=1e-9)
+    searches, plain = [], windowed.search
+    monkeypatch.setattr(windowed, "search", lambda *a: searches.append(len(a[3])) or plain(*a))
+    assert windowed.windowed(t, f, w, [0.5, 0.75, 1.0], 15.0, 3, np.geomspace(1.5, 7.5, 200), dips.Rules(threshold=2.0))["period"] > 0
+    assert len(searches) == 3 and searches[1] > 50

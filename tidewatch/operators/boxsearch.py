@@ -130,15 +130,22 @@ def contrast(periods: np.ndarray, power: np.ndarray) -> float:
     return float(power[top] / power[apart].max()) if apart.any() else np.nan
 
 
+#: Times which a period is one of the same signal.
+SAME = np.array([1.0, 1 / 2, 2.0, 1 / 3, 3.0])
+
+
 def distinct_peaks(periods: np.ndarray, power: np.ndarray, k: int, within: float = 0.01) -> list[int]:
     """Places of the k strongest periods that are different signals: none within a share of another, its half, third,
     double or triple."""
+    order = np.argsort(-np.nan_to_num(power, nan=-np.inf), kind="stable")
+    order = order[np.isfinite(power[order])]
     taken: list[int] = []
-    for i in np.argsort(-np.nan_to_num(power, nan=-np.inf), kind="stable"):
-        if len(taken) == k or not np.isfinite(power[i]):
-            break
-        if all(abs(periods[i] / periods[j] / a - 1) >= within for j in taken for a in (1, 1 / 2, 2, 1 / 3, 3)):
-            taken.append(int(i))
+    # Places that an earlier one rules out go all together; what comes first of the others is the next.
+    while len(order) and len(taken) < k:
+        first, order = int(order[0]), order[1:]
+        taken.append(first)
+        ratio = periods[order] / periods[first]
+        order = order[(np.abs(ratio / SAME[:, None] - 1) >= within).all(axis=0)]
     return taken
 
 

@@ -16,6 +16,12 @@ def finite(series: DataFrame, *columns: str) -> DataFrame:
     return series
 
 
+def dealt(series: DataFrame, key: str = "target_id") -> DataFrame:
+    """series dealt by key over as many tasks as a shuffle has, of which Spark merges none. Spark merges tasks by their bytes, down to
+    about one a core; where a search of a series costs far more than its bytes, one task too many would then double the time."""
+    return series.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def first_of_each_time(series: DataFrame, order: str = "sample_id", key: str = "target_id") -> DataFrame:
     """One sample a time of a series: the first in `order`."""
     first = F.row_number().over(Window.partitionBy(key, "time").orderBy(order))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,12 +183,13 @@ def minimum_periods(events: DataFrame, series: DataFrame, rules: dips.Rules = di
     names = [c for c in events.columns if c != "minimum_period"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.select(*names).schema)
 
-    def run(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        s = s[np.isfinite(s["time"]) & np.isfinite(s["flux"])].sort_values("time")
-        own = dips.Series(s["time"].to_numpy(), s["flux"].to_numpy())
-        each = e[["time", "duration", "depth"]].itertuples(index=False, name=None)
-        found = [dips.shortest_period(own, *x, max(shortest, 2 * x[1]), max(own.step / 4, step), rules) if len(s) else None for x in each]
-        return e.assign(minimum_period=pd.Series(found, index=e.index, dtype="float64"))
+    def run(rows: pa.Table, e: pa.Table) -> pa.Table:
+        found: list[float | None] = [None] * e.num_rows
+        own = _ordered(rows) if rows.num_rows and e.num_rows else None
+        if own is not None and len(own.time):
+            each = zip(*(e.column(c).to_numpy(zero_copy_only=False).astype(float).tolist() for c in ("time", "duration", "depth")), strict=True)
+            found = [dips.shortest_period(own, *x, max(shortest, 2 * x[1]), max(own.step / 4, step), rules) for x in each]
+        return e.append_column("minimum_period", pa.array(found, pa.float64()))
 
     both = series.select(key, "time", "flux").groupBy(key).cogroup(events.select(*names).groupBy(key))
-    return both.applyInPandas(run, f"{kinds}, minimum_period double")
+    return both.applyInArrow(run, f"{kinds}, minimum_period double")

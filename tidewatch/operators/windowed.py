@@ -23,24 +23,49 @@ def densest(time: np.ndarray, length: float) -> tuple[float, float]:
     return start, start + length
 
 
+#: Elements of a block of trials by samples.
+BLOCK = 1 << 17
+
+
 def without_strongest(time: np.ndarray, flux: np.ndarray, weight: np.ndarray, period: float, epoch: float, duration: float) -> tuple[float, int]:
     """Signal-to-noise of the mean depth with the event that adds most to it left out, and the number of events with samples;
     nan with fewer than two. The baseline leaves out the boxes at phase 0 and at half the period."""
-    shift = time - epoch + period / 2
-    x = shift - period * np.floor(shift / period) - period / 2
-    other = np.abs(np.abs(x) - period / 2) < duration / 2
-    inside = np.abs(x) < duration / 2
-    number, place = np.unique(np.rint((time[inside] - epoch) / period), return_inverse=True)
-    outside = ~inside & ~other
-    if len(number) < 2 or not weight[outside].sum() > 0:
-        return np.nan, len(number)
-    base = (weight * flux)[outside].sum() / weight[outside].sum()
-    w = np.bincount(place, weight[inside])
-    d = np.bincount(place, (weight * (base - flux))[inside])
-    left = w.sum() - w
+    score, events = all_without_strongest(time, flux, weight, *(np.array([x]) for x in (period, epoch, duration)))
+    return float(score[0]), int(events[0])
+
+
+def all_without_strongest(time: np.ndarray, flux: np.ndarray, weight: np.ndarray, periods: np.ndarray, epochs: np.ndarray, durations: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """without_strongest() of many trials, blocks of them at a time."""
+    pieces = range(0, len(periods), max(1, BLOCK // max(1, len(time))))
+    made = [_without_strongest(time, flux, weight, *(x[at : at + pieces.step, None] for x in (periods, epochs, durations))) for at in pieces]
+    return tuple(np.concatenate([m[i] for m in made]) if made else np.zeros(0) for i in (0, 1))
+
+
+def _without_strongest(time: np.ndarray, flux: np.ndarray, weight: np.ndarray, p: np.ndarray, epoch: np.ndarray, duration: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = len(p)
+    shift = time - epoch
+    x = shift + p / 2
+    x = np.abs(x - p * np.floor(x / p) - p / 2)
+    inside = x < duration / 2
+    outside = ~(inside | (np.abs(x - p / 2) < duration / 2))
+    line, sample = np.nonzero(inside)
+    # Samples in boxes come by trial, then time: an event is a run of one number.
+    number = np.rint(shift[line, sample] / p[line, 0])
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (number[1:] != number[:-1])
+    place, of = np.cumsum(new) - 1, line[new]
+    events = np.bincount(of, minlength=rows)
+    free = np.where(outside, weight, 0.0)
+    level = free.sum(axis=1)
+    base = (free * flux).sum(axis=1) / np.where(level > 0, level, 1.0)
+    w = np.bincount(place, weight[sample], len(of))
+    d = np.bincount(place, weight[sample] * (base[line] - flux[sample]), len(of))
+    left = np.bincount(of, w, rows)[of] - w
     with np.errstate(divide="ignore", invalid="ignore"):
-        snr = np.where(left > 0, (d.sum() - d) / np.sqrt(left), np.nan)
-    return (float(np.nanmin(snr)) if np.isfinite(snr).any() else np.nan), len(number)
+        snr = np.where(left > 0, (np.bincount(of, d, rows)[of] - d) / np.sqrt(left), np.inf)
+    score = np.full(rows, np.inf)
+    np.minimum.at(score, of, snr)
+    return np.where((events >= 2) & (level > 0) & np.isfinite(score), score, np.nan), events
 
 
 def windowed(time: np.ndarray, flux: np.ndarray, weight: np.ndarray, durations: Sequence[float], window: float, candidates: int = 10, grid: Sequence[float] | None = None, pairs: dips.Rules | None = None, shortest_pair: float = 2.0, per_duration: int = 4) -> dict | None:
@@ -66,29 +91,41 @@ def windowed(time: np.ndarray, flux: np.ndarray, weight: np.ndarray, durations:
     fine = min(float(np.log(whole[1] / whole[0])), step) if grid is None else step
     longest = float(max(whole[-1], coarse.max()))
 
-    def at(result: dict, i: int) -> tuple[float, float]:
-        """Epoch and duration of the best box of a trial period."""
+    def at(result: dict, i: int | slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Epoch and duration of the best box of a trial period, or of several."""
         duration = result["k"][i] * width
         return result["start"][i] * width + duration / 2, duration
 
-    def refined(centre: float, duration: float) -> tuple[float, float, float, int] | None:
-        n = int(np.ceil(max(duration / 2 / window, 2 * step) / fine))
-        near = centre * np.exp(fine * np.arange(-n, n + 1))
-        near = near[(near >= coarse.min()) & (near <= longest)]
-        best = None
-        if len(near):
-            result = search(time, flux, weight, near, durations, per_duration)
-            for i in np.flatnonzero(np.isfinite(result["power"])):
-                score, events = without_strongest(time, flux, weight, near[i], *at(result, i))
-                if np.isfinite(score) and (best is None or score > best[0]):
-                    best = score, float(near[i]), centre, events
-        return best
+    def refined(trials: list[tuple[float, float]]) -> list[tuple[float, float, float, int] | None]:
+        """(score, period, centre, events) of the best period about the centre of each trial (period, duration), or None: one
+        search of all their periods."""
+        near = []
+        for centre, duration in trials:
+            n = int(np.ceil(max(duration / 2 / window, 2 * step) / fine))
+            periods = centre * np.exp(fine * np.arange(-n, n + 1))
+            near.append(periods[(periods >= coarse.min()) & (periods <= longest)])
+        every = np.concatenate(near) if near else np.zeros(0)
+        if not len(every):
+            return [None] * len(trials)
+        result = search(time, flux, weight, every, durations, per_duration)
+        scores, events = all_without_strongest(time, flux, weight, every, *at(result, slice(None)))
+        scores = np.where(np.isfinite(result["power"]) & np.isfinite(scores), scores, -np.inf)
+        out, first = [], 0
+        for (centre, _), own in zip(trials, near, strict=True):
+            i = first + int(np.argmax(scores[first : first + len(own)])) if len(own) else 0
+            out.append((float(scores[i]), float(every[i]), centre, int(events[i])) if len(own) and np.isfinite(scores[i]) else None)
+            first += len(own)
+        return out
 
     padded = np.concatenate([[-np.inf], np.nan_to_num(power, nan=-np.inf), [-np.inf]])
     local = (padded[1:-1] >= padded[:-2]) & (padded[1:-1] >= padded[2:])
-    scored = [(without_strongest(t, f, w, coarse[i], *at(found, i))[0], i) for i in distinct_peaks(coarse, np.where(local, power, np.nan), len(coarse))]
+    peaks = np.array(distinct_peaks(coarse, np.where(local, power, np.nan), len(coarse)), int)
+    epochs, lengths = at(found, peaks)
+    scored = zip(all_without_strongest(t, f, w, coarse[peaks], epochs, lengths)[0].tolist(), peaks.tolist(), strict=True)
     ranked = sorted([x for x in scored if np.isfinite(x[0])], key=lambda x: (-x[0], x[1]))[:candidates]
-    tried = [r for _, i in ranked for a in (1.0, 0.5, 2.0) if (r := refined(coarse[i] * a, at(found, i)[1]))]
+    trials = [(float(coarse[i]) * a, float(at(found, i)[1])) for _, i in ranked for a in (1.0, 0.5, 2.0)]
+    alone = len(trials)
+    of_pairs: list[range] = []
     if pairs is not None and len(time) >= 20:
         s = dips.Series(time, flux)
         events = sorted([e for e in (dips.found_dips(s, durations, pairs) if s.sigma > 0 else []) if not e["ramp"]], key=lambda e: e["time"])
@@ -97,11 +134,17 @@ def windowed(time: np.ndarray, flux: np.ndarray, weight: np.ndarray, durations:
                 if dips.alike(a, b):
                     length = (a["duration"] + b["duration"]) / 2
                     most = int((b["time"] - a["time"]) // shortest_pair)
-                    of_pair = [r for _, p in dips.allowed_periods(s, a["time"], b["time"], length, (a["depth"] + b["depth"]) / 2, shortest_pair, most, pairs) if (r := refined(p, length))]
-                    if of_pair:
-                        events_seen = max(r[3] for r in of_pair)
-                        alike = [r for r in of_pair if r[3] == events_seen]
-                        tried.append(min(alike, key=lambda r: r[1]) if events_seen <= 2 else max(alike, key=lambda r: r[0]))
+                    own = [(p, length) for _, p in dips.allowed_periods(s, a["time"], b["time"], length, (a["depth"] + b["depth"]) / 2, shortest_pair, most, pairs)]
+                    of_pairs.append(range(len(trials), len(trials) + len(own)))
+                    trials += own
+    results = refined(trials)
+    tried = [r for r in results[:alone] if r]
+    for own in of_pairs:
+        of_pair = [r for r in (results[i] for i in own) if r]
+        if of_pair:
+            events_seen = max(r[3] for r in of_pair)
+            alike = [r for r in of_pair if r[3] == events_seen]
+            tried.append(min(alike, key=lambda r: r[1]) if events_seen <= 2 else max(alike, key=lambda r: r[0]))
     if tried:
         score, period, _, events = max(tried, key=lambda r: (r[0], -r[1]))
         result, i = search(time, flux, weight, np.array([period]), durations, per_duration), 0
@@ -110,7 +153,7 @@ def windowed(time: np.ndarray, flux: np.ndarray, weight: np.ndarray, durations:
         period = float(coarse[i])
     epoch, duration = at(result, i)
     return {
-        "period": period, "epoch": epoch, "duration": duration, "depth": float(result["depth"][i]), "power": float(result["power"][i]), "score": score, "n_events": events, "sde": efficiency(power, min(10, len(coarse))),
+        "period": period, "epoch": float(epoch), "duration": float(duration), "depth": float(result["depth"][i]), "power": float(result["power"][i]), "score": score, "n_events": events, "sde": efficiency(power, min(10, len(coarse))),
         "contrast": contrast(coarse, power), "window_start": start, "window_end": stop,
     }
 

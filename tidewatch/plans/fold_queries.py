@@ -24,6 +24,11 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.normalised(S.finite(event_series(spark, sf_dir)))
 
 
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_series() for searches, which cost far more than the bytes of a series."""
+    return S.normalised(S.dealt(S.finite(event_series(spark, sf_dir)).filter("target_id IS NOT NULL")))
+
+
 def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -116,7 +121,7 @@ def red_noise_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def box_search_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best boxes over each series' own grid of 2,000 periods or more: too many for SQL; the test holds the search
     against brute force off the grid of box_search_grid."""
-    return boxsearch.signals(_series(spark, sf_dir), None, DURATIONS).drop("round")
+    return boxsearch.signals(_searched(spark, sf_dir), None, DURATIONS).drop("round")
 
 
 V = {"global": (P / 2, 20, P / 20), "local": (3.5, 12, 0.8), "odd": (3.5, 12, 0.8), "even": (3.5, 12, 0.8), "secondary": (3.5, 12, 0.8)}

@@ -12,7 +12,7 @@ from tidewatch.functions import physics as X
 from tidewatch.operators import boxsearch, detrend, dips, features, fold, ranking, store, survey, windowed
 from tidewatch.operators import series as S
 from tidewatch.plans.catalogue import query
-from tidewatch.plans.fold_queries import DURATIONS, PERIODS, POWERS, D, P, T0, _rounded, _series
+from tidewatch.plans.fold_queries import DURATIONS, PERIODS, POWERS, D, P, T0, _rounded, _searched, _series
 from tidewatch.plans.series_queries import E
 from tidewatch.sources.tables import event_series, shared_dir
 from tidewatch.streaming import series as live
@@ -41,20 +41,20 @@ def signal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def full_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features; the test of the operator holds them against a brute-force version."""
-    f = _series(spark, sf_dir)
+    f = _searched(spark, sf_dir)
     return features.extract(f, boxsearch.signals(f, PERIODS, DURATIONS, floor=5))
 
 
 @query()
 def flattened_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events are sparse: knots 20 days apart, gaps of 5 days."""
-    return detrend.flattened(S.finite(event_series(spark, sf_dir)), spacing=20.0, gap=5.0, least=32)
+    return detrend.flattened(S.dealt(S.finite(event_series(spark, sf_dir))), spacing=20.0, gap=5.0, least=32)
 
 
 @query()
 def flattened_around_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As flattened_series, and again with the events of a signal kept out of the fit, of half the efficiency asked of dense series."""
-    return detrend.flattened_around_signal(S.finite(event_series(spark, sf_dir)), PERIODS, DURATIONS, spacing=20.0, gap=5.0, least=32, threshold=2.5, floor=5)
+    return detrend.flattened_around_signal(S.dealt(S.finite(event_series(spark, sf_dir))), PERIODS, DURATIONS, spacing=20.0, gap=5.0, least=32, threshold=2.5, floor=5)
 
 
 @query()
@@ -64,13 +64,13 @@ def periodogram_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def signals_one_after_another(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.iterative_search(_series(spark, sf_dir), PERIODS, DURATIONS, threshold=1.5, rounds=2, least=20, floor=5)
+    return features.iterative_search(_searched(spark, sf_dir), PERIODS, DURATIONS, threshold=1.5, rounds=2, least=20, floor=5)
 
 
 def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored features of all series, every other one with dips put in (label 1)."""
     has = F.col("target_id") % 2 == 0
-    f = _series(spark, sf_dir).withColumn("flux", F.when(has, F.col("flux") * (1 - X.trapezoid(F.col("time"), P, T0, 0.8, D, 0.8))).otherwise(F.col("flux")))
+    f = _searched(spark, sf_dir).withColumn("flux", F.when(has, F.col("flux") * (1 - X.trapezoid(F.col("time"), P, T0, 0.8, D, 0.8))).otherwise(F.col("flux")))
     rows = features.extract(f, boxsearch.signals(f, PERIODS, DURATIONS, floor=5)).withColumn("label", (F.col("target_id") % 2 == 0).cast("int"))
     rows.write.parquet(kept := f"{shared_dir(spark)}/ranked-features-{uuid.uuid4().hex}")
     return spark.read.schema(rows.schema).parquet(kept)
@@ -123,14 +123,14 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dip every 5.3 days put into all series, found from the densest 15 of their 30 days and by pairs of dips; tests hold
     the operator against brute force and planted signals."""
-    f = _series(spark, sf_dir).withColumn("flux", F.col("flux") * (1 - X.trapezoid(F.col("time"), 5.3, T0, 0.8, D, 0.8)))
+    f = _searched(spark, sf_dir).withColumn("flux", F.col("flux") * (1 - X.trapezoid(F.col("time"), 5.3, T0, 0.8, D, 0.8)))
     return windowed.windowed_search(f, DURATIONS, 15.0, candidates=3, grid=np.geomspace(1.5, 7.5, 200), pairs=dips.Rules(threshold=2.0))
 
 
 @query()
 def flattened_with_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As flattened_series, with harmonics of a period between 1 and 10 days where they help."""
-    return detrend.flattened(S.finite(event_series(spark, sf_dir)), spacing=20.0, gap=5.0, least=32, rotation=(1.0, 10.0))
+    return detrend.flattened(S.dealt(S.finite(event_series(spark, sf_dir))), spacing=20.0, gap=5.0, least=32, rotation=(1.0, 10.0))
 
 
 LEAST = 60
