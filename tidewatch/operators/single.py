@@ -101,6 +101,23 @@ def strongest_events(scan: DataFrame, threshold: float = 7.5, most: int = 4, key
     return out.select(key, (F.col("rank") + 1).alias("rank"), "e.time", "e.duration", "e.depth", "e.n", "e.snr")
 
 
+def scanned_events(
+    series: DataFrame, durations: Sequence[float], threshold: float = 7.5, most: int = 4, rules: dips.Rules = dips.Rules(), limits: dips.Rules | None = None, shortest: float = 0.5, step: float = 0.002, key: str = "target_id",
+) -> DataFrame:
+    """strongest_events() of box_scan() in one pass over a series, of which only the chosen boxes leave the task; with `limits`
+    also their minimum_periods() under those rules, in the same pass."""
+
+    def run(s: dips.Series) -> dict[str, pa.Array]:
+        found = dips.strongest_boxes(s, durations, threshold, most, rules)
+        cells = [pa.array([e[i] for e in found], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()))]
+        made = {"rank": pa.array(range(1, len(found) + 1), pa.int32())} | dict(zip(("time", "duration", "depth", "n", "snr"), cells, strict=True))
+        if limits is not None:
+            made["minimum_period"] = pa.array([dips.shortest_period(s, *e[:3], max(shortest, 2 * e[1]), max(s.step / 4, step), limits) for e in found], pa.float64())
+        return made
+
+    return _per_series(series, run, f"rank int, time double, duration double, depth double, n bigint, snr double{', minimum_period double' if limits is not None else ''}", key)
+
+
 def like_pairs(events: DataFrame, ratio: float = 1.6, sigmas: float = 3.0, share: float = 0.2, key: str = "target_id") -> DataFrame:
     """(key, first, second, duration, depth): pairs of dips of a series whose depths are within `sigmas` errors and a share of
     their mean, and whose durations are within `ratio`; with the means of both.

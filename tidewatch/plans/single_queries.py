@@ -151,8 +151,7 @@ def single_near_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def single_minimum_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every grid period of every event against every sample; the test holds the operator against brute force."""
-    f = _searched(spark, sf_dir)
-    return single.minimum_periods(single.strongest_events(single.box_scan(f, DURATIONS), 1.0), f)
+    return single.scanned_events(_searched(spark, sf_dir), DURATIONS, 1.0, limits=dips.Rules(coverage=0.0))
 
 
 STAR = """s AS (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 AND c_acctbal > 0 THEN c_acctbal::DOUBLE END AS t, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 50 > 0 THEN c_custkey % 50 / 10.0::DOUBLE END AS d,
