@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,88 @@ def make_views(series: DataFrame, signals: DataFrame, global_bins: int = 2001, l
     return filled.withColumn("__depth", depth).select(key, "view", "bin", (F.col("value") / F.col("__depth")).alias("value"))
 
 
+def views_of(
+    time: np.ndarray, flux: np.ndarray, period: np.ndarray, epoch: np.ndarray, duration: np.ndarray, global_bins: int = 2001, local_bins: int = 201, durations: float = 4.0, bin_width: float = 0.16, mask: float = 1.0
+) -> tuple[np.ndarray, np.ndarray]:
+    """The views of one series at several signals, as make_views() gives them: (places of the signals that have samples near
+    their dip, values), a row of all views' bins, in the order of NAMES, for each. Signals that are not sound have none."""
+    y = flux - 1
+
+    def folded(t0: np.ndarray) -> np.ndarray:
+        shifted = time - t0[:, None] + p[:, None] / 2
+        return shifted - p[:, None] * np.floor(shifted / p[:, None]) - p[:, None] / 2
+
+    with np.errstate(invalid="ignore"):
+        sound = np.flatnonzero((period > 0) & (duration > 0) & ~np.isnan(epoch))
+    p, e, d = period[sound], epoch[sound], duration[sound]
+    half = np.minimum(durations * d, p / 2)
+    x, h = folded(e), folded(e + p / 2)
+    has = (np.abs(x) < half[:, None]).any(axis=1)
+    sound, p, e, d, half, x, h = (a[has] for a in (sound, p, e, d, half, x, h))
+    n, sizes = len(sound), np.array([global_bins, *[local_bins] * 4])
+    start = np.cumsum(sizes) - sizes
+    total = int(sizes.sum())
+    if not n:
+        return sound, np.zeros((0, total))
+    odd = np.mod(np.rint((time - e[:, None]) / p[:, None]), 2) == 1
+    cells, values = [], []
+
+    def deal(at: np.ndarray, reach: np.ndarray, bins: int, width: np.ndarray, first: np.ndarray | int) -> None:
+        step = 2 * reach / bins
+        low = np.maximum(np.ceil((at - width / 2 + reach) / step - 0.5), 0).astype(np.int64)
+        high = np.minimum(np.floor((at + width / 2 + reach) / step - 0.5), bins - 1).astype(np.int64)
+        count = np.maximum(high - low + 1, 0)
+        line, sample = np.nonzero(count)
+        many = count[line, sample]
+        ends = np.cumsum(many)
+        bin_ = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many - low[line, sample], many)
+        cells.append(np.repeat(line * total + np.broadcast_to(first, at.shape)[line, sample], many) + bin_)
+        values.append(np.repeat(y[sample], many))
+
+    local = half[:, None], local_bins, bin_width * d[:, None]
+    deal(x, p[:, None] / 2, global_bins, p[:, None] / global_bins, 0)
+    deal(x, *local, start[1])
+    deal(x, *local, np.where(odd, start[2], start[3]))
+    deal(h, *local, start[4])
+    cell, value = np.concatenate(cells), np.concatenate(values)
+    order = np.lexsort((value, cell))
+    cell, value = cell[order], value[order]
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
+    size = np.diff(np.r_[first, len(cell)])
+    m = np.full(n * total, np.nan)
+    m[cell[first]] = (value[first + (size - 1) // 2] + value[first + size // 2]) / 2
+    m = m.reshape(n, total)
+
+    def middle_of(v: np.ndarray, own: np.ndarray) -> np.ndarray:
+        ordered, k, line = np.sort(np.where(own, v, np.inf), axis=1), own.sum(axis=1), np.arange(n)
+        return np.where(k > 0, (ordered[line, np.maximum(k - 1, 0) // 2] + ordered[line, k // 2]) / 2, np.nan)
+
+    outside = np.abs(x) > mask * d[:, None]
+    level = np.nan_to_num(middle_of(np.broadcast_to(y, x.shape), outside), nan=0.0)
+    scatter = middle_of(np.abs(y - level[:, None]), outside) * MAD
+    out = np.empty((n, total))
+    for v, bins in zip(start, sizes, strict=True):
+        own, place = m[:, v : v + bins], np.arange(bins)
+        known = ~np.isnan(own)
+        before = np.maximum.accumulate(np.where(known, place, -1), axis=1)
+        after = np.minimum.accumulate(np.where(known, place, bins)[:, ::-1], axis=1)[:, ::-1]
+        a, b = (np.take_along_axis(own, np.clip(i, 0, bins - 1), axis=1) for i in (before, after))
+        a, b = np.where(before < 0, b, a), np.where(after == bins, a, b)
+        gap = after - before
+        line = a + (b - a) * np.where((gap > 0) & (before >= 0) & (after < bins), (place - before) / np.maximum(gap, 1), 0.0)
+        filled = np.where(known, own, line)
+        out[:, v : v + bins] = np.where(np.isnan(filled), level[:, None], filled) - level[:, None]
+    deepest = out[:, start[1] : start[1] + local_bins].min(axis=1)
+    depth = np.where(deepest < 0, -deepest, np.where(scatter > 0, scatter, 1.0))
+    return sound, out / depth[:, None]
+
+
+def view_places(global_bins: int = 2001, local_bins: int = 201, **_: float) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the view, bin) of each value in a row of views_of()."""
+    sizes = [global_bins, *[local_bins] * 4]
+    return np.repeat(np.arange(5, dtype=np.int32), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+
+
 def as_arrays(views: DataFrame, key: str = "target_id") -> DataFrame:
     """(key, global, local, odd, even, secondary): the views of a series as arrays of float."""
     each = views.groupBy(key, "view").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "value"))), lambda x: x["value"].cast("float")).alias("a"))

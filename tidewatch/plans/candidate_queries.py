@@ -158,4 +158,4 @@ def catalogued_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short views of every candidate of a star that has a series: a star's own candidates are masked together."""
     o = table(spark, sf_dir, "orders")
     rows = o.select(F.col("o_custkey").alias("target_id"), F.col("o_orderkey").alias("candidate"), (F.col("o_totalprice") / 50000 + 2).alias("period"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86_400_000_000.0).alias("epoch"), (F.col("o_orderkey") % 12 * 4).alias("hours"))
-    return K.candidate_views(S.finite(event_series(spark, sf_dir)), K.ephemerides(rows), "candidate", spacing=20.0, gap=5.0, least=32, global_bins=20, local_bins=5, bin_width=1.6)
+    return K.candidate_views(S.dealt(S.finite(event_series(spark, sf_dir))), K.ephemerides(rows), "candidate", spacing=20.0, gap=5.0, least=32, global_bins=20, local_bins=5, bin_width=1.6)
