@@ -90,3 +90,12 @@ def test_a_feature_that_is_not_used_is_not_important(spark):
     found = {r.feature: r for r in A.permutation_importance(rows, ["a", "b"], lambda x: x.withColumn("score", -F.col("a").cast("double")), "id", 3).collect()}
     assert found["b"].importance == 0 and found["b"].std == 0
     assert found["a"].importance > 0.5
+
+
+def test_no_task_learns_from_many_rows(spark):
+    from tidewatch.operators import ranking
+
+    rows = spark.range(0, 20000, 1, 1)
+    sizes = [r["count"] for r in ranking.bounded(rows, ["id"], 1000).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20000 and len(sizes) == 20 and max(sizes) < 1300
+    assert ranking.bounded(rows, ["id"], 20000) is rows

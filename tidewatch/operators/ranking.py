@@ -17,6 +17,17 @@ def by_star(rows: DataFrame, share: float, seed: int, star: str = "target_id") -
     return rows.withColumn("held_out", u < share)
 
 
+#: Rows that a task learns from at most, but for the luck of a hash: Spark keeps some 200 bytes of each in a task's block.
+LEARNED = 1_000_000
+
+
+def bounded(rows: DataFrame, by: list[str], most: int = LEARNED) -> DataFrame:
+    """rows dealt by `by`, which names a row, over as many tasks as keep each near `most` rows; as they are where they are no
+    more. Files are cut by bytes, and a task of well packed ones would hold and read again millions of rows for each tree."""
+    n = -(-rows.count() // most)
+    return rows.repartition(n, *by) if n > 1 else rows
+
+
 def trained_scores(rows: DataFrame, features: list[str], label: str = "label", trees: int = 30, depth: int = 3, seed: int = 0, folds: int = 3, star: str = "target_id") -> DataFrame:
     """rows with fold, raw (log-odds) and score (calibrated by a logistic curve over raw).
 
