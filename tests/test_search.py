@@ -319,3 +319,19 @@ def test_boxes_of_uneven_weights_match_brute_force():
             assert np.isnan(got["power"][i])
         else:
             assert np.allclose([got[c][i] for c in ("power", "depth", "n", "k", "start")], best, atol=1e-8)
+
+
+def test_searched_features_are_those_of_the_signals_found_after_one_exchange(spark, two):
+    odd = spark.createDataFrame([(8, 0.1 * i, 1.0) for i in range(50)] + [(9, 0.0, 1.0), (9, 1.0, 0.9)], "target_id long, time double, flux double")
+    rows = two.select("target_id", "time", "flux").unionByName(odd)
+    # Clipped samples are searched but not measured; those without a flux are neither.
+    rows = rows.withColumn("clipped", F.pmod(F.hash("time"), F.lit(10)) == 0)
+    torn = rows.unionByName(rows.limit(3).withColumns({"time": F.col("time") + 0.01, "flux": F.lit(float("nan"))}))
+    asked, found = features.extract(rows, boxsearch.signals(rows, PERIODS, DURATIONS)), features.searched(rows, PERIODS, DURATIONS)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    asked, got = ({r.target_id: r for r in x.collect()} for x in (asked, found))
+    assert set(got) == set(asked) and got and asked.keys().isdisjoint({8, 9})
+    for k, r in asked.items():
+        assert all((got[k][c] is None) == (r[c] is None) and (r[c] is None or np.isclose(got[k][c], r[c], rtol=1e-9, atol=1e-12)) for c in r.asDict() if c != "target_id")
+    kept = {r.target_id: r.period for r in features.searched(torn, PERIODS, DURATIONS).collect()}
+    assert kept == {k: r.period for k, r in got.items()}

@@ -109,3 +109,11 @@ def test_learning_curve_rises_and_leaves_known_stars_out(spark):
     assert got[160].average_precision > 0.7 and all(1 / 3 < r.average_precision <= 1 for r in got.values())
     with pytest.raises(ValueError):
         ranking.learning_curve(rows.filter("label = 1"), test, ["a", "b"])
+
+
+def test_learning_curve_scores_held_out_rows_in_one_pass_and_small_subsets_take_one_task(spark):
+    rows, test = _stars(spark, 160, 1).repartition(8).cache(), _stars(spark, 150, 2).cache()
+    plan = ranking.learning_curve(rows, test, ["a", "b"], start=40, repeats=2, trees=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Generate inline" in plan
+    assert ranking.in_few_tasks(rows, 320).rdd.getNumPartitions() == 1 and ranking.in_few_tasks(rows, 3 * ranking.WORTH).rdd.getNumPartitions() == 3
+    assert ranking.in_few_tasks(rows, 10**9).rdd.getNumPartitions() == 8

@@ -160,7 +160,7 @@ def _series(table: pa.Table, weighted: bool) -> tuple[np.ndarray, np.ndarray, np
     return time, flux, np.full(len(time), 1 / flux.var() if len(flux) and flux.var() > 0 else np.nan)
 
 
-def _grid(time: np.ndarray, periods: Sequence[float] | None) -> np.ndarray:
+def grid_of(time: np.ndarray, periods: Sequence[float] | None) -> np.ndarray:
     return np.array(periods, float) if periods is not None else period_grid(float(time.max() - time.min()) if len(time) else 0.0)
 
 
@@ -180,7 +180,7 @@ def box_search(series: DataFrame, periods: Sequence[float] | None, durations: Se
 
     def run(table: pa.Table) -> pa.Table:
         time, flux, weight = _series(table, weighted)
-        grid = _grid(time, periods)
+        grid = grid_of(time, periods)
         found = search(time, flux, weight, grid, durations, per_duration)
         ok = np.isfinite(found["power"])
         return pa.table({
@@ -227,7 +227,7 @@ def signals(series: DataFrame, periods: Sequence[float] | None, durations: Seque
                 return
             if not weighted:
                 weight = np.full(len(time), 1 / flux.var() if flux.var() > 0 else np.nan)
-            best = strongest(time, flux, weight, _grid(time, periods), durations, per_duration, floor)
+            best = strongest(time, flux, weight, grid_of(time, periods), durations, per_duration, floor)
             if best is None or threshold is not None and not best[0]["sde"] >= threshold:
                 return
             found, away = best

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +57,14 @@ def flat_bottom(away: np.ndarray, flux: np.ndarray, duration: float, shapes: int
     return float(floors[np.argmax(np.round(gain, 12))])
 
 
+def _median(values: np.ndarray) -> float:
+    """np.median of a few values, none missing, without what it does besides."""
+    ranked, half = np.sort(values), len(values) // 2
+    return float(ranked[half]) if len(values) % 2 else float((ranked[half - 1] + ranked[half]) / 2)
+
+
 def _scatter(values: np.ndarray) -> float:
-    return float(MAD * np.median(np.abs(values - np.median(values)))) if len(values) else np.nan
+    return float(MAD * _median(np.abs(values - _median(values)))) if len(values) else np.nan
 
 
 def _red_noise(time: np.ndarray, flux: np.ndarray, width: float) -> float:
@@ -103,7 +109,7 @@ def measured(time: np.ndarray, flux: np.ndarray, period: float, epoch: float, du
     if not n:
         return out
     weight = 1 / scatter**2 if scatter > 0 else np.nan
-    cadence = float(np.median(np.diff(time))) if n > 1 else 0.0
+    cadence = _median(np.diff(time)) if n > 1 else 0.0
 
     def folded(p: float, t0: float) -> np.ndarray:
         shifted = time - t0 + p / 2
@@ -157,39 +163,42 @@ def measured(time: np.ndarray, flux: np.ndarray, period: float, epoch: float, du
     return out
 
 
-def extract(series: DataFrame, signals: DataFrame, key: str = "target_id") -> DataFrame:
-    """One row a series with a dip: key, period, epoch, duration, depth and FEATURES.
-
-    series: normalised, perhaps with `clipped` (samples that count in clipped_fraction only), teff and density (of the star, for
-    the deepest occultation a planet could show). signals: a row a series of boxsearch.signals(). Series without a dip have
-    no row; samples whose time or flux is missing or not finite do not count; what cannot be measured is null. Odd and even
-    events are compared under the scatter within each parity, the dip at half the period under the scatter of its own
-    events, and both under red noise outside all of them.
-
-    Samples and signals meet once, in a group of one series, which is measured in one pass; the rest is expressions over
-    the row that comes of it.
-    """
-    best = signals.filter("round = 1").select(key, "period", "epoch", "duration", "depth", F.col("sde").alias("bls_sde"), F.col("contrast").alias("power_contrast"))
+def _samples(series: DataFrame, key: str) -> DataFrame:
     clipped = F.coalesce(F.col("clipped").cast("boolean"), F.lit(False)) if "clipped" in series.columns else F.lit(False)
     star = [F.col(c).cast("double").alias(c) if c in series.columns else F.lit(None).cast("double").alias(c) for c in ("teff", "density")]
-    samples = series.select(key, F.col("time").cast("double").alias("time"), F.col("flux").cast("double").alias("flux"), clipped.alias("clipped"), *star)
-    own = best.columns[1:]
-    names = ["teff", "density", "clipped_fraction", "n_transits", "min_points_per_transit", *MEASURES]
+    return series.select(key, F.col("time").cast("double").alias("time"), F.col("flux").cast("double").alias("flux"), clipped.alias("clipped"), *star)
 
-    def run(rows: pa.Table, signal: pa.Table) -> pa.Table:
-        if not rows.num_rows or not signal.num_rows:
-            return pa.table({key: rows.column(key).slice(0, 0)} | {c: pa.array([], pa.float64()) for c in [*own, *names]})
+
+#: A signal as measured() and the features need it.
+SIGNAL = ["period", "epoch", "duration", "depth", "bls_sde", "power_contrast"]
+NAMES = ["teff", "density", "clipped_fraction", "n_transits", "min_points_per_transit", *MEASURES]
+
+
+def _row(rows: pa.Table, key: str, signal: Callable[[np.ndarray, np.ndarray], dict[str, float] | None]) -> pa.Table:
+    """SIGNAL and NAMES of one series as one array, whose signal comes of its finite samples (clipped ones too) in order of time;
+    no row without one. Rows of a table each with dozens of columns would take longer to read than a series to measure."""
+    found = None
+    if rows.num_rows:
         time, flux, out_of = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("time", "flux", "clipped"))
-        keep = np.isfinite(time) & np.isfinite(flux) & ~out_of.astype(bool)
-        order = np.argsort(time[keep], kind="stable")
-        made = {c: next((v for v in rows.column(c).to_pylist() if v is not None), None) for c in ("teff", "density")} | {"clipped_fraction": float(out_of.astype(bool).mean())}
-        made |= measured(time[keep][order], flux[keep][order], *(signal.column(c)[0].as_py() for c in ("period", "epoch", "duration", "depth")))
-        cells = {key: rows.column(key).slice(0, 1)} | {c: signal.column(c).slice(0, 1) for c in own}
-        return pa.table(cells | {c: pa.array([None if made[c] is None or made[c] != made[c] else float(made[c])], pa.float64()) for c in names})
-
-    kind = dict(series.dtypes)[key]
-    schema = f"`{key}` {kind}, " + ", ".join(f"`{c}` double" for c in [*own, *names])
-    out = samples.groupBy(key).cogroup(best.select(F.col(key).alias("__key"), *best.columns[1:]).groupBy("__key")).applyInArrow(run, schema)
+        out_of = out_of.astype(bool)
+        order = np.argsort(time, kind="stable")
+        order = order[np.isfinite(time[order]) & np.isfinite(flux[order])]
+        found = signal(time[order], flux[order])
+    if found is None:
+        return pa.table({key: rows.column(key).slice(0, 0), "made": pa.array([], pa.list_(pa.float64()))})
+    made = {c: rows.column(c).drop_null()[0].as_py() if rows.column(c).null_count < rows.num_rows else None for c in ("teff", "density")} | {"clipped_fraction": float(out_of.mean())}
+    order = order[~out_of[order]]
+    made |= found | measured(time[order], flux[order], *(found[c] for c in ("period", "epoch", "duration", "depth")))
+    values = [None if made[c] is None or made[c] != made[c] else float(made[c]) for c in [*SIGNAL, *NAMES]]
+    return pa.table({key: rows.column(key).slice(0, 1), "made": pa.array([values], pa.list_(pa.float64()))})
+
+
+def _schema(series: DataFrame, key: str) -> str:
+    return f"`{key}` {dict(series.dtypes)[key]}, made array<double>"
+
+
+def _features(out: DataFrame, key: str) -> DataFrame:
+    out = out.select(key, *[F.get("made", F.lit(i)).alias(c) for i, c in enumerate([*SIGNAL, *NAMES])])
     p, d, s = F.col("period"), F.col("duration"), F.when(F.col("scatter") > 0, F.col("scatter"))
     red = X.inflation(F.col("wide_beta"))
     allowance = F.coalesce(X.largest_occultation(p, F.col("teff"), F.col("density")), F.lit(0.0)) * F.greatest("depth", F.lit(0.0))
@@ -205,6 +214,41 @@ def extract(series: DataFrame, signals: DataFrame, key: str = "target_id") -> Da
     return out.select(key, "period", "epoch", "duration", "depth", *[values.get(f, F.col(f)).alias(f) for f in FEATURES])
 
 
+def extract(series: DataFrame, signals: DataFrame, key: str = "target_id") -> DataFrame:
+    """One row a series with a dip: key, period, epoch, duration, depth and FEATURES.
+
+    series: normalised, perhaps with `clipped` (samples that count in clipped_fraction only), teff and density (of the star, for
+    the deepest occultation a planet could show). signals: a row a series of boxsearch.signals(). Series without a dip have
+    no row; samples whose time or flux is missing or not finite do not count; what cannot be measured is null. Odd and even
+    events are compared under the scatter within each parity, the dip at half the period under the scatter of its own
+    events, and both under red noise outside all of them.
+
+    Samples and signals meet once, in a group of one series, which is measured in one pass; the rest is expressions over
+    the row that comes of it.
+    """
+    best = signals.filter("round = 1").select(F.col(key).alias("__key"), "period", "epoch", "duration", "depth", F.col("sde").alias("bls_sde"), F.col("contrast").alias("power_contrast"))
+
+    def run(rows: pa.Table, signal: pa.Table) -> pa.Table:
+        return _row(rows, key, lambda *_: {c: signal.column(c)[0].as_py() for c in SIGNAL} if signal.num_rows else None)
+
+    return _features(_samples(series, key).groupBy(key).cogroup(best.groupBy("__key")).applyInArrow(run, _schema(series, key)), key)
+
+
+def searched(series: DataFrame, periods: Sequence[float] | None, durations: Sequence[float], floor: int = 10, least: int = 3, per_duration: int = 4, key: str = "target_id") -> DataFrame:
+    """extract() of the strongest box of each series, as boxsearch.signals() finds it: searched and measured in one group, so that
+    samples travel and are grouped once."""
+
+    def best(time: np.ndarray, flux: np.ndarray) -> dict[str, float] | None:
+        if len(time) < least:
+            return None
+        weight = np.full(len(time), 1 / flux.var() if flux.var() > 0 else np.nan)
+        grid = boxsearch.grid_of(time, periods)
+        found = boxsearch.strongest(time, flux, weight, grid, durations, per_duration, floor)
+        return found and found[0] | {"bls_sde": found[0]["sde"], "power_contrast": found[0]["contrast"]}
+
+    return _features(_samples(series, key).groupBy(key).applyInArrow(lambda rows: _row(rows, key, best), _schema(series, key)), key)
+
+
 def iterative_search(series: DataFrame, periods: Sequence[float] | None, durations: Sequence[float], threshold: float = 5.5, rounds: int = 3, least: int = 200, floor: int = 10, key: str = "target_id") -> DataFrame:
     """(key, round, period, epoch, duration, depth, sde): search, note the signal if its efficiency reaches the threshold,
     mask one and a half durations to each side, and search what is left: at most `rounds` times, series by series, while

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluate
@@ -78,6 +81,17 @@ def subset_counts(rows: DataFrame, start: int, repeats: int, label: str = "label
     return taken.groupBy("size", "draw").agg(F.count("*").alias("n_stars"), F.sum("n").alias("n"), F.sum("p").cast("long").alias("positives"))
 
 
+#: Fits of a learning curve that run at a time: each is a row of short jobs, which alone would leave most cores idle.
+SIDE_BY_SIDE = 4
+#: Rows of a subset that make a task worth its start.
+WORTH = 20_000
+
+
+def in_few_tasks(subset: DataFrame, n: int) -> DataFrame:
+    """A subset of n rows in as few tasks as they are worth, without an exchange; trees take some twenty jobs over all of them."""
+    return subset.coalesce(max(1, -(-n // WORTH)))
+
+
 def learning_curve(
     rows: DataFrame, test: DataFrame, features: list[str], start: int = 100, repeats: int = 10, label: str = "label", trees: int = 30, depth: int = 3, seed: int = 0, star: str = "target_id",
 ) -> DataFrame:
@@ -85,8 +99,9 @@ def learning_curve(
     rank `test`, whose stars that `rows` has too are left out. Sizes double from start; the last is all stars. sd is null for one draw.
 
     Subsets without both classes are not trained on and not counted. A subset is a predicate over rows, so give rows and test as stored
-    tables: no subset is copied, and each fit is a distributed job. Classes weigh the same in each subset. Null features
-    take the median of all rows.
+    tables. What trees learn from is worked out once and kept while they do, a subset in as few tasks as its rows need; a few fits
+    run side by side, and all their trees score a held-out row in one pass. Classes weigh the same in each subset. Null
+    features take the median of all rows.
     """
     spark = rows.sparkSession
     rows = rows.filter(F.col(star).isNotNull() & F.col(label).isNotNull()).withColumns({f: F.col(f).cast("double") for f in features})
@@ -98,13 +113,25 @@ def learning_curve(
     filled = [f"__{f}" for f in features]
     imputer = Imputer(strategy="median", inputCols=features, outputCols=filled).fit(rows)
     ready = lambda x: VectorAssembler(inputCols=filled, outputCol="__x", handleInvalid="keep").transform(imputer.transform(x)).select(star, label, "__x")
-    learn, held, scored = ready(rows), ready(test), None
-    for c in counts:
+    learn, held = ready(rows).persist(), ready(test)
+
+    def fitted(c: Row) -> GBTClassificationModel:
         weight = F.when(F.col(label) == 1, 0.5 * c.n / c.positives).otherwise(0.5 * c.n / (c.n - c.positives))
-        part = learn.filter(_drawn(star, F.lit(c.draw), F.lit(c["size"]) / F.lit(total), seed)).withColumn("__w", weight)
-        model = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", maxIter=trees, maxDepth=depth, seed=seed + c.draw, predictionCol="__q").fit(part)
-        out = model.transform(held).select(F.lit(c["size"]).cast("long").alias("size"), F.lit(c.draw).alias("draw"), F.col(label).alias("label"), vector_to_array("rawPrediction")[1].alias("score"))
-        scored = out if scored is None else scored.unionByName(out)
+        part = in_few_tasks(learn.filter(_drawn(star, F.lit(c.draw), F.lit(c["size"]) / F.lit(total), seed)), c.n).withColumn("__w", weight).persist()
+        try:
+            return GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", maxIter=trees, maxDepth=depth, seed=seed + c.draw, predictionCol="__q").fit(part)
+        finally:
+            part.unpersist()
+
+    try:
+        with ThreadPool(min(SIDE_BY_SIDE, len(counts))) as pool:
+            models = pool.map(inheritable_thread_target(spark)(fitted), counts, chunksize=1)
+    finally:
+        learn.unpersist()
+    for i, model in enumerate(models):
+        held = model.setRawPredictionCol(f"__raw{i}").setProbabilityCol("").setPredictionCol("").transform(held)
+    each = [F.struct(F.lit(c["size"]).cast("long").alias("size"), F.lit(c.draw).alias("draw"), vector_to_array(f"__raw{i}")[1].alias("score")) for i, c in enumerate(counts)]
+    scored = held.select(F.col(label).alias("label"), F.inline(F.array(*each)))
     drawn = spark.createDataFrame([(c["size"], c.draw, c.n_stars) for c in counts], "size long, draw int, n_stars long")
     found = evaluate.average_precision(scored, ("size", "draw")).join(drawn, ["size", "draw"])
     return found.groupBy("size").agg(F.count("*").alias("n_draws"), F.avg("n_stars").alias("mean_stars"), F.avg("ap").alias("average_precision"), F.stddev_samp("ap").alias("sd"))

@@ -32,7 +32,7 @@ FROM sig JOIN sc ON sc.target_id = sig.target_id JOIN et ON et.target_id = sig.t
 def signal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The features that SQL can state shortly, of the best signal of every series."""
     f = _series(spark, sf_dir)
-    out = features.extract(f, boxsearch.signals(f, PERIODS, DURATIONS, floor=5))
+    out = features.searched(f, PERIODS, DURATIONS, floor=5)
     out = _rounded(out, "epoch", "depth", "bls_depth_over_scatter", "max_single_event_fraction", "log_scatter", "log_depth")
     out = _rounded(out, "bls_depth_snr", "delta_loglike", digits=5)
     return out.select("target_id", "period", "epoch", "duration", "depth", "bls_depth_snr", "bls_depth_over_scatter", "delta_loglike", "n_transits", "min_points_per_transit", "max_single_event_fraction", "log_scatter", "log_depth")
@@ -42,7 +42,7 @@ def signal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def full_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features; the test of the operator holds them against a brute-force version."""
     f = _searched(spark, sf_dir)
-    return features.extract(f, boxsearch.signals(f, PERIODS, DURATIONS, floor=5))
+    return features.searched(f, PERIODS, DURATIONS, floor=5)
 
 
 @query()
@@ -71,7 +71,7 @@ def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored features of all series, every other one with dips put in (label 1)."""
     has = F.col("target_id") % 2 == 0
     f = _searched(spark, sf_dir).withColumn("flux", F.when(has, F.col("flux") * (1 - X.trapezoid(F.col("time"), P, T0, 0.8, D, 0.8))).otherwise(F.col("flux")))
-    rows = features.extract(f, boxsearch.signals(f, PERIODS, DURATIONS, floor=5)).withColumn("label", (F.col("target_id") % 2 == 0).cast("int"))
+    rows = features.searched(f, PERIODS, DURATIONS, floor=5).withColumn("label", (F.col("target_id") % 2 == 0).cast("int"))
     rows.write.parquet(kept := f"{shared_dir(spark)}/ranked-features-{uuid.uuid4().hex}")
     return spark.read.schema(rows.schema).parquet(kept)
 
