@@ -2,6 +2,7 @@
 
 import math
 import statistics
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -335,3 +336,13 @@ def test_searched_features_are_those_of_the_signals_found_after_one_exchange(spa
         assert all((got[k][c] is None) == (r[c] is None) and (r[c] is None or np.isclose(got[k][c], r[c], rtol=1e-9, atol=1e-12)) for c in r.asDict() if c != "target_id")
     kept = {r.target_id: r.period for r in features.searched(torn, PERIODS, DURATIONS).collect()}
     assert kept == {k: r.period for k, r in got.items()}
+
+
+def test_blocks_of_a_sparse_series_stay_in_the_cache():
+    rng = np.random.default_rng(5)
+    time, flux = np.sort(rng.uniform(0, 30, 67)), 1 + 0.1 * rng.standard_normal(67)
+    tracemalloc.start()
+    found = boxsearch.search(time, flux, np.full(67, 1 / flux.var()), boxsearch.period_grid(29.5), [0.5, 0.75, 1.0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(found["power"]).mean() > 0.9 and peak < 1_800_000

@@ -7,6 +7,7 @@ a trial period where the powers themselves are asked for.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,9 @@ from pyspark.sql import DataFrame
 from tidewatch.operators.series import MAD
 from tidewatch.operators.survey import guarded
 
-#: Elements of a block of trial periods by bins, or by samples.
-BLOCK = 1 << 17
+#: Elements of a block of trial periods by bins, or by samples, at most; and by bins where that leaves 64 periods, so that the
+#: arrays stay in the cache and are no new pages each time.
+BLOCK, SMALL = 1 << 17, 1 << 14
 
 
 def period_grid(baseline: float, shortest: float = 0.5, count: int = 2000, share: float = 0.5, usual: float = 27.4) -> np.ndarray:
@@ -45,6 +47,7 @@ def search(time: np.ndarray, flux: np.ndarray, weight: np.ndarray, periods: np.n
     """
     width = min(durations) / per_duration
     ks = sorted({round(d / width) for d in durations})
+    longest = max(ks)
     out = {c: np.full(len(periods), np.nan) for c in ("power", "depth", "error")} | {c: np.zeros(len(periods), np.int64) for c in ("n", "k", "start")}
     n_all, w_all = len(time), weight.sum()
     if n_all < 3 or not np.isfinite(w_all) or w_all <= 0:
@@ -59,14 +62,16 @@ def search(time: np.ndarray, flux: np.ndarray, weight: np.ndarray, periods: np.n
     order = np.argsort(turns, kind="stable")
     most = max(1, min(256, BLOCK // n_all))
     tiled = {name: np.tile(x, min(most, len(order))) for name, x in (("pull", pull), *(() if even else (("weight", weight),)))}
-    at = 0
+    at, room = 0, np.empty(0)
     while at < len(order):
-        # Periods are sorted by their bins, so that a block wastes few; a block's arrays stay in the cache.
-        rows = max(1, BLOCK // (int(turns[order[min(at + most, len(order)) - 1]]) + max(ks)))
+        # Periods are sorted by their bins, so that a block wastes few; a block's arrays stay in the cache. A block has a row a bin and
+        # a column a period, so that whatever is done for a box length is done to whole arrays, not to short rows.
+        bins = int(turns[order[min(at + most, len(order)) - 1]]) + longest
+        rows = max(1, SMALL // bins, min(64, BLOCK // bins))
         own = order[at : at + min(rows, most)]
         at += len(own)
-        p, m, t = periods[own][:, None], int(turns[own].max()), turns[own]
-        line, column = np.arange(len(own)), np.arange(m + max(ks))
+        p, t, size = periods[own][:, None], turns[own], len(own)
+        least, m, line = int(t.min()), int(t.max()), np.arange(size)
         x = time / p
         np.floor(x, out=x)
         x *= p
@@ -74,43 +79,60 @@ def search(time: np.ndarray, flux: np.ndarray, weight: np.ndarray, periods: np.n
         x /= width
         flat = x.astype(np.int64)  # none is negative
         np.minimum(flat, t[:, None] - 1, out=flat)
-        flat += line[:, None] * m
+        flat += 1
+        flat *= size
+        flat += line[:, None]
         flat = flat.ravel()
         # The first bins once more behind each period's last one.
-        source = np.where(column < t[:, None], column, np.minimum(column - t[:, None], m - 1) % t[:, None]) + line[:, None] * m
-
-        def running(binned: np.ndarray) -> np.ndarray:
-            sums = np.zeros((len(own), m + max(ks) + 1), binned.dtype)
-            np.cumsum(binned[source], axis=1, out=sums[:, 1:])
+        onward = np.arange(longest)[:, None]
+        first_bins, behind_last = (onward % t + 1) * size + line, (t + 1 + onward) * size + line
+
+        def running(*values: np.ndarray) -> np.ndarray:
+            sums = np.bincount(flat, *values, minlength=(m + longest + 1) * size)
+            sums[behind_last] = sums[first_bins]
+            sums = sums.reshape(-1, size)
+            # Row by row is thrice as fast as np.cumsum down the columns, if rows are not short.
+            if size < 32:
+                return np.cumsum(sums, axis=0, out=sums)
+            for above, here in pairwise(sums):
+                here += above
             return sums
 
-        size = len(own) * m
-        count, pulled = running(np.bincount(flat, minlength=size)), running(np.bincount(flat, tiled["pull"][: len(flat)], size))
-        weighed = None if even else running(np.bincount(flat, tiled["weight"][: len(flat)], size))
-        least = int(t.min())
-        behind = np.arange(least, m) >= t[:, None]
-        best = np.zeros(len(own))
-        for k in ks:
-            n, power = count[:, k : k + m] - count[:, :m], pulled[:, :m] - pulled[:, k : k + m]
+        count, pulled = running(), running(tiled["pull"][: len(flat)])
+        weighed = None if even else running(tiled["weight"][: len(flat)])
+        ahead = np.arange(least, m)[:, None] < t
+        if len(room) < len(ks) * m * size:
+            room = np.empty(len(ks) * m * size)
+        best, winner, powers = np.zeros(size), np.full(size, -1), room[: len(ks) * m * size].reshape(len(ks), m, size)
+        for j, k in enumerate(ks):
+            n, power = count[k : k + m] - count[:m], np.subtract(pulled[:m], pulled[k : k + m], out=powers[j])
             if even:
-                power *= by_number[np.minimum(n, n_all)]
+                power *= by_number.take(n, mode="clip")
             else:
-                w = weighed[:, k : k + m] - weighed[:, :m]
+                w = weighed[k : k + m] - weighed[:m]
                 w *= w_all - w
                 # Where all weight is on one side, only rounding is left.
                 sound = (n >= 2) & (n < n_all) & (w > 1e-9 * w_all * w_all)
-                power = np.where(sound, power * np.sqrt(w_all / np.where(sound, w, 1.0)), 0.0)
-            power[:, least:][behind] = 0.0
-            power[k >= t] = 0.0
-            top = np.round(power.max(axis=1), 9)
-            new = np.flatnonzero(top > best)
-            best[new] = top[new]
-            first = (power[new] >= (top[new] - 5e-10)[:, None]).argmax(axis=1)
-            i = own[new]
-            w = n[new, first] * (w_all / n_all) if even else weighed[new, first + k] - weighed[new, first]
-            error = np.sqrt(w_all / (w * (w_all - w)))
-            out["power"][i], out["error"][i], out["depth"][i] = power[new, first], error, power[new, first] * error
-            out["n"][i], out["k"][i], out["start"][i] = n[new, first], k, first
+                power[:] = np.where(sound, power * np.sqrt(w_all / np.where(sound, w, 1.0)), 0.0)
+            power[least:] *= ahead
+            if k >= least:
+                power[:, k >= t] = 0.0
+            top = np.round(power.max(axis=0), 9)
+            new = top > best
+            best[new], winner[new] = top[new], j
+        first = np.zeros(size, np.int64)
+        for j, power in enumerate(powers):
+            new = winner == j
+            if new.any():
+                first[new] = (power >= best - 5e-10).argmax(axis=0)[new]
+        dips = np.flatnonzero(winner >= 0)
+        i, first, j = own[dips], first[dips], winner[dips]
+        k = np.array(ks)[j]
+        power, n = powers[j, first, dips], count[first + k, dips] - count[first, dips]
+        w = n * (w_all / n_all) if even else weighed[first + k, dips] - weighed[first, dips]
+        error = np.sqrt(w_all / (w * (w_all - w)))
+        out["power"][i], out["error"][i], out["depth"][i] = power, error, power * error
+        out["n"][i], out["k"][i], out["start"][i] = n, k, first
     return out
 
 
