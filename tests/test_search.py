@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import boxsearch, detrend, evaluate, features, ranking, single, store, views
+from tidewatch.operators import boxsearch, detrend, evaluate, features, fold, ranking, single, store, views
 from tidewatch.operators import series as S
 from tidewatch.sources import files
 
@@ -151,6 +151,14 @@ def test_distinct_peaks():
     assert boxsearch.distinct_peaks(np.array([1.0, 2.0, 4.0, 3.0, 7.0]), np.array([5.0, 9.0, 8.0, 4.0, np.nan]), 3) == [1, 3]
 
 
+def test_contrast_of_equal_powers_is_that_of_the_shortest_period(spark):
+    # A box of the same samples at two periods, whose sums differ in their last bits.
+    periods, powers = np.array([2.5, 5.0, 7.0, 10.0]), np.array([0.9, 3.0, 0.2, 3.0 + 5e-16])
+    assert powers[3] > powers[1]
+    rows = spark.createDataFrame([(1, float(p), float(x)) for p, x in zip(periods, powers)], "target_id long, period double, power double")
+    assert fold.power_contrast(rows).first().contrast == pytest.approx(15.0) == boxsearch.contrast(periods, powers)
+
+
 def test_a_single_dip_does_not_hide_behind_its_alias(spark):
     rows = [(1, i, i * 0.1, 1 - 0.05 * (abs(i * 0.1 - 9) < 0.4) + 0.001 * (-1) ** i) for i in range(300)]
     s = spark.createDataFrame(rows, LONG)

@@ -144,10 +144,10 @@ def efficiency(power: np.ndarray, least: int = 10) -> float:
 
 
 def contrast(periods: np.ndarray, power: np.ndarray) -> float:
-    """The best power over the best more than 10 % away from 1/2, 1, 2 and 3 times its period."""
+    """The best power over the best more than 10 % away from 1/2, 1, 2 and 3 times its period: the shortest of those equal to nine digits."""
     if not np.isfinite(power).any():
         return np.nan
-    top = np.nanargmax(power)
+    top = np.nanargmax(np.round(power, 9))
     apart = np.all([np.abs(periods / (a * periods[top]) - 1) > 0.1 for a in (0.5, 1.0, 2.0, 3.0)], axis=0) & np.isfinite(power)
     return float(power[top] / power[apart].max()) if apart.any() else np.nan
 

@@ -90,8 +90,9 @@ def detection_efficiency(powers: DataFrame, key: str = "target_id", least: int =
 
 
 def power_contrast(powers: DataFrame, key: str = "target_id") -> DataFrame:
-    """(key, contrast): the best power over the best more than 10 % away from 1/2, 1, 2 and 3 times its period."""
-    top = powers.groupBy(key).agg(F.min(F.struct((-F.col("power")).alias("m"), "period")).alias("b")).select(key, (-F.col("b.m")).alias("__x"), F.col("b.period").alias("__p"))
+    """(key, contrast): the best power over the best more than 10 % away from 1/2, 1, 2 and 3 times its period. Powers equal to nine
+    digits are ties, of which the shortest period wins: a box of the same samples at two periods differs by rounding only."""
+    top = powers.groupBy(key).agg(F.min(F.struct((-F.round("power", 9)).alias("m"), "period", "power")).alias("b")).select(key, F.col("b.power").alias("__x"), F.col("b.period").alias("__p"))
     apart = F.forall(F.array(*[F.lit(a) for a in (0.5, 1.0, 2.0, 3.0)]), lambda a: F.abs(F.col("period") / (a * F.col("__p")) - 1) > 0.1)
     return powers.join(top, key).groupBy(key).agg((F.first("__x") / F.max(F.when(apart, F.col("power")))).alias("contrast"))
 
