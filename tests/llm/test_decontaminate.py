@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tidewatch.llm import decontaminate as D
@@ -80,6 +81,16 @@ def test_index_holds_every_word(spark):
     assert list(r.doc_ids) == [1, 2, 3] and list(r.n_words) == [3, 0, 2]
 
 
+def test_segments_are_stored_and_read_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(D, "SEGMENT", 1 << 18)
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randint(0, 10**6)) for _ in range(8000)) for _ in range(60)]
+    index = D.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    kept = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    rows = [m.row_group(i).num_rows for m in kept for i in range(m.num_row_groups)]
+    assert sum(rows) == index.count() > 10 and max(rows) <= 2
+
+
 def test_windows_must_fit_the_gap(spark):
     index = D.build_index(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
     with pytest.raises(ValueError):

@@ -47,10 +47,10 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends, lost executors cost nothing."""
+def written(df: DataFrame, name: str, **options: str | int) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: lineage ends, lost executors cost nothing. options are the writer's."""
     path = f"{_scratch.get() or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -91,7 +91,10 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gap
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *listed], schema.names)
                 number += 1
 
-    return written(arrow_mapped(rows, run, schema), "index")
+    # Parquet looks at what it holds every 100 rows only, and a segment is a row of some 10 MB: all segments of a task would be held as one
+    # page and one row group, here and where they are read. So it looks at every row, and a row group ends with about a segment.
+    often = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size": SEGMENT}
+    return written(arrow_mapped(rows, run, schema), "index", **often)
 
 
 def found_starts(lists: list[tuple[np.ndarray, int]], slack: int = 0) -> np.ndarray:
