@@ -1,10 +1,13 @@
 """Second fits around a signal, and learning curves over random subsets of stars."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import boxsearch, detrend, ranking
+from tidewatch.plans import search_queries
 
 PERIODS, DURATIONS = np.geomspace(1.5, 6.0, 400).tolist(), [0.1, 0.2, 0.3]
 LONG = "target_id string, sample_id long, time double, flux double"
@@ -117,3 +120,18 @@ def test_learning_curve_scores_held_out_rows_in_one_pass_and_small_subsets_take_
     assert "Union" not in plan and "Generate inline" in plan
     assert ranking.in_few_tasks(rows, 320).rdd.getNumPartitions() == 1 and ranking.in_few_tasks(rows, 3 * ranking.WORTH).rdd.getNumPartitions() == 3
     assert ranking.in_few_tasks(rows, 10**9).rdd.getNumPartitions() == 8
+
+
+def test_the_learning_curve_query_does_all_draws_and_trees_on_signals_of_the_whole_grid(spark, monkeypatch):
+    asked = {}
+
+    def noted(*args, **given):
+        asked.update(inspect.signature(real).bind(*args, **given).arguments)
+        return args[0].unionByName(args[1])
+
+    real = ranking.learning_curve
+    monkeypatch.setattr(ranking, "learning_curve", noted)
+    periods = {r.period for r in search_queries.learning_curve(spark, "/root/testdata/sf0.001").collect()}
+    defaults = {k: p.default for k, p in inspect.signature(real).parameters.items()}
+    assert all(asked.get(k, defaults[k]) >= defaults[k] for k in ("repeats", "trees", "depth"))
+    assert len(periods - set(search_queries.PERIODS)) > 5 and any(p < min(search_queries.PERIODS) for p in periods)

@@ -82,7 +82,7 @@ def subset_counts(rows: DataFrame, start: int, repeats: int, label: str = "label
 
 
 #: Fits of a learning curve that run at a time: each is a row of short jobs, which alone would leave most cores idle.
-SIDE_BY_SIDE = 4
+SIDE_BY_SIDE = 12
 #: Rows of a subset that make a task worth its start.
 WORTH = 20_000
 
@@ -106,7 +106,7 @@ def learning_curve(
     spark = rows.sparkSession
     rows = rows.filter(F.col(star).isNotNull() & F.col(label).isNotNull()).withColumns({f: F.col(f).cast("double") for f in features})
     test = test.join(rows.select(star).distinct(), star, "left_anti").withColumns({f: F.col(f).cast("double") for f in features})
-    counts = subset_counts(rows, start, repeats, label, seed, star).filter("positives > 0 AND positives < n").orderBy("size", "draw").collect()
+    counts = subset_counts(rows, start, repeats, label, seed, star).filter("positives > 0 AND positives < n").orderBy(F.desc("size"), "draw").collect()  # the longest fits first
     if not counts:
         raise ValueError("labels of both classes are needed")
     total = rows.select(star).distinct().count()
